@@ -29,7 +29,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def nan_to_null(value: Column) -> Column:
     """NaN compares greater than everything in Spark; a missing number must compare as unknown."""
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def finite_or_zero(value: Column) -> Column:
@@ -38,11 +38,12 @@ def finite_or_zero(value: Column) -> Column:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end).cast("double") / 6e7
+    """Fractional minutes; with the session zone at UTC the casts keep the wall-clock difference."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))).cast("double") / 6e7
 
 
 def hour_start(day: Column, hour: Column) -> Column:
-    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour.cast("int"))
+    return day.cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR") * hour
 
 
 def is_weekend(day: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import KEEP_COLUMNS, RENAMES, CleaningLimits
 from demandspark.functions.columns import (
+    day_name,
     is_weekend,
     minutes_between,
     nan_to_null,
@@ -55,16 +56,17 @@ def _numeric(name: str, kinds: dict[str, str]) -> Column:
 
 
 def with_study_month(trips: DataFrame) -> DataFrame:
-    """Study window of each row from the month that ends its file name (``..._YYYY-MM.parquet``)."""
-    token = F.element_at(F.split("file", "_"), -1)
-    month = F.regexp_extract(token, r"^(\d{4}-\d{2})", 1)
-    start = F.concat(month, F.lit("-01")).try_cast("date")
-    return trips.withColumns({"study_start": start, "study_end": F.add_months(start, 1)})
+    """Mark rows picked up in the month that ends their file name (``..._YYYY-MM.parquet``)."""
+    token = F.substring_index("file", "_", -1)
+    month_start = F.concat(F.left(token, F.lit(7)), F.lit("-01")).try_cast("date")
+    return trips.withColumn("in_study_period", F.trunc("pickup_datetime", "MM") == month_start)
 
 
 def with_study_window(trips: DataFrame, start: date, end: date) -> DataFrame:
-    """The same window [start, end) for every row."""
-    return trips.withColumns({"study_start": F.lit(start), "study_end": F.lit(end)})
+    """Mark rows picked up in [start, end); a filter on the mark reaches the Parquet scan."""
+    pickup = F.col("pickup_datetime")
+    first, last = (F.lit(day).cast("timestamp_ntz") for day in (start, end))
+    return trips.withColumn("in_study_period", (pickup >= first) & (pickup < last))
 
 
 def quality_rules(limits: CleaningLimits = CleaningLimits()) -> dict[str, Column]:
@@ -87,17 +89,35 @@ def quality_rules(limits: CleaningLimits = CleaningLimits()) -> dict[str, Column
     return {name: F.coalesce(condition, F.lit(False)) for name, condition in table.items()}
 
 
-def flag_trips(trips: DataFrame, limits: CleaningLimits = CleaningLimits()) -> DataFrame:
-    """Add ``in_study_period``, the duration and ``first_failing_rule`` (NULL out of period)."""
-    pickup = F.col("pickup_datetime")
-    inside = (pickup >= F.col("study_start").cast("timestamp_ntz")) & (
-        pickup < F.col("study_end").cast("timestamp_ntz")
+def valid_trip(limits: CleaningLimits = CleaningLimits()) -> Column:
+    """True exactly where no quality rule fails, as a conjunction of ranges.
+
+    Filtering on the rule label instead would copy its whole CASE expression, with every input
+    expression in it, into the filter below the projections.
+    """
+
+    def absent_or(inside: Column) -> Column:
+        return F.coalesce(inside, F.lit(True))
+
+    minutes, miles = F.col("trip_duration_min"), F.col("trip_distance")
+    fare, total = F.col("fare_amount"), F.col("total_amount")
+    lower = F.lit(limits.min_minutes) if limits.min_minutes > 0 else None
+    long_enough = minutes >= lower if lower is not None else minutes > 0
+    return (
+        F.col("dropoff_datetime").isNotNull()
+        & F.col("PULocationID").isNotNull()
+        & F.col("DOLocationID").isNotNull()
+        & absent_or(long_enough & (minutes <= limits.max_minutes))
+        & absent_or((miles > 0) & (miles <= limits.max_miles))
+        & absent_or((fare >= 0) & (fare <= limits.max_fare))
+        & absent_or((total >= 0) & (total <= limits.max_total))
     )
-    timed = trips.withColumns(
-        {
-            "in_study_period": F.coalesce(inside, F.lit(False)),
-            "trip_duration_min": minutes_between(pickup, F.col("dropoff_datetime")),
-        }
+
+
+def flag_trips(trips: DataFrame, limits: CleaningLimits = CleaningLimits()) -> DataFrame:
+    """Add the duration and ``first_failing_rule`` (NULL out of period)."""
+    timed = trips.withColumn(
+        "trip_duration_min", minutes_between(F.col("pickup_datetime"), F.col("dropoff_datetime"))
     )
     first = None
     for name, fails in quality_rules(limits).items():
@@ -105,32 +125,28 @@ def flag_trips(trips: DataFrame, limits: CleaningLimits = CleaningLimits()) -> D
     return timed.withColumn("first_failing_rule", F.when(F.col("in_study_period"), first.otherwise(VALID)))
 
 
-def clean_trips(flagged: DataFrame) -> DataFrame:
+def clean_trips(flagged: DataFrame, limits: CleaningLimits = CleaningLimits()) -> DataFrame:
     """Valid in-period trips with calendar columns and safe ratios."""
     pickup = F.col("pickup_datetime")
-    kept = flagged.filter(
-        # Stated apart from the flag so that a literal window reaches the Parquet scan.
-        (pickup >= F.col("study_start").cast("timestamp_ntz"))
-        & (pickup < F.col("study_end").cast("timestamp_ntz"))
-        & (F.col("first_failing_rule") == VALID)
-    )
+    kept = flagged.filter(F.col("in_study_period")).filter(valid_trip(limits))
     return kept.withColumns(
         {
             "date": F.to_date(pickup).cast("timestamp_ntz"),
             "hour": F.hour(pickup),
-            "day_of_week": F.date_format(pickup, "EEEE"),
+            "day_of_week": day_name(pickup),
             "day_of_week_num": F.weekday(pickup),
             "is_weekend": is_weekend(pickup),
             "month": F.month(pickup),
             "revenue_per_mile": ratio(F.col("total_amount"), F.col("trip_distance")),
             "tip_rate": ratio(F.col("tip_amount"), F.col("fare_amount")),
         }
-    ).drop("in_study_period", "first_failing_rule", "study_start", "study_end")
+    ).drop("in_study_period", "first_failing_rule")
 
 
 def audit_counts(flagged: DataFrame, limits: CleaningLimits = CleaningLimits()) -> DataFrame:
     """One row per file with every counter the audit tables need (a single scan)."""
-    inside, first = F.col("in_study_period"), F.col("first_failing_rule")
+    inside = F.coalesce(F.col("in_study_period"), F.lit(False))
+    first = F.col("first_failing_rule")
     rules = quality_rules(limits)
     return flagged.groupBy("file").agg(
         F.count(F.lit(1)).alias("raw_rows"),

@@ -73,11 +73,11 @@ def shipment_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.clean_trips(month_flags(spark, sf))
+    return cleaning.clean_trips(month_flags(spark, sf), STUDY.limits)
 
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.clean_trips(shipment_flags(spark, sf))
+    return cleaning.clean_trips(shipment_flags(spark, sf), STUDY.limits)
 
 
 def zones(spark: SparkSession, sf: str) -> DataFrame:

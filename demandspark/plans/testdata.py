@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandspark.config import StudyConfig, folds_from
-from demandspark.session import pin_time_zone
+from demandspark.session import prepare
 
 AUDIT_START, AUDIT_END = date(2024, 1, 3), date(2024, 1, 30)
 MONTH_START, MONTH_END = date(2024, 1, 1), date(2024, 2, 1)
@@ -34,14 +34,14 @@ STUDY = replace(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    pin_time_zone(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.get_json_object("props", "$.k").cast("int")
     number = F.col("event_id")
-    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), key * 114 - 57)
+    offset = F.expr("INTERVAL '1' SECOND") * (key * 114 - 57)
     fee = F.when(number % 4 == 0, 0.75).when(number % 4 < 3, 0.0)
     payment = (
         F.when(F.col("event_type") == "signup", 0)
@@ -70,19 +70,16 @@ def trips_from_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One row in 50 carries the name of the following month's file, and is out of period there.
     """
-    order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    start = F.col("l_shipdate") + F.make_dt_interval(
-        F.lit(0), ((order * 7 + line * 5) % 24).cast("int"), (part % 60).cast("int")
-    )
-    minutes = F.col("l_quantity").cast("int") * 4 - 6
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    minute = F.expr("INTERVAL '1' MINUTE")
+    start = F.col("l_shipdate") + minute * (F.col("l_orderkey") % 1440)
+    ride = minute * (F.col("l_quantity").cast("int") * 4 - 6)
     fare = F.col("l_extendedprice") / 200 - F.col("l_quantity") / 4
     filed = F.when(part % 50 == 0, F.add_months("l_shipdate", 1)).otherwise(F.to_date("l_shipdate"))
     flag = F.col("l_returnflag")
     return table(spark, sf_dir, "lineitem").select(
         start.alias("tpep_pickup_datetime"),
-        F.when(part % 97 != 0, start + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias(
-            "tpep_dropoff_datetime"
-        ),
+        F.when(part % 97 != 0, start + ride).alias("tpep_dropoff_datetime"),
         (F.col("l_quantity") - line).alias("trip_distance"),
         F.col("l_suppkey").alias("PULocationID"),
         F.when(part % 89 != 0, part % 263).alias("DOLocationID"),
@@ -93,7 +90,7 @@ def trips_from_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(line == 7, F.lit(None).cast("double")).when(line > 3, 0.75).otherwise(0.0).alias(
             "cbd_congestion_fee"
         ),
-        F.concat(F.lit("shipments_"), F.date_format(filed, "yyyy-MM"), F.lit(".parquet")).alias("file"),
+        F.concat(F.lit("shipments_"), F.left(filed.cast("string"), F.lit(7)), F.lit(".parquet")).alias("file"),
     )
 
 

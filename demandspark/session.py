@@ -15,6 +15,9 @@ SEMANTIC_CONF = {
 }
 
 TUNING_CONF = {
+    # HotSpot never compiles a method over 8000 bytecodes; above that, split expression code is faster
+    # than one interpreted whole-stage method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -32,9 +35,13 @@ def build_session(app_name: str = "demandspark", master: str | None = None, **co
     return builder.getOrCreate()
 
 
-def pin_time_zone(spark: SparkSession) -> None:
-    """Interval arithmetic on zone-less timestamps needs UTC to be free of DST jumps."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the plans rely on, for sessions not made by :func:`build_session`.
+
+    Differences of zone-less timestamps are free of DST jumps only with the zone at UTC.
+    """
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, {**SEMANTIC_CONF, **TUNING_CONF}[key])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -61,8 +61,7 @@ _SHIPMENT_TRIPS = """
            AS cbd_congestion_fee,
          'shipments_' || strftime(CASE WHEN l_partkey % 50 = 0 THEN l_shipdate + INTERVAL 1 MONTH
                                        ELSE l_shipdate END, '%Y-%m') || '.parquet' AS file
-  FROM (SELECT *, l_shipdate + to_hours(CAST((l_orderkey * 7 + l_linenumber * 5) % 24 AS INTEGER))
-                             + to_minutes(CAST(l_partkey % 60 AS INTEGER)) AS start_ts,
+  FROM (SELECT *, l_shipdate + to_minutes(CAST(l_orderkey % 1440 AS INTEGER)) AS start_ts,
                l_extendedprice / 200 - l_quantity / 4 AS fare
         FROM lineitem)"""
 
