@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import RANKER_INPUTS, Fold
 from demandspark.functions.columns import round_to
+from demandspark.operators.ranking import RankingInput
 from demandspark.operators.ranking_metrics import best_ranker
 
 REQUIRED_PREDICTION_COLUMNS = (
@@ -48,10 +49,10 @@ def folds_complete(metrics: DataFrame, folds: Sequence[Fold]) -> DataFrame:
     )
 
 
-def splits_ordered(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
+def splits_ordered(data: RankingInput) -> DataFrame:
     """Training ends before the fold start, testing lies inside the fold; one row per fold."""
     day = F.col("pickup_date")
-    dates = frame.agg(
+    dates = data.frame.agg(
         *[
             F.struct(
                 F.lit(f.number).alias("fold"),
@@ -61,9 +62,9 @@ def splits_ordered(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
                 F.min(F.when((day >= F.lit(f.start)) & (day < F.lit(f.end)), day)).alias("first_test"),
                 F.max(F.when((day >= F.lit(f.start)) & (day < F.lit(f.end)), day)).alias("last_test"),
             ).alias(f"_{f.number}")
-            for f in folds
+            for f in data.folds
         ]
-    ).select(F.inline(F.array(*[f"_{f.number}" for f in folds])))
+    ).select(F.inline(F.array(*[f"_{f.number}" for f in data.folds])))
     ordered = (
         (F.col("last_train") < F.col("fold_start"))
         & (F.col("fold_start") <= F.col("first_test"))

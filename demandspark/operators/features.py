@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandspark.config import MIN_HISTORY_DAYS, RANKER_INPUTS, WEEKS_BACK, Fold
+from demandspark.config import MIN_HISTORY_DAYS, RANKER_INPUTS, WEEKS_BACK
 from demandspark.functions.columns import epoch_day, finite_or_zero, ratio, training_folds
 from demandspark.operators.ranking import (
     HOUR_KEY,
+    RankingInput,
     observed_hours,
     target_hours,
     train_frame,
@@ -51,18 +52,15 @@ def _model_inputs() -> list[Column]:
 
 
 def training_panel(
-    frame: DataFrame,
-    folds: Sequence[Fold],
-    min_history_days: int = MIN_HISTORY_DAYS,
-    with_history_date: bool = False,
+    data: RankingInput, min_history_days: int = MIN_HISTORY_DAYS, with_history_date: bool = False
 ) -> DataFrame:
     """Every candidate zone at every observed hour before each fold start, silent hours as zero.
 
     Features of a date do not depend on the fold, so the windows run once over the longest
     training period and the rows are then dealt to the folds that may use them.
     """
-    day, last_start = F.col("pickup_date"), max(f.start for f in folds)
-    history = frame.filter(day < F.lit(last_start))
+    day, last_start = F.col("pickup_date"), max(f.start for f in data.folds)
+    history = data.frame.filter(day < F.lit(last_start))
     calendar = observed_hours(history).agg(
         F.sort_array(F.collect_list(F.struct("pickup_date", "pickup_hour"))).alias("hours")
     )
@@ -133,7 +131,7 @@ def training_panel(
     dealt = mature.select(
         "*",
         F.inline(
-            F.filter(training_folds(day, folds), lambda f: F.col("first_date") < f["fold_start"])
+            F.filter(training_folds(day, data.folds), lambda f: F.col("first_date") < f["fold_start"])
         ),
     )
     named = dealt.withColumns(
@@ -153,13 +151,10 @@ def training_panel(
     )
 
 
-def frozen_features(
-    frame: DataFrame, folds: Sequence[Fold], hours: DataFrame | None = None, with_history_date: bool = False
-) -> DataFrame:
+def frozen_features(data: RankingInput, with_history_date: bool = False) -> DataFrame:
     """Features of every candidate zone at every test hour, from the fold's training rows alone."""
-    targets = target_hours(frame, folds) if hours is None else hours
-    targets = targets.withColumn("dow", F.weekday("test_date"))
-    train = train_frame(frame, folds)
+    targets = target_hours(data)
+    train = train_frame(data)
     totals = train.groupBy("fold", "PULocationID").agg(
         F.bool_or("is_airport").alias("is_airport"),
         F.max("pickup_date").alias("last_history_date"),
@@ -177,7 +172,7 @@ def frozen_features(
         .join(targets, ["fold", "dow", "pickup_hour"])
         .drop("dow")
     )
-    weekly = weekly_scores(frame, folds).select(
+    weekly = weekly_scores(data).select(
         *HOUR_KEY,
         "PULocationID",
         F.col("last_week_trips").alias("same_hour_last_week_trips"),
@@ -187,9 +182,7 @@ def frozen_features(
     # One test window per fold: at most 24 hours for each of its days.
     spine = totals.join(F.broadcast(targets.drop("dow")), "fold")
     key = ["fold", "PULocationID", "test_date", "pickup_hour"]
-    parts = spine.unionByName(slots, allowMissingColumns=True).unionByName(
-        weekly.join(targets.drop("dow"), HOUR_KEY, "left_semi"), allowMissingColumns=True
-    )
+    parts = spine.unionByName(slots, allowMissingColumns=True).unionByName(weekly, allowMissingColumns=True)
     values = [c for c in parts.columns if c not in key]
     merged = parts.repartition("fold", "PULocationID").groupBy(*key).agg(*[F.max(c).alias(c) for c in values])
     day = F.col("test_date")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import AIRPORT_PATTERN, BASELINES, TOP_K, WEEKS_BACK, Fold
 from demandspark.functions.columns import contains_text, is_weekend, ratio, test_folds, training_folds
+from demandspark.session import materialize
 
 HOUR_KEY = ["fold", "test_date", "pickup_hour"]
 GROUP = ["fold", "scope", "baseline", "test_date", "pickup_hour"]
@@ -59,6 +60,29 @@ def support_scopes(thresholds: Iterable[int]) -> tuple[Scope, ...]:
     return tuple(Scope(str(t), min_trips=t) for t in thresholds)
 
 
+@dataclass(frozen=True)
+class RankingInput:
+    """What every ranking operator reads.
+
+    ``frame`` is the zone-hour series with its flags, ``calendar`` the observed hours of every fold
+    (bounded by the study period), ``zones`` the candidate zones of every fold.
+    """
+
+    frame: DataFrame
+    calendar: DataFrame
+    zones: DataFrame
+    folds: tuple[Fold, ...]
+
+
+def ranking_input(
+    series: DataFrame, folds: Sequence[Fold], airport_pattern: str = AIRPORT_PATTERN
+) -> RankingInput:
+    """Write the three tables once; all branches of a ranking plan then read them instead of trips."""
+    frame = materialize(ranking_frame(series, airport_pattern), "zone-hour-series")
+    calendar = materialize(fold_calendar(frame, folds), "fold-calendar")
+    return RankingInput(frame, calendar, materialize(zone_totals(frame, folds), "fold-zones"), tuple(folds))
+
+
 def ranking_frame(series: DataFrame, airport_pattern: str = AIRPORT_PATTERN) -> DataFrame:
     """The zone-hour series with the flags every ranking operator uses."""
     day = F.col("pickup_date")
@@ -71,7 +95,23 @@ def ranking_frame(series: DataFrame, airport_pattern: str = AIRPORT_PATTERN) ->
     )
 
 
-def frame_profile(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
+def observed_hours(frame: DataFrame) -> DataFrame:
+    """The distinct (date, hour) pairs: bounded by the calendar, not by the trips."""
+    return frame.select("pickup_date", "pickup_hour").distinct()
+
+
+def fold_calendar(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
+    """Observed hours of every fold, marked ``tested`` or not; folds without training are left out."""
+    day = F.col("pickup_date")
+    hours = observed_hours(frame).withColumn("dow", F.weekday(day))
+    trained = hours.select("*", F.inline(training_folds(day, folds)), F.lit(False).alias("tested"))
+    tested = hours.select("*", F.inline(test_folds(day, folds)), F.lit(True).alias("tested"))
+    first_day = frame.agg(F.min("pickup_date")).scalar()
+    both = trained.unionByName(tested).filter(F.col("fold_start") > first_day)
+    return both.select("fold", "tested", "pickup_date", "dow", "pickup_hour")
+
+
+def frame_profile(data: RankingInput) -> DataFrame:
     """Date range, zones, and the train and test rows of each fold."""
     day = F.col("pickup_date")
     shared = [
@@ -85,42 +125,33 @@ def frame_profile(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
             F.count_if(day < F.lit(f.start)).alias("train_rows"),
             F.count_if((day >= F.lit(f.start)) & (day < F.lit(f.end))).alias("test_rows"),
         ).alias(f"_{f.number}")
-        for f in folds
+        for f in data.folds
     ]
-    row = frame.agg(*shared, *per_fold)
-    return row.select("first_date", "last_date", "zones", F.inline(F.array(*[f"_{f.number}" for f in folds])))
+    row = data.frame.agg(*shared, *per_fold)
+    split = F.inline(F.array(*[f"_{f.number}" for f in data.folds]))
+    return row.select("first_date", "last_date", "zones", split)
 
 
-def train_frame(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
+def train_frame(data: RankingInput) -> DataFrame:
     """One copy of each row per fold that may train on it."""
-    return frame.select("*", F.inline(training_folds(F.col("pickup_date"), folds)))
-
-
-def observed_hours(frame: DataFrame) -> DataFrame:
-    """The distinct (date, hour) pairs: bounded by the calendar, not by the trips."""
-    return frame.select("pickup_date", "pickup_hour").distinct()
+    return data.frame.select("*", F.inline(training_folds(F.col("pickup_date"), data.folds)))
 
 
-def train_slots(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
+def train_slots(data: RankingInput) -> DataFrame:
     """Observed training dates of each (fold, weekday, hour)."""
-    hours = train_frame(observed_hours(frame), folds)
-    return hours.groupBy("fold", F.weekday("pickup_date").alias("dow"), "pickup_hour").agg(
-        F.count(F.lit(1)).alias("n_slots")
-    )
+    hours = data.calendar.filter(~F.col("tested"))
+    return hours.groupBy("fold", "dow", "pickup_hour").agg(F.count(F.lit(1)).alias("n_slots"))
 
 
-def train_hour_counts(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
-    return train_frame(observed_hours(frame), folds).groupBy("fold").agg(F.count(F.lit(1)).alias("n_hours"))
+def train_hour_counts(data: RankingInput) -> DataFrame:
+    hours = data.calendar.filter(~F.col("tested"))
+    return hours.groupBy("fold").agg(F.count(F.lit(1)).alias("n_hours"))
 
 
-def target_hours(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
+def target_hours(data: RankingInput) -> DataFrame:
     """Observed test hours of every fold that has something to train on."""
-    day = F.col("pickup_date")
-    tested = observed_hours(frame).select(
-        "pickup_hour", day.alias("test_date"), F.inline(test_folds(day, folds))
-    )
-    first_day = frame.agg(F.min("pickup_date")).scalar()
-    return tested.filter(F.col("fold_start") > first_day).select(*HOUR_KEY)
+    tested = data.calendar.filter("tested")
+    return tested.select("fold", F.col("pickup_date").alias("test_date"), "pickup_hour", "dow")
 
 
 def zone_totals(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
@@ -144,32 +175,31 @@ def zone_totals(frame: DataFrame, folds: Sequence[Fold]) -> DataFrame:
 # ---------------------------------------------------------------- sparse scores
 
 
-def profile_scores(frame: DataFrame, folds: Sequence[Fold], variant: str = "slots") -> DataFrame:
+def profile_scores(data: RankingInput, variant: str = "slots") -> DataFrame:
     """Average trips per (fold, weekday, hour, zone).
 
     ``slots`` divides by the number of training dates that have the slot at all,
     ``observed_mean`` by the rows the zone itself has there.
     """
-    grouped = train_frame(frame, folds).groupBy("fold", "dow", "pickup_hour", "PULocationID")
+    grouped = train_frame(data).groupBy("fold", "dow", "pickup_hour", "PULocationID")
     sums = grouped.agg(F.sum("trips").alias("trips"), F.count(F.lit(1)).alias("n_rows"))
     if variant == "observed_mean":
         return sums.withColumn("score", ratio(F.col("trips"), F.col("n_rows")))
-    slots = train_slots(frame, folds)
-    return sums.join(slots, ["fold", "dow", "pickup_hour"]).withColumn(
+    return sums.join(train_slots(data), ["fold", "dow", "pickup_hour"]).withColumn(
         "score", ratio(F.col("trips"), F.col("n_slots"))
     )
 
 
-def weekly_scores(frame: DataFrame, folds: Sequence[Fold], weeks: int = WEEKS_BACK) -> DataFrame:
+def weekly_scores(data: RankingInput, weeks: int = WEEKS_BACK) -> DataFrame:
     """What each zone did in the same hour one to four weeks before each test hour.
 
     Every row is sent forward to the dates it is a lag of, and one join keeps those that are test
     hours; only rows before the fold start count.
     """
     day = F.col("pickup_date")
-    earliest = min(f.start for f in folds)
-    latest = max(f.start for f in folds)
-    recent = frame.filter((day >= F.date_sub(F.lit(earliest), 7 * weeks)) & (day < F.lit(latest)))
+    earliest = min(f.start for f in data.folds)
+    latest = max(f.start for f in data.folds)
+    recent = data.frame.filter((day >= F.date_sub(F.lit(earliest), 7 * weeks)) & (day < F.lit(latest)))
     sent = recent.select(
         day,
         "pickup_hour",
@@ -178,9 +208,9 @@ def weekly_scores(frame: DataFrame, folds: Sequence[Fold], weeks: int = WEEKS_BA
         "gross_passenger_spend",
         F.explode(F.sequence(F.lit(1), F.lit(weeks))).alias("weeks_back"),
     ).withColumn("test_date", F.date_add("pickup_date", F.col("weeks_back") * 7))
-    reached = sent.select("*", F.inline(test_folds(F.col("test_date"), folds)))
+    reached = sent.select("*", F.inline(test_folds(F.col("test_date"), data.folds)))
     usable = reached.filter(F.col("pickup_date") < F.col("fold_start"))
-    matched = usable.join(target_hours(frame, folds), HOUR_KEY, "left_semi")
+    matched = usable.join(target_hours(data), HOUR_KEY, "left_semi")
     return matched.groupBy(*HOUR_KEY, "PULocationID").agg(
         F.max(F.when(F.col("weeks_back") == 1, F.col("trips"))).alias("last_week_trips"),
         F.avg("trips").alias("trailing_trips"),
@@ -188,17 +218,20 @@ def weekly_scores(frame: DataFrame, folds: Sequence[Fold], weeks: int = WEEKS_BA
     )
 
 
-def sparse_scores(frame: DataFrame, folds: Sequence[Fold], variant: str = "slots") -> DataFrame:
+def _named_score(baseline: str, score: Column) -> Column:
+    return F.struct(F.lit(baseline).alias("baseline"), score.alias("score"))
+
+
+def sparse_scores(data: RankingInput, variant: str = "slots") -> DataFrame:
     """Own scores of all baselines, long, at test-hour grain."""
-    hours = target_hours(frame, folds).withColumn("dow", F.weekday("test_date"))
-    profile = profile_scores(frame, folds, variant).join(hours, ["fold", "dow", "pickup_hour"])
-    weekly = weekly_scores(frame, folds).select(
+    profile = profile_scores(data, variant).join(target_hours(data), ["fold", "dow", "pickup_hour"])
+    weekly = weekly_scores(data).select(
         *HOUR_KEY,
         "PULocationID",
         F.inline(
             F.array(
-                F.struct(F.lit("same_hour_last_week").alias("baseline"), F.col("last_week_trips").cast("double").alias("score")),
-                F.struct(F.lit("trailing_4_week_profile").alias("baseline"), F.col("trailing_trips").alias("score")),
+                _named_score("same_hour_last_week", F.col("last_week_trips").cast("double")),
+                _named_score("trailing_4_week_profile", F.col("trailing_trips")),
             )
         ),
     )
@@ -210,15 +243,13 @@ def sparse_scores(frame: DataFrame, folds: Sequence[Fold], variant: str = "slots
     )
 
 
-def candidates(
-    frame: DataFrame, folds: Sequence[Fold], scopes: Sequence[Scope], variant: str = "slots"
-) -> DataFrame:
+def candidates(data: RankingInput, scopes: Sequence[Scope], variant: str = "slots") -> DataFrame:
     """Candidate zones of each fold, scope and baseline with fallback score and position.
 
     Each partition of the window is one copy of the zone dimension, not of the trips.
     """
     total = F.col("total_trips").cast("double")
-    zones = zone_totals(frame, folds).join(train_hour_counts(frame, folds), "fold")
+    zones = data.zones.join(train_hour_counts(data), "fold")
     fallback = {
         "global_popularity": total,
         "zone_hour_profile": ratio(total, F.col("observed_rows" if variant == "observed_mean" else "n_hours")),
@@ -280,18 +311,17 @@ def ranking_groups(hours: DataFrame, scopes: Sequence[Scope], baselines: Sequenc
 
 
 def rank_baselines(
-    frame: DataFrame,
-    folds: Sequence[Fold],
+    data: RankingInput,
     scopes: Sequence[Scope] = (EVERY_ZONE,),
     k: int = max(TOP_K),
     variant: str = "slots",
 ) -> DataFrame:
     """The first ``k`` zones of every (fold, scope, baseline, test hour): score desc, zone asc."""
-    pool = candidates(frame, folds, scopes, variant)
-    own = sparse_scores(frame, folds, variant).join(pool.drop("fallback"), ["fold", "baseline", "PULocationID"])
+    pool = candidates(data, scopes, variant)
+    own = sparse_scores(data, variant).join(pool.drop("fallback"), ["fold", "baseline", "PULocationID"])
     sizes = pool.filter("position = 1").select("fold", "scope", "baseline", "n_candidates")
     start = (
-        ranking_groups(target_hours(frame, folds), scopes, BASELINES)
+        ranking_groups(target_hours(data), scopes, BASELINES)
         .join(sizes, ["fold", "scope", "baseline"])
         .select(
             *GROUP,

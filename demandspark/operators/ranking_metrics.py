@@ -8,26 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandspark.config import BASELINES, TOP_K, UNKNOWN, Fold
+from demandspark.config import BASELINES, TOP_K, UNKNOWN
 from demandspark.functions.columns import day_name, day_type, ratio, round_to, test_folds, time_block
 from demandspark.operators.ranking import (
     EVERY_ZONE,
     GROUP,
     HOUR_KEY,
+    RankingInput,
     Scope,
     ranking_groups,
     target_hours,
-    zone_totals,
 )
 
 
-def actual_relevance(
-    frame: DataFrame, folds: Sequence[Fold], scopes: Sequence[Scope] = (EVERY_ZONE,)
-) -> DataFrame:
+def actual_relevance(data: RankingInput, scopes: Sequence[Scope] = (EVERY_ZONE,)) -> DataFrame:
     """Gross spend per test hour and zone with its rank, for each relevance the scopes need."""
     day = F.col("pickup_date")
-    tested = frame.select(
-        "*", F.inline(test_folds(day, folds)), day.alias("test_date")
+    tested = data.frame.select(
+        "*", F.inline(test_folds(day, data.folds)), day.alias("test_date")
     ).groupBy(*HOUR_KEY, "PULocationID").agg(
         F.sum("gross_passenger_spend").alias("spend"),
         F.bool_or("is_airport").alias("is_airport"),
@@ -38,7 +36,7 @@ def actual_relevance(
     restricted = [s for s in scopes if s.airport is not None]
     if restricted:
         # Outside the airports only zones known from training count.
-        known = zone_totals(frame, folds).select("fold", "PULocationID", F.lit(True).alias("known"))
+        known = data.zones.select("fold", "PULocationID", F.lit(True).alias("known"))
         tested = tested.join(known, ["fold", "PULocationID"], "left")
         conditions = {EVERY_ZONE.name: F.lit(True)}
         for s in restricted:
@@ -62,8 +60,7 @@ def _gain(relevance: str, rank: str, k: int) -> Column:
 
 def ranking_metrics(
     ranking: DataFrame,
-    frame: DataFrame,
-    folds: Sequence[Fold],
+    data: RankingInput,
     scopes: Sequence[Scope] = (EVERY_ZONE,),
     baselines: Sequence[str] = BASELINES,
     ks: Sequence[int] = TOP_K,
@@ -72,8 +69,8 @@ def ranking_metrics(
 
     NDCG is NULL without relevance, hit rate without actual zones, precision without a ranking.
     """
-    actual = actual_relevance(frame, folds, scopes)
-    groups = ranking_groups(target_hours(frame, folds), scopes, baselines)
+    actual = actual_relevance(data, scopes)
+    groups = ranking_groups(target_hours(data), scopes, baselines)
     relevance_of = {s.name: s.relevance for s in scopes}
     scope_map = F.create_map(*[F.lit(x) for pair in relevance_of.items() for x in pair])
     judged = ranking.withColumn("relevance_scope", scope_map[F.col("scope")]).join(
@@ -115,11 +112,9 @@ def baseline_table(metrics: DataFrame) -> DataFrame:
     return metrics.drop("scope")
 
 
-def support_table(
-    metrics: DataFrame, frame: DataFrame, folds: Sequence[Fold], scopes: Sequence[Scope]
-) -> DataFrame:
+def support_table(metrics: DataFrame, data: RankingInput, scopes: Sequence[Scope]) -> DataFrame:
     """Metrics of the support scopes with the share of candidates that reach the threshold."""
-    counts = zone_totals(frame, folds).groupBy("fold").agg(
+    counts = data.zones.groupBy("fold").agg(
         F.count(F.lit(1)).alias("candidate_zone_count"),
         *[F.count_if(F.col("total_trips") >= s.min_trips).alias(f"_{s.name}") for s in scopes],
     )
@@ -150,11 +145,9 @@ def airport_table(metrics: DataFrame) -> DataFrame:
     return metrics.drop(*hit_rates).withColumnRenamed("scope", "airport_group")
 
 
-def named_predictions(
-    ranking: DataFrame, frame: DataFrame, folds: Sequence[Fold], k: int = max(TOP_K)
-) -> DataFrame:
+def named_predictions(ranking: DataFrame, data: RankingInput, k: int = max(TOP_K)) -> DataFrame:
     """The first k zones with what happened; names only from zones seen in that very hour."""
-    actual = actual_relevance(frame, folds).select(
+    actual = actual_relevance(data).select(
         *HOUR_KEY, "PULocationID", "pickup_zone", "pickup_borough", "spend", "actual_rank"
     )
     joined = ranking.join(actual, [*HOUR_KEY, "PULocationID"], "left")

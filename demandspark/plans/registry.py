@@ -25,7 +25,7 @@ from demandspark.operators import (
     scoring,
     timeseries,
 )
-from demandspark.plans import testdata
+from demandspark.plans import study, testdata
 from demandspark.plans.testdata import STUDY
 from demandspark.session import materialize
 
@@ -101,21 +101,21 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.matched_predictions(naive(spark, sf))
 
 
-def frame(spark: SparkSession, sf: str) -> DataFrame:
+def ranking_data(spark: SparkSession, sf: str) -> ranking.RankingInput:
     """The ranking input, written once: every ranking plan reads it several times."""
     series = kpis.zone_hour_timeseries(
         trips(spark, sf), testdata.customer_zones(spark, sf), STUDY.sentinels
     )
-    return materialize(ranking.ranking_frame(series, STUDY.airport_pattern), "zone-hour-series")
+    return ranking.ranking_input(series, STUDY.folds, STUDY.airport_pattern)
 
 
-def scope_metrics(base: DataFrame, scopes=(ranking.EVERY_ZONE,)) -> DataFrame:
-    ranked = ranking.rank_baselines(base, STUDY.folds, scopes)
-    return ranking_metrics.ranking_metrics(ranked, base, STUDY.folds, scopes, ks=STUDY.top_k)
+def scope_metrics(base: ranking.RankingInput, scopes=(ranking.EVERY_ZONE,)) -> DataFrame:
+    ranked = ranking.rank_baselines(base, scopes)
+    return ranking_metrics.ranking_metrics(ranked, base, scopes, ks=STUDY.top_k)
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking_metrics.baseline_table(scope_metrics(frame(spark, sf)))
+    return ranking_metrics.baseline_table(scope_metrics(ranking_data(spark, sf)))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -401,32 +401,32 @@ def actual_and_predicted(spark, sf):
 
 @query
 def frame_profile(spark, sf):
-    return ranking.frame_profile(frame(spark, sf), STUDY.folds)
+    return ranking.frame_profile(ranking_data(spark, sf))
 
 
 @query
 def train_slots(spark, sf):
-    return ranking.train_slots(frame(spark, sf), STUDY.folds)
+    return ranking.train_slots(ranking_data(spark, sf))
 
 
 @query
 def train_hour_counts(spark, sf):
-    return ranking.train_hour_counts(frame(spark, sf), STUDY.folds)
+    return ranking.train_hour_counts(ranking_data(spark, sf))
 
 
 @query
 def zone_totals(spark, sf):
-    return ranking.zone_totals(frame(spark, sf), STUDY.folds)
+    return ranking_data(spark, sf).zones
 
 
 @query
 def profile_scores(spark, sf):
-    return rounded(ranking.profile_scores(frame(spark, sf), STUDY.folds), ["score"])
+    return rounded(ranking.profile_scores(ranking_data(spark, sf)), ["score"])
 
 
 @query
 def weekly_scores(spark, sf):
-    scores = ranking.weekly_scores(frame(spark, sf), STUDY.folds)
+    scores = ranking.weekly_scores(ranking_data(spark, sf))
     return rounded(scores, ["trailing_trips", "trailing_spend"])
 
 
@@ -434,20 +434,20 @@ def weekly_scores(spark, sf):
 def ranking_scores(spark, sf):
     """First 20 zones of every scope and baseline, with their scores."""
     scopes = (ranking.EVERY_ZONE, *SUPPORT, *ranking.AIRPORT_SCOPES)
-    return rounded(ranking.rank_baselines(frame(spark, sf), STUDY.folds, scopes), ["score"])
+    return rounded(ranking.rank_baselines(ranking_data(spark, sf), scopes), ["score"])
 
 
 @query
 def observed_mean_ranking(spark, sf):
-    ranked = ranking.rank_baselines(frame(spark, sf), STUDY.folds, variant="observed_mean")
+    ranked = ranking.rank_baselines(ranking_data(spark, sf), variant="observed_mean")
     profile_only = ranked.filter("baseline = 'zone_hour_profile'").drop("scope", "baseline")
     return rounded(profile_only, ["score"])
 
 
 @query
 def ranking_predictions(spark, sf):
-    base = frame(spark, sf)
-    return ranking_metrics.named_predictions(ranking.rank_baselines(base, STUDY.folds), base, STUDY.folds)
+    base = ranking_data(spark, sf)
+    return ranking_metrics.named_predictions(ranking.rank_baselines(base), base)
 
 
 @query
@@ -457,14 +457,14 @@ def baseline_metrics(spark, sf):
 
 @query
 def support_metrics(spark, sf):
-    base = frame(spark, sf)
-    table = ranking_metrics.support_table(scope_metrics(base, SUPPORT), base, STUDY.folds, SUPPORT)
+    base = ranking_data(spark, sf)
+    table = ranking_metrics.support_table(scope_metrics(base, SUPPORT), base, SUPPORT)
     return rounded(table, [*METRICS, "support_coverage"])
 
 
 @query
 def airport_metrics(spark, sf):
-    scoped = scope_metrics(frame(spark, sf), ranking.AIRPORT_SCOPES)
+    scoped = scope_metrics(ranking_data(spark, sf), ranking.AIRPORT_SCOPES)
     return rounded(ranking_metrics.airport_table(scoped), METRICS)
 
 
@@ -475,15 +475,15 @@ def ranking_summary(spark, sf):
 
 @query
 def support_summary(spark, sf):
-    base = frame(spark, sf)
-    table = ranking_metrics.support_table(scope_metrics(base, SUPPORT), base, STUDY.folds, SUPPORT)
+    base = ranking_data(spark, sf)
+    table = ranking_metrics.support_table(scope_metrics(base, SUPPORT), base, SUPPORT)
     measures = ["ndcg_at_5", "ndcg_at_10", "ndcg_at_20", "precision_at_10", "support_coverage"]
     return ranking_metrics.summarize(table, ["support_threshold", "baseline"], measures)
 
 
 @query
 def airport_summary(spark, sf):
-    table = ranking_metrics.airport_table(scope_metrics(frame(spark, sf), ranking.AIRPORT_SCOPES))
+    table = ranking_metrics.airport_table(scope_metrics(ranking_data(spark, sf), ranking.AIRPORT_SCOPES))
     measures = [m for m in METRICS if not m.startswith("hit_rate")]
     return ranking_metrics.summarize(table, ["baseline", "airport_group"], measures)
 
@@ -528,23 +528,23 @@ def heldout_hours(spark, sf):
 
 @query
 def training_panel(spark, sf):
-    panel = features.training_panel(frame(spark, sf), STUDY.folds, STUDY.min_history_days)
+    panel = features.training_panel(ranking_data(spark, sf), STUDY.min_history_days)
     return rounded(panel, [*RANKER_INPUTS[5:], features.TARGET])
 
 
 @query
 def frozen_features(spark, sf):
-    return rounded(features.frozen_features(frame(spark, sf), STUDY.folds), RANKER_INPUTS[5:])
+    return rounded(features.frozen_features(ranking_data(spark, sf)), RANKER_INPUTS[5:])
 
 
 @query
 def feature_null_counts(spark, sf):
-    return features.feature_null_counts(features.frozen_features(frame(spark, sf), STUDY.folds))
+    return features.feature_null_counts(features.frozen_features(ranking_data(spark, sf)))
 
 
 @query
 def feature_summary(spark, sf):
-    summary = features.feature_summary(features.frozen_features(frame(spark, sf), STUDY.folds))
+    summary = features.feature_summary(features.frozen_features(ranking_data(spark, sf)))
     return rounded(summary, ["mean", "std", "min", "max"], 4)
 
 
@@ -572,14 +572,14 @@ def driver_opportunity(spark, sf):
 
 @query
 def fold_check(spark, sf):
-    return checks.splits_ordered(frame(spark, sf), STUDY.folds)
+    return checks.splits_ordered(ranking_data(spark, sf))
 
 
 @query
 def leakage_check(spark, sf):
-    base = frame(spark, sf)
-    panel = features.training_panel(base, STUDY.folds, STUDY.min_history_days, with_history_date=True)
-    frozen = features.frozen_features(base, STUDY.folds, with_history_date=True)
+    base = ranking_data(spark, sf)
+    panel = features.training_panel(base, STUDY.min_history_days, with_history_date=True)
+    frozen = features.frozen_features(base, with_history_date=True)
     return checks.history_before_target(panel, "pickup_date", "training").unionByName(
         checks.history_before_target(frozen, "test_date", "test")
     )
@@ -594,18 +594,18 @@ def all_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return timeseries.naive_predictions(ready, STUDY.folds).unionByName(fitted)
 
 
-def learned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(series frame, learned ranking)."""
-    base = frame(spark, sf)
-    panel = features.training_panel(base, STUDY.folds, STUDY.min_history_days)
+def learned(spark: SparkSession, sf: str) -> tuple[ranking.RankingInput, DataFrame]:
+    """(ranking input, learned ranking)."""
+    base = ranking_data(spark, sf)
+    panel = features.training_panel(base, STUDY.min_history_days)
     scores = models.learned_scores(
-        panel, features.frozen_features(base, STUDY.folds), STUDY.folds, STUDY.ranker_iterations
+        panel, features.frozen_features(base), STUDY.folds, STUDY.ranker_iterations
     )
     return base, materialize(models.learned_ranking(scores), "learned-ranking")
 
 
-def learned_table(base: DataFrame, ranked: DataFrame) -> DataFrame:
-    table = ranking_metrics.ranking_metrics(ranked, base, STUDY.folds, baselines=(LEARNED,), ks=STUDY.top_k)
+def learned_table(base: ranking.RankingInput, ranked: DataFrame) -> DataFrame:
+    table = ranking_metrics.ranking_metrics(ranked, base, baselines=(LEARNED,), ks=STUDY.top_k)
     return ranking_metrics.baseline_table(table)
 
 
@@ -624,7 +624,7 @@ def model_forecast_metrics(spark, sf):
 @query
 def learned_ranker_predictions(spark, sf):
     base, ranked = learned(spark, sf)
-    return ranking_metrics.named_predictions(ranked, base, STUDY.folds)
+    return ranking_metrics.named_predictions(ranked, base)
 
 
 @query
@@ -646,24 +646,8 @@ def ranking_validation(spark, sf):
     base, ranked = learned(spark, sf)
     own = materialize(learned_table(base, ranked), "learned-metrics")
     baselines = ranking_metrics.baseline_table(scope_metrics(base))
-    predictions = ranking_metrics.named_predictions(ranked, base, STUDY.folds)
-    panel = features.training_panel(base, STUDY.folds, STUDY.min_history_days, with_history_date=True)
-    frozen = features.frozen_features(base, STUDY.folds, with_history_date=True)
-    results = checks.verdict(
-        [
-            checks.rows_present(own, "learned metrics"),
-            checks.rows_present(predictions, "learned predictions"),
-            checks.folds_complete(own, STUDY.folds),
-            checks.splits_ordered(base, STUDY.folds),
-            checks.history_before_target(panel, "pickup_date", "training"),
-            checks.history_before_target(frozen, "test_date", "test"),
-            checks.target_not_an_input(base),
-            checks.required_columns(predictions),
-            checks.predictions_finite(predictions),
-            checks.beats_baselines(own, baselines),
-        ]
-    )
-    return results
+    predictions = ranking_metrics.named_predictions(ranked, base)
+    return checks.verdict(study.ranking_checks(base, own, predictions, baselines, STUDY))
 
 
 def queries() -> dict[str, Query]:
