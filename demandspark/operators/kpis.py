@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import CARD_PAYMENT, SENTINEL_ZONES
 from demandspark.functions.columns import day_type, ratio, round_to, weekend_label
-from demandspark.operators.medians import exact_medians
+from demandspark.operators.medians import join_medians
 from demandspark.operators.zones import join_lookup, label_zones
 
 
@@ -61,7 +61,8 @@ def kpis(trips: DataFrame) -> DataFrame:
         _sum_ratio("total_amount", "trip_distance").alias("gross_spend_per_mile"),
         card_tip_rate().alias("card_tip_rate"),
     ).withColumn("_all", F.lit(1))
-    medians = exact_medians(
+    joined = join_medians(
+        totals,
         trips.select(F.lit(1).alias("_all"), "trip_distance", "trip_duration_min", "total_amount"),
         ["_all"],
         {
@@ -70,16 +71,15 @@ def kpis(trips: DataFrame) -> DataFrame:
             "median_gross_spend_per_trip": "total_amount",
         },
     )
-    joined = totals.join(medians, "_all", "left")
     return joined.select(
         "trips",
         "active_days",
         "avg_trip_distance_miles",
-        round_to(F.col("median_trip_distance_miles"), 2).alias("median_trip_distance_miles"),
+        "median_trip_distance_miles",
         "avg_trip_duration_min",
-        round_to(F.col("median_trip_duration_min"), 2).alias("median_trip_duration_min"),
+        "median_trip_duration_min",
         "avg_gross_spend_per_trip",
-        round_to(F.col("median_gross_spend_per_trip"), 2).alias("median_gross_spend_per_trip"),
+        "median_gross_spend_per_trip",
         "gross_passenger_spend",
         "gross_spend_per_mile",
         "card_tip_rate",
@@ -99,7 +99,8 @@ def kpis_monthly(trips: DataFrame) -> DataFrame:
         card_tip_rate().alias("card_tip_rate"),
         round_to(F.avg((F.col("cbd_congestion_fee") > 0).cast("int")), 4).alias("share_with_cbd_fee"),
     )
-    medians = exact_medians(
+    joined = join_medians(
+        monthly,
         trips,
         ["month"],
         {
@@ -109,17 +110,17 @@ def kpis_monthly(trips: DataFrame) -> DataFrame:
         },
     )
     per_day = round_to(ratio(F.col("trips"), F.col("active_days")), 0)
-    return monthly.join(medians, "month", "left").select(
+    return joined.select(
         "month",
         "trips",
         "active_days",
         per_day.alias("trips_per_day"),
         "avg_distance_miles",
-        round_to(F.col("median_distance_miles"), 2).alias("median_distance_miles"),
+        "median_distance_miles",
         "avg_duration_min",
-        round_to(F.col("median_duration_min"), 2).alias("median_duration_min"),
+        "median_duration_min",
         "avg_gross_spend",
-        round_to(F.col("median_gross_spend"), 2).alias("median_gross_spend"),
+        "median_gross_spend",
         "gross_passenger_spend",
         "gross_spend_per_mile",
         "card_tip_rate",

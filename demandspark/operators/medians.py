@@ -8,10 +8,15 @@ share one shuffle (Spark reuses the exchange).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from demandspark.functions.columns import round_to
+
 
 def exact_medians(
     df: DataFrame, keys: list[str], measures: dict[str, str], bin_width: float = 1 / 64
@@ -49,11 +54,13 @@ def exact_medians(
             }
         )
         .filter("(_low > _before AND _low <= _through) OR (_high > _before AND _high <= _through)")
-        .select(*group, "_bin", "_before", "_low", "_high")
+        .select(*[F.col(c).alias(f"{c}_at") for c in (*group, "_bin")], "_before", "_low", "_high")
     )
 
-    # At most two bins per key and measure, whatever the size of the trips.
-    inside = counted.join(F.broadcast(located), [*group, "_bin"])
+    # At most two bins per key and measure, whatever the size of the trips.  The null-safe keys keep
+    # Spark from adding a filter to this branch only, which would part it from the shared shuffle.
+    same_bin = [F.col(c).eqNullSafe(F.col(f"{c}_at")) for c in (*group, "_bin")]
+    inside = counted.join(F.broadcast(located), reduce(and_, same_bin))
     ordered = W.partitionBy(*group, "_bin").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = inside.withColumn("_last", F.col("_before") + F.sum("_n").over(ordered))
 
@@ -67,3 +74,18 @@ def exact_medians(
     return medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_measure") == out, F.col("_median"))).alias(out) for out in measures]
     )
+
+
+def join_medians(
+    totals: DataFrame, df: DataFrame, keys: list[str], measures: dict[str, str], digits: int = 2
+) -> DataFrame:
+    """``totals`` (one row per ``keys``) with the rounded medians of ``df`` added.
+
+    Keys are compared null-safe: a NULL group keeps its medians, and no filter is inferred.
+    """
+    medians = exact_medians(df, keys, measures).withColumns(
+        {out: round_to(F.col(out), digits) for out in measures}
+    )
+    renamed = medians.withColumnsRenamed({c: f"{c}_of" for c in keys})
+    matching = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in keys])
+    return totals.join(renamed, matching, "left").drop(*[f"{c}_of" for c in keys])
