@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import CARD_PAYMENT, SENTINEL_ZONES
 from demandspark.functions.columns import day_type, ratio, round_to, weekend_label
-from demandspark.operators.medians import join_medians
+from demandspark.operators.medians import with_medians
 from demandspark.operators.zones import join_lookup, label_zones
 
 
@@ -60,11 +60,11 @@ def kpis(trips: DataFrame) -> DataFrame:
         _total("total_amount").alias("gross_passenger_spend"),
         _sum_ratio("total_amount", "trip_distance").alias("gross_spend_per_mile"),
         card_tip_rate().alias("card_tip_rate"),
-    ).withColumn("_all", F.lit(1))
-    joined = join_medians(
+    )
+    joined = with_medians(
         totals,
-        trips.select(F.lit(1).alias("_all"), "trip_distance", "trip_duration_min", "total_amount"),
-        ["_all"],
+        trips,
+        [],
         {
             "median_trip_distance_miles": "trip_distance",
             "median_trip_duration_min": "trip_duration_min",
@@ -99,7 +99,7 @@ def kpis_monthly(trips: DataFrame) -> DataFrame:
         card_tip_rate().alias("card_tip_rate"),
         round_to(F.avg((F.col("cbd_congestion_fee") > 0).cast("int")), 4).alias("share_with_cbd_fee"),
     )
-    joined = join_medians(
+    joined = with_medians(
         monthly,
         trips,
         ["month"],

@@ -76,16 +76,15 @@ def exact_medians(
     )
 
 
-def join_medians(
+def with_medians(
     totals: DataFrame, df: DataFrame, keys: list[str], measures: dict[str, str], digits: int = 2
 ) -> DataFrame:
-    """``totals`` (one row per ``keys``) with the rounded medians of ``df`` added.
+    """``totals`` (one row per ``keys``, one row in all without keys) with the rounded medians of ``df``.
 
-    Keys are compared null-safe: a NULL group keeps its medians, and no filter is inferred.
+    Both sides are tiny, so they are stacked and regrouped: NULL keys meet, and nothing is joined.
     """
     medians = exact_medians(df, keys, measures).withColumns(
         {out: round_to(F.col(out), digits) for out in measures}
     )
-    renamed = medians.withColumnsRenamed({c: f"{c}_of" for c in keys})
-    matching = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in keys])
-    return totals.join(renamed, matching, "left").drop(*[f"{c}_of" for c in keys])
+    stacked = totals.unionByName(medians, allowMissingColumns=True)
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in keys])

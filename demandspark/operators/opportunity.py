@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.config import AIRPORT_PATTERN, OBJECTIVES
@@ -36,11 +35,22 @@ def zone_opportunity(
     return top_ranked(scored, PERIOD, "opportunity_score", top)
 
 
-def min_max_score(value: Column) -> Column:
-    """Position of a value within its period's range; 1 when all values are equal."""
-    period = W.partitionBy(*PERIOD)
-    low, high = F.min(value).over(period), F.max(value).over(period)
-    return F.when(low == high, 1.0).otherwise(ratio(value - low, high - low))
+def min_max_scores(df: DataFrame, measures: Mapping[str, str]) -> DataFrame:
+    """Position of each measure within its period's range; 1 when all values are equal.
+
+    The ranges are aggregated apart and joined back, so no task gathers a whole period.
+    """
+    ranges = df.groupBy(*PERIOD).agg(
+        *[F.min(source).alias(f"_low_{out}") for out, source in measures.items()],
+        *[F.max(source).alias(f"_high_{out}") for out, source in measures.items()],
+    )
+    # At most 48 rows: 24 hours of two day types.
+    joined = df.join(F.broadcast(ranges), PERIOD)
+    scores = {}
+    for out, source in measures.items():
+        low, high = F.col(f"_low_{out}"), F.col(f"_high_{out}")
+        scores[out] = F.when(low == high, 1.0).otherwise(ratio(F.col(source) - low, high - low))
+    return joined.withColumns(scores).drop(*[f"_{end}_{out}" for out in measures for end in ("low", "high")])
 
 
 def driver_opportunity(
@@ -62,11 +72,8 @@ def driver_opportunity(
     valued = joined.withColumn(
         "gross_spend_opportunity", F.col("avg_daily_trips") * F.col("avg_gross_spend_per_trip")
     )
-    scored = valued.withColumns(
-        {
-            "trip_score": min_max_score(F.col("avg_daily_trips")),
-            "spend_score": min_max_score(F.col("gross_spend_opportunity")),
-        }
+    scored = min_max_scores(
+        valued, {"trip_score": "avg_daily_trips", "spend_score": "gross_spend_opportunity"}
     )
     weighted = scored.select(
         "*",

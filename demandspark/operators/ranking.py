@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import AIRPORT_PATTERN, BASELINES, TOP_K, WEEKS_BACK, Fold
 from demandspark.functions.columns import contains_text, is_weekend, ratio, test_folds, training_folds
+from demandspark.operators.positions import numbered
 from demandspark.session import materialize
 
 HOUR_KEY = ["fold", "test_date", "pickup_hour"]
@@ -244,10 +245,7 @@ def sparse_scores(data: RankingInput, variant: str = "slots") -> DataFrame:
 
 
 def candidates(data: RankingInput, scopes: Sequence[Scope], variant: str = "slots") -> DataFrame:
-    """Candidate zones of each fold, scope and baseline with fallback score and position.
-
-    Each partition of the window is one copy of the zone dimension, not of the trips.
-    """
+    """Candidate zones of each fold, scope and baseline with fallback score and position."""
     total = F.col("total_trips").cast("double")
     zones = data.zones.join(train_hour_counts(data), "fold")
     fallback = {
@@ -286,12 +284,10 @@ def candidates(data: RankingInput, scopes: Sequence[Scope], variant: str = "slot
             )
         ),
     )
-    within = W.partitionBy("fold", "scope", "baseline")
-    return scored.withColumns(
-        {
-            "position": F.row_number().over(within.orderBy(F.desc("fallback"), "PULocationID")),
-            "n_candidates": F.count(F.lit(1)).over(within),
-        }
+    order = [F.desc("fallback"), F.col("PULocationID")]
+    # No group holds more than all zones of one fold; counting a written table reads its footers.
+    return numbered(scored, ["fold", "scope", "baseline"], order, data.zones.count()).withColumnRenamed(
+        "n_rows", "n_candidates"
     )
 
 

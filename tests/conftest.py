@@ -31,3 +31,20 @@ def case_sensitive(spark):
 def as_dicts(df, *keys):
     rows = [row.asDict() for row in df.collect()]
     return sorted(rows, key=lambda r: tuple(str(r[k]) for k in keys)) if keys else rows
+
+
+@pytest.fixture(scope="module")
+def one_ranking_input(spark):
+    """Let the queries of a module share the written ranking input instead of rebuilding it each time."""
+    from demandspark.plans import registry
+
+    build, built = registry.ranking_data, {}
+
+    def shared(session, sf):
+        if sf not in built:
+            built[sf] = build(session, sf)
+        return built[sf]
+
+    registry.ranking_data = shared
+    yield
+    registry.ranking_data = build

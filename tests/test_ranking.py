@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from small_series import FIRST, FOLDS, Direct, make_rows, make_series
 
 from demandspark.config import BASELINES, RANKER_INPUTS
-from demandspark.operators import checks, features, ranking, ranking_metrics
+from demandspark.operators import checks, features, positions, ranking, ranking_metrics
 
 SUPPORT = ranking.support_scopes([25, 10_000])
 SCOPES = (ranking.EVERY_ZONE, *SUPPORT, *ranking.AIRPORT_SCOPES)
@@ -48,6 +48,13 @@ def test_rankings(case, direct, k):
     assert any(not zones for zones in expected.values())  # a threshold nobody reaches
 
 
+def test_rankings_with_ranged_positions(case, monkeypatch):
+    """The way taken for zone dimensions too large for one task gives the same rankings."""
+    plain = ranked_zones(ranking.rank_baselines(case[1], SCOPES, k=5))
+    monkeypatch.setattr(positions, "ONE_TASK_ROWS", 0)
+    assert ranked_zones(ranking.rank_baselines(case[1], SCOPES, k=5)) == plain
+
+
 def test_observed_mean_variant(case, direct):
     found = ranked_zones(ranking.rank_baselines(case[1], k=4, variant="observed_mean"))
     for (fold, _, baseline, day, hour), zones in found.items():
