@@ -585,6 +585,14 @@ def leakage_check(spark, sf):
     )
 
 
+@query
+def baseline_checks(spark, sf):
+    table = metrics(spark, sf)
+    return checks.verdict(
+        [checks.rows_present(table, "baseline metrics"), checks.folds_complete(table, STUDY.folds)]
+    )
+
+
 # ---------------------------------------------------------------- models (no SQL equivalent)
 
 
@@ -621,6 +629,17 @@ def model_forecast_metrics(spark, sf):
     return scoring.mae_against(scoring.score_by(scored, ["model"]))
 
 
+@query
+def final_model_fit(spark, sf):
+    """Both forecast models fitted on every complete row, with their errors on those rows."""
+    ready = materialize(lagged(spark, sf), "lag-features")
+    frames = []
+    for name, model in models.final_models(ready, STUDY.forecast_iterations).items():
+        rows = timeseries.complete_rows(ready, models.FORECAST_MODELS[name]).withColumn("fold", F.lit(0))
+        frames.append(timeseries.as_predictions(model.transform(rows), F.lit(name), F.col("predicted")))
+    return scoring.score_by(frames[0].unionByName(frames[1]), ["model"])
+
+
 @query
 def learned_ranker_predictions(spark, sf):
     base, ranked = learned(spark, sf)

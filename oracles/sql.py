@@ -1030,6 +1030,16 @@ SELECT 'train before test, fold ' || fold AS "check",
 FROM frame JOIN folds ON pickup_date < fold_end GROUP BY fold""",
             "frame", "folds",
         ),
+        "baseline_checks": q(
+            """
+SELECT 'baseline metrics has rows' AS "check", count(*) > 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM metrics
+UNION ALL
+SELECT 'exactly the configured folds', count(DISTINCT fold) = 2 AND min(fold) = 1 AND max(fold) = 2,
+       string_agg(DISTINCT CAST(fold AS VARCHAR), ',' ORDER BY CAST(fold AS VARCHAR)) FROM metrics
+UNION ALL
+SELECT 'overall', count(*) > 0 AND count(DISTINCT fold) = 2, '0' FROM metrics""",
+            "metrics",
+        ),
         "leakage_check": q(
             """
 SELECT 'training history precedes the target' AS "check",
