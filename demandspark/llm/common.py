@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from demandspark.session import materialize
 
@@ -17,7 +17,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """``per_batch`` over the Arrow batches of every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,10 +28,6 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def crc32(data: bytes, start: int = 0) -> int:
-    return zlib.crc32(data, start) & 0xFFFFFFFF
-
-
 def _star(edges: DataFrame, centre: str, leaf: str) -> DataFrame:
     """Each leaf of a centre joined with the least id among the centre and its leaves."""
     least = edges.groupBy(centre).agg(F.min(leaf).alias("least"))

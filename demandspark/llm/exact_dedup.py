@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from demandspark.llm.common import materialize
 
 PREFIX_CHARS = 128
+DEALS = 32
 
 
 def _text() -> Column:
@@ -32,8 +33,11 @@ def exact_groups(documents: DataFrame, prefix_chars: int = PREFIX_CHARS) -> Data
     )
     repeated = F.col("n") > 1
     lengths = rows.groupBy("length").agg(F.count("*").alias("n")).filter(repeated).select("length")
+    # One length may be that of a third of all rows: its rows are dealt over several tasks for the join.
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)))
+    lengths = lengths.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
     prefixes = (
-        rows.join(lengths, "length", "left_semi")
+        dealt.join(lengths, ["length", "deal"], "left_semi")
         .groupBy("length", "prefix").agg(F.count("*").alias("n")).filter(repeated).select("length", "prefix")
     )
     # The whole text of a survivor is reduced to its hash before anything but the join with the surviving groups.

@@ -29,6 +29,7 @@ EPOCHS = 8
 BATCH = 16
 # Share of wrong answers that accepted texts may have in calibration.
 ACCEPTED_ERROR = 0.02
+LETTERS = "__has_letters"  # a name that no column of the input has
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -160,6 +161,10 @@ def fit(documents: DataFrame, snippets: int = SNIPPETS) -> LanguageModel | None:
     return train(*sample(documents, snippets))
 
 
+def _has_letters() -> Column:
+    return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+
+
 def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     """One row per row of ``documents``: doc_id, held_out, lang_pred, score, rejected.
 
@@ -170,7 +175,7 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        letters = np.array(batch["letters"].to_pylist(), dtype=bool)
+        letters = np.array(batch[LETTERS].to_pylist(), dtype=bool)
         languages, scores, turned_down = ["und"] * len(letters), np.zeros(len(letters)), np.ones(len(letters), dtype=bool)
         own = np.flatnonzero(letters)
         if model is not None and len(own):
@@ -186,7 +191,23 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
             ["doc_id", "held_out", "lang_pred", "score", "rejected"],
         )
 
-    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters")
-    rows = documents.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), letters, "text")
+    rows = documents.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), _has_letters().alias(LETTERS), "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     return map_batches(rows, per_batch, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def accepted(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that :func:`identify` doesn't reject; without a model none."""
+    columns = documents.columns
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.array(batch[LETTERS].to_pylist(), dtype=bool)
+        own = np.flatnonzero(keep)
+        if model is None:
+            keep[:] = False
+        elif len(own):
+            texts = text_bytes(batch["text"])
+            keep[own] = model.probabilities([texts[i] for i in own]).max(axis=1) >= model.threshold
+        return batch.select(columns).filter(pa.array(keep))
+
+    return map_batches(documents.withColumn(LETTERS, _has_letters()), per_batch, documents.schema)

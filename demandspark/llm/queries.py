@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandspark.llm import bpe, exact_dedup, jaccard_join, language_id, sharding, token_store, tokenization
+from demandspark.llm import (
+    bpe,
+    decontamination,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    language_id,
+    pii,
+    sharding,
+    token_store,
+    tokenization,
+)
 from demandspark.session import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +72,24 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"), pii.fit(spark))
+    counts = [F.size(F.filter("base", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 OP4_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -94,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_bpe": op6_bpe,
         "op7_sharding": op7_sharding,
+        "op8_decontamination": op8_decontamination,
+        "op9_pii": op9_pii,
+        "op10_html_text": op10_html_text,
     }
 
 

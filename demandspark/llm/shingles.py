@@ -31,9 +31,15 @@ def _letter_values() -> np.ndarray:
     return values
 
 
+def separators(characters: bytes) -> np.ndarray:
+    """The table of the bytes that separate words."""
+    table = np.zeros(256, dtype=bool)
+    table[list(characters)] = True
+    return table
+
+
 _LETTERS = _letter_values()
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACE = separators(b" \t\n\x0b\x0c\r")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +65,12 @@ def text_blocks(texts: Sequence[bytes], limit: int = BLOCK_BYTES) -> Iterator[tu
         yield start, len(texts)
 
 
-def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Sequence[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts in order, and for each text the number of words up to its end."""
     raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     ends_of_text = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
+    outside = space[raw]
+    edge = np.flatnonzero(np.diff(outside.view(np.int8), prepend=np.int8(1)))
     starts, ends = edge[0::2], edge[1::2]
     up, down = (_UP, _DOWN) if len(raw) < len(_UP) else _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
