@@ -12,8 +12,9 @@ whose bound reaches the threshold are compared by an exact intersection of their
 2. *Signatures that repeat.* Rows (signature, document) are range-partitioned by both columns: a signature that a third of
    all documents carry is split over many tasks. Rows of signatures seen once are dropped.
 3. *Stars.* Each member of a tile is compared with the least member. The links found join most members.
-4. *Open tiles.* Tiles whose members are still in different components are compared pair by pair, in blocks of bounded
-   size; pairs within a component are skipped, because they cannot change it.
+4. *Open tiles.* Tiles whose other members are still in different components are compared pair by pair by bit counts, in
+   blocks of bounded size. Components that may link by these form clusters, and within a cluster the pairs that may link
+   are compared exactly, again in blocks. Pairs within a component are skipped, because they cannot change it.
 
 Links that lie within a component already found are not all listed: groups are whole, and the listed links span them.
 """
@@ -21,19 +22,20 @@ Links that lie within a component already found are not all listed: groups are w
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.llm.common import components, map_batches, materialize, text_bytes
 from demandspark.llm.shingles import U64, mix, shingle_sets
 
 BAND_RATIO = 1.35
-# Members of a block of an open tile: at most about so many, and about so many bytes of sorted arrays.
+# Members of a block of an open tile, with their bitmaps; members of a block of a cluster, and bytes of their arrays.
+TILE_MEMBERS = 1024
 BLOCK_MEMBERS = 512
 BLOCK_ARRAY_BYTES = 8 << 20
 # A set of n shingles is mapped to the next power of two of 2n bits.
@@ -232,69 +234,109 @@ def _filter_pairs(pairs: DataFrame, column: str, percent: int) -> DataFrame:
     return map_batches(pairs, per_batch, "u long, v long")
 
 
+class _Joined:
+    """Union-find over the component ids of one group of rows."""
+
+    def __init__(self, ids: Iterable[int]):
+        self.parent = {c: c for c in ids}
+
+    def root(self, c: int) -> int:
+        while self.parent[c] != c:
+            self.parent[c] = self.parent[self.parent[c]]
+            c = self.parent[c]
+        return c
+
+    def join(self, a: int, b: int) -> None:
+        self.parent[max(a, b)] = min(a, b)
+
+
+def _may_link(flags: np.ndarray, size: np.ndarray, group: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a pair of blocks, in different components, whose bit counts let them reach the threshold."""
+    block, component = group["block"].to_numpy(), group["component"].to_numpy()
+    left, right = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    count = flags.sum(axis=1)
+    step = max(1, (1 << 20) // max(1, len(cols)))
+    for at in range(0, len(rows), step):
+        r = rows[at : at + step]
+        both = flags[r] @ flags[cols].T
+        bound = np.minimum(size[r][:, None] - (count[r][:, None] - both), size[cols] - (count[cols] - both))
+        may = (100 * bound >= percent * (size[r][:, None] + size[cols] - bound)) & (component[r][:, None] != component[cols])
+        if left == right:
+            may &= r[:, None] < cols
+        for x, y in np.argwhere(may):
+            yield int(r[x]), int(cols[y])
+
+
+def _tile_bounds(percent: int):
+    def bounds(group: pd.DataFrame) -> pd.DataFrame:
+        """Components that the bit counts of a tile's pairs let link, as edges that span them."""
+        maps = [np.frombuffer(b, np.uint8) for b in group["bits"]]
+        width = min(map(len, maps))
+        flags = np.unpackbits(np.stack([fold(m, width) for m in maps]), axis=1).astype(np.float32)
+        component = group["component"].tolist()
+        joined, found = _Joined(component), []
+        for a, b in _may_link(flags, group["n"].to_numpy(), group, percent):
+            ra, rb = joined.root(component[a]), joined.root(component[b])
+            if ra != rb:
+                joined.join(ra, rb)
+                found.append((component[a], component[b]))
+        return pd.DataFrame({"u": [a for a, _ in found], "v": [b for _, b in found]}, dtype="int64")
+
+    return bounds
+
+
 def _block_links(percent: int):
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        """Links of one pair of blocks that join members of different components; found components are joined at once."""
+        """Links of a pair of blocks that join members of different components; found components are joined at once."""
         sets = [np.frombuffer(h, U64) for h in group["hashes"]]
-        size = np.array([len(s) for s in sets])
-        block = group["block"].to_numpy()
-        left, right = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        parent = {c: c for c in group["component"]}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        component = group["component"].to_numpy()
+        size = group["n"].to_numpy()
         bits = max(1 << 10, bitmap_bits(4 * int(np.median(size))))
         flags = np.zeros((len(sets), bits), dtype=np.float32)
         for k, s in enumerate(sets):
             flags[k, (s & U64(bits - 1)).astype(np.int64)] = 1
-        rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        count = flags.sum(axis=1)
-        found = []
-        step = max(1, (1 << 20) // max(1, len(cols)))
-        for at in range(0, len(rows), step):
-            r = rows[at : at + step]
-            both = flags[r] @ flags[cols].T
-            bound = np.minimum(size[r][:, None] - (count[r][:, None] - both), size[cols] - (count[cols] - both))
-            may = (100 * bound >= percent * (size[r][:, None] + size[cols] - bound)) & (component[r][:, None] != component[cols])
-            if left == right:
-                may &= r[:, None] < cols
-            for x, y in np.argwhere(may):
-                a, b = r[x], cols[y]
-                ra, rb = root(component[a]), root(component[b])
-                if ra != rb and reaches(overlap(sets[a], sets[b]), int(size[a]), int(size[b]), percent):
-                    parent[max(ra, rb)] = min(ra, rb)
-                    found.append((a, b))
+        component = group["component"].tolist()
+        joined, found = _Joined(component), []
+        for a, b in _may_link(flags, size, group, percent):
+            ra, rb = joined.root(component[a]), joined.root(component[b])
+            if ra != rb and reaches(overlap(sets[a], sets[b]), int(size[a]), int(size[b]), percent):
+                joined.join(ra, rb)
+                found.append((a, b))
         ids = group["doc_id"].to_numpy()
         return pd.DataFrame({"u": [ids[a] for a, _ in found], "v": [ids[b] for _, b in found]}, dtype="int64")
 
     return links
 
 
-def _open_links(tiles: DataFrame, star: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within the tiles that still hold several."""
-    labelled = tiles.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component_id", "doc_id"))
-    spread = labelled.groupBy("signature").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-    opened = materialize(labelled.join(spread.select("signature"), "signature", "left_semi"), "open-tiles")
-    # Members of overlapping open tiles meet in one cluster, so each set is carried once and not once a signature.
-    hubs = opened.join(star, "signature").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    cluster = components(hubs).withColumnRenamed("id", "doc_id").withColumnRenamed("component_id", "cluster")
-    members = opened.select("doc_id", "component").distinct().join(cluster, "doc_id").join(sets.select("doc_id", "n", "hashes"), "doc_id")
-    members = materialize(members, "open-members")
-    blocks = members.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.col("n") * 8) / BLOCK_ARRAY_BYTES), F.lit(1)
-        ).alias("blocks")
-    )
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    # Block b meets every block: as the first of (b, j) and as the second of (i, b).
+def _in_blocks(members: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows of each group of ``key`` dealt into blocks, once for each pair of blocks (i, j) that they take part in."""
+    counted = members.groupBy(key).agg(F.greatest(blocks, F.lit(1)).cast("long").alias("blocks"))
+    dealt = members.join(counted, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+
+def _open_links(tiles: DataFrame, star: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within the tiles that still hold several beside the member compared first."""
+    labelled = tiles.join(star, "signature").filter("doc_id <> least").select("signature", "doc_id")
+    labelled = labelled.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
+    spread = labelled.groupBy("signature").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"),
+        F.count("*").alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("content"),
+    ).filter("a <> b")
+    # Of tiles with the very same members one is enough.
+    one = spread.groupBy("members", "content").agg(F.min("signature").alias("signature")).select("signature")
+    opened = materialize(labelled.join(one, "signature", "left_semi"), "open-tiles")
+    mapped = opened.join(sets.select("doc_id", "n", "bits"), "doc_id")
+    tile_blocks = _in_blocks(mapped, "signature", F.ceil(F.count("*") / TILE_MEMBERS))
+    near = tile_blocks.groupBy("signature", "i", "j").applyInPandas(_tile_bounds(percent), "u long, v long")
+    # Components that may link form clusters; in these every set is carried once, not once a tile.
+    cluster = components(near).withColumnRenamed("id", "component").withColumnRenamed("component_id", "cluster")
+    members = opened.select("doc_id", "component").distinct().join(cluster, "component")
+    members = materialize(members.join(sets.select("doc_id", "n", "hashes"), "doc_id"), "open-members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.col("n") * 8) / BLOCK_ARRAY_BYTES))
+    dealt = _in_blocks(members, "cluster", blocks)
     return dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 
