@@ -45,8 +45,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and the text that the ids decode to."""
-    path = public_tokenizers.path(TOKENIZER)
-    return bpe.decode(bpe.encode(docs, path), path).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.recode(docs, public_tokenizers.path(TOKENIZER)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -29,8 +29,9 @@ from demandspark.llm.common import map_batches
 # Fixed value: the split pattern of the public byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Words kept with their ids by a task; longer words aren't kept.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 400_000
 KNOWN_LENGTH = 40
+SHORT_WORD = 48
 BLOCK_CHARS = 1 << 19
 _NEVER = np.int64(1 << 60)
 # Code points below this one have been in the same classes for many versions of Unicode.
@@ -71,18 +72,19 @@ class Codec:
         self.longest = max(map(len, self.ids))
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         of = model["vocab"]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # ranks
+        self.result = [of[a + b] for a, b in merges]  # by rank
         left, right, made = (np.full(size, -1, np.int64) for _ in range(3))
         for rank, (a, b) in enumerate(merges):
             x, y, z = of[a], of[b], of[a + b]
-            self.merges[x, y] = (rank, z)
+            self.merges[x, y] = rank
             if made[z] < 0:
                 left[z], right[z], made[z] = x, y, rank
         self.left, self.right, self.made = left, right, made
         keys = np.array([(x << 32) | y for x, y in self.merges], np.int64)
         order = np.argsort(keys)
         self.pair_keys = keys[order]
-        self.pair_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.pair_ranks = np.array(list(self.merges.values()), np.int64)[order]
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.stable: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -101,24 +103,39 @@ class Codec:
         return found
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging, lowest rank first and leftmost among equals, by a heap over a linked list of symbols."""
+        """Exact merging, lowest rank first and leftmost among equals; long words by a heap over a linked list."""
         symbols = [self.single[b] for b in word]
         n = len(symbols)
+        if n <= SHORT_WORD:
+            merges, none = self.merges, len(self.result)
+            ranked = [merges.get(p, none) for p in pairwise(symbols)]
+            while ranked:
+                best = min(ranked)
+                if best == none:
+                    break
+                at = ranked.index(best)
+                symbols[at : at + 2] = [self.result[best]]
+                del ranked[at]
+                if at:
+                    ranked[at - 1] = merges.get((symbols[at - 1], symbols[at]), none)
+                if at < len(ranked):
+                    ranked[at] = merges.get((symbols[at], symbols[at + 1]), none)
+            return symbols
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(self.merges[p][0], i, p) for i, p in enumerate(pairwise(symbols)) if p in self.merges]
+        heap = [(self.merges[p], i, p) for i, p in enumerate(pairwise(symbols)) if p in self.merges]
         heapq.heapify(heap)
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i]
             if j >= n or (symbols[i], symbols[j]) != pair:
                 continue
-            symbols[i], symbols[j] = self.merges[pair][1], -1
+            symbols[i], symbols[j] = self.result[self.merges[pair]], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (new := (symbols[a], symbols[b])) in self.merges:
-                    heapq.heappush(heap, (self.merges[new][0], a, new))
+                    heapq.heappush(heap, (self.merges[new], a, new))
         return [s for s in symbols if s >= 0]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,7 +231,9 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary are left out."""
         size, of = len(self.bytes_of), self.bytes_of
-        return b"".join([of[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
+        if ids and not 0 <= min(ids) <= max(ids) < size:
+            ids = [i for i in ids if 0 <= i < size]
+        return b"".join(map(of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
@@ -238,12 +257,28 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>")
 
 
+def recode(documents: DataFrame, path: str) -> DataFrame:
+    """:func:`encode`, then :func:`decode` of its ids, in one pass: doc_id, ids, text."""
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = codec(path)
+        found = c.encode([t or "" for t in batch["text"].to_pylist()])
+        texts = [c.decode(ids.tolist()) for ids in found]
+        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([batch["doc_id"], ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Rows of doc_id, ids with ``text``, the text of the ids; null ids give an empty text."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        texts = [c.decode(ids or []) for ids in batch["ids"].to_pylist()]
+        ids, ends = batch["ids"].values.to_numpy(), batch["ids"].offsets.to_numpy()
+        texts = [c.decode(ids[a:b].tolist()) for a, b in pairwise(ends)]
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

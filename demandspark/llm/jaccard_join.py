@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import components, map_batches, materialize, text_bytes
+from demandspark.llm.common import components, map_batches, materialize, slices, text_bytes
 from demandspark.llm.shingles import U64, mix, shingle_sets
 
 BAND_RATIO = 1.35
@@ -139,7 +140,7 @@ def _describe(documents: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             size, key_a, key_b, found = [], [], [], []
             for hashes in shingle_sets(text_bytes(batch["text"]), words):
                 size.append(len(hashes))

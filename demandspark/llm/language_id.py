@@ -26,6 +26,7 @@ WIDTH = 24
 SNIPPETS = 600
 SNIPPET_CHARS = 300
 EPOCHS = 8
+BLOCK_BYTES = 1 << 17
 BATCH = 16
 # Share of wrong answers that accepted texts may have in calibration.
 ACCEPTED_ERROR = 0.02
@@ -67,12 +68,14 @@ class LanguageModel:
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """One row per text; texts without subwords get the bias alone."""
         out = np.empty((len(texts), len(self.languages)))
-        for a, b in text_blocks(texts):
+        for a, b in text_blocks(texts, BLOCK_BYTES):
             found, until = subwords(texts[a:b])
-            sums = np.zeros((len(found) + 1, len(self.languages)))
-            np.cumsum(self.scores[found], axis=0, out=sums[1:])
             start = np.concatenate([[0], until[:-1]])
-            mean = (sums[until] - sums[start]) / np.maximum(1, until - start)[:, None]
+            # One spare row of zeros, so that a text without subwords at the end has a place to start.
+            scores = np.concatenate([self.scores[found], np.zeros((1, len(self.languages)), np.float32)])
+            sums = np.add.reduceat(scores, start, axis=0, dtype=np.float64)
+            count = until - start
+            mean = np.where(count[:, None] > 0, sums, 0.0) / np.maximum(1, count)[:, None]
             out[a:b] = softmax((mean + self.bias) / self.temperature)
         return out
 

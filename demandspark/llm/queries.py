@@ -58,8 +58,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.recode(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -14,6 +14,7 @@ import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from demandspark.llm.common import slices
 from demandspark.llm.shingles import U64, mix
 from demandspark.llm.tokenization import encode_texts
 
@@ -178,7 +180,7 @@ def write_store(documents: DataFrame, folder: str, tokenizer: str, end_id: int |
                 held_list.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in row], ["task", "shard", "first_id", "last_id", "n_docs", "n_ids"])
 
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             doc_ids = batch["doc_id"].to_pylist()
             for doc_id, parts in zip(doc_ids, encode_texts(tokenizer, batch["text"].to_pylist()), strict=True):
                 ids = np.concatenate([*parts, np.array([] if end_id is None else [end_id], np.uint32)])
