@@ -346,9 +346,9 @@ def jaccard_groups(documents: DataFrame, words: int = 5, percent: int = 80) -> D
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` %.
     ``component_id`` is the least doc_id reachable by links, ``set_id`` the least doc_id with the very same set.
-    ``documents`` needs ``doc_id`` (unique, not null) and ``text``; other columns are ignored. A null text, or one
-    without words, has an empty set and links with nothing. Repeated rows of one doc_id count once. An empty table gives
-    an empty result.
+    ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. A null text, or one without words, has an empty
+    set and links with nothing. Repeated rows of one doc_id count once. A row without doc_id gets the group of documents
+    with its very set, if any, and joins no other. An empty table gives an empty result.
     """
     described = materialize(_describe(documents, words, percent), "described")
     sets = described.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("set_id"))
@@ -357,7 +357,7 @@ def jaccard_groups(documents: DataFrame, words: int = 5, percent: int = 80) -> D
         .select("doc_id", "n_shingles", F.coalesce("set_id", "doc_id").alias("set_id")).distinct(),
         "sets",
     )
-    rows = described.select(F.explode("signatures").alias("signature"), "doc_id")
+    rows = described.filter("doc_id is not null").select(F.explode("signatures").alias("signature"), "doc_id")
     ordered = rows.repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id")
     repeated = ordered.mapInArrow(_repeated, "signature long, doc_id long")
     # Documents with the very same set are one member.

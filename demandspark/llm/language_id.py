@@ -148,11 +148,18 @@ def sample(documents: DataFrame, snippets: int = SNIPPETS, chars: int = SNIPPET_
     """At most ``snippets`` labelled snippets of each language, drawn by the hash of the id from the documents to learn from.
 
     Each is a stretch of at most ``chars`` characters at a place drawn by hash; this bound is the only cut, and only
-    the fit has it. The order of the hashes keeps one language's rows from meeting in one task before they are cut.
+    the fit has it.
     """
+    labelled = documents.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out())
+    labelled = labelled.filter(F.col("text").rlike("\\p{L}"))
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return [], []
+    # Rows whose draw is below four times the wanted share are enough to choose from, however many rows there are.
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * snippets / r["count"]))))
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
-    rows = documents.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out())
-    rows = rows.filter(F.col("text").rlike("\\p{L}")).select("doc_id", "lang", F.substr("text", place, F.lit(chars)).alias("snippet"), F.xxhash64("doc_id").alias("draw"))
+    rows = labelled.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).filter(F.col("draw") / (1 << 40) < share[F.col("lang")])
+    rows = rows.select("doc_id", "lang", F.substr("text", place, F.lit(chars)).alias("snippet"), "draw")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "snippet"))
     drawn = rows.withColumn("rank", rank).filter(F.col("rank") <= snippets).select("lang", "draw", "doc_id", "snippet").collect()
     drawn = sorted(drawn, key=lambda r: (r["draw"], r["doc_id"], r["snippet"]))
