@@ -417,15 +417,18 @@ def exclusion_months(failures: DataFrame) -> DataFrame:
     return by_month.withColumn("rule_share", round_to(ratio(rule_total, _overall("records")), 6))
 
 
-def exclusion_pivot(failures: DataFrame, months: list[str]) -> DataFrame:
-    """The same with one column per month, zero where a rule never fired."""
-    wide = exclusion_months(failures).groupBy("first_failing_rule", "rule_share").pivot("month", months)
+def exclusion_pivot(failures: DataFrame, months: list[str] | None = None) -> DataFrame:
+    """The same with one column per month of the data, zero where a rule never fired."""
+    by_month = exclusion_months(failures)
+    months = months or [r["month"] for r in by_month.select("month").distinct().orderBy("month").collect()]
+    wide = by_month.groupBy("first_failing_rule", "rule_share").pivot("month", months)
     return wide.agg(F.sum("records")).na.fill(0, subset=months)
 
 
 def exclusion_trend(failures: DataFrame, rule: str = "zero_or_negative_duration") -> DataFrame:
-    """Records excluded by one rule in the first and the last month."""
-    by_month = exclusion_months(failures).filter(F.col("first_failing_rule") == rule)
+    """Records excluded by one rule in the first and the last month with any exclusion, zero where it never fired."""
+    own = F.when(F.col("first_failing_rule") == rule, F.col("records")).otherwise(F.lit(0).cast("bigint"))
+    by_month = exclusion_months(failures).groupBy("month").agg(F.sum(own).alias("records"))
     return by_month.agg(
         F.min_by("records", "month").alias("first_month_records"),
         F.max_by("records", "month").alias("last_month_records"),

@@ -10,26 +10,14 @@ from pyspark.sql import functions as F
 
 from demandspark.session import materialize
 
-# Rows of one group that a single sorted task handles without notice.
-ONE_TASK_ROWS = 2_000_000
 
-
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], largest_group: int) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add ``position`` 1..n in ``order`` and ``n_rows`` to every row of every group.
 
-    ``order`` must be a total order.  ``largest_group`` is an upper bound of the rows per group: up
-    to :data:`ONE_TASK_ROWS` a plain window does; beyond it rows are range-partitioned, numbered
-    inside their range, and moved by the size of the ranges before.  The ranges are written first,
-    because both steps must see the same ones, also after a lost executor.
+    ``order`` must be a total order. Rows are range-partitioned, numbered inside their range, and moved by the size of
+    the ranges before, whatever the size of a group. The ranges are written first, because both steps must see the same
+    ones, also after a lost executor.
     """
-    if largest_group <= ONE_TASK_ROWS:
-        group = W.partitionBy(*keys)
-        return df.withColumns(
-            {
-                "position": F.row_number().over(group.orderBy(*order)),
-                "n_rows": F.count(F.lit(1)).over(group),
-            }
-        )
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     ranges = W.partitionBy(*keys).orderBy("_range")
@@ -45,6 +33,6 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], larges
     )
     within = W.partitionBy(*keys, "_range").orderBy(*order)
     placed = ranged.withColumn("_place", F.row_number().over(within)).join(sizes, [*keys, "_range"])
-    return placed.withColumn("position", (F.col("_before") + F.col("_place")).cast("int")).drop(
+    return placed.withColumn("position", F.col("_before") + F.col("_place")).drop(
         "_range", "_size", "_before", "_place"
     )

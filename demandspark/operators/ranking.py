@@ -285,10 +285,7 @@ def candidates(data: RankingInput, scopes: Sequence[Scope], variant: str = "slot
         ),
     )
     order = [F.desc("fallback"), F.col("PULocationID")]
-    # No group holds more than all zones of one fold; counting a written table reads its footers.
-    return numbered(scored, ["fold", "scope", "baseline"], order, data.zones.count()).withColumnRenamed(
-        "n_rows", "n_candidates"
-    )
+    return numbered(scored, ["fold", "scope", "baseline"], order).withColumnRenamed("n_rows", "n_candidates")
 
 
 # ---------------------------------------------------------------- ranking
@@ -341,11 +338,11 @@ def rank_baselines(
     )
     position, seen = F.col("position"), F.col("seen")
     gap_end = F.coalesce(F.col("next_position"), F.col("n_candidates") + 1)
-    wanted = F.least(gap_end - position - 1, F.lit(k) - (position - seen)).cast("int")
+    wanted = F.least(gap_end - position - 1, F.lit(k) - (position - seen))
     zone = F.col("PULocationID")
-    no_entry = F.array().cast("array<struct<zone:bigint,score:double,position:int>>")
+    no_entry = F.array().cast("array<struct<zone:bigint,score:double,position:bigint>>")
     own_entry = F.array(
-        F.struct(zone.cast("bigint").alias("zone"), F.col("score"), F.lit(None).cast("int").alias("position"))
+        F.struct(zone.cast("bigint").alias("zone"), F.col("score"), F.lit(None).cast("bigint").alias("position"))
     )
     gap_entries = F.transform(
         F.sequence(position + 1, position + F.greatest(wanted, F.lit(1))),

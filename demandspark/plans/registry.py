@@ -173,7 +173,7 @@ def exclusion_months(spark, sf):
 
 @query
 def exclusion_pivot(spark, sf):
-    return kpis.exclusion_pivot(cleaning.first_failure(shipment_counts(spark, sf)), testdata.SHIPMENT_MONTHS)
+    return kpis.exclusion_pivot(cleaning.first_failure(shipment_counts(spark, sf)))
 
 
 @query

@@ -18,7 +18,6 @@ from demandspark.session import prepare
 
 AUDIT_START, AUDIT_END = date(2024, 1, 3), date(2024, 1, 30)
 MONTH_START, MONTH_END = date(2024, 1, 1), date(2024, 2, 1)
-SHIPMENT_MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)]
 
 STUDY = replace(
     StudyConfig(),

@@ -6,7 +6,6 @@ incremental route, the statement here takes the direct dense one, so the two can
 
 from __future__ import annotations
 
-from demandspark.plans.testdata import SHIPMENT_MONTHS
 
 KS = (5, 10, 20)
 MONDAY_FIRST = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -580,9 +579,6 @@ WHERE rank <= 10"""
 
 
 def statements() -> dict[str, str]:
-    months = ", ".join(
-        f"coalesce(sum(records) FILTER (month = '{m}'), 0)::BIGINT AS \"{m}\"" for m in SHIPMENT_MONTHS
-    )
     weekdays = ", ".join(
         f"count(*) FILTER (day_of_week_num = {i}) AS {name}" for i, name in enumerate(MONDAY_FIRST)
     )
@@ -632,14 +628,17 @@ FROM ({_EXCLUDED})""",
         ),
         "exclusion_pivot": q(
             f"""
-SELECT first_failing_rule, {rnd(div('sum(records)', 'sum(sum(records)) OVER ()'), 6)} AS rule_share, {months}
-FROM ({_EXCLUDED}) GROUP BY first_failing_rule""",
+SELECT * FROM (PIVOT (SELECT first_failing_rule, month, records,
+                             {rnd(div('sum(records) OVER (PARTITION BY first_failing_rule)', 'sum(records) OVER ()'), 6)} AS rule_share
+                      FROM ({_EXCLUDED}))
+               ON month USING coalesce(sum(records), 0)::BIGINT GROUP BY first_failing_rule, rule_share)""",
             "shipment_flags",
         ),
         "exclusion_trend": q(
             f"""
-SELECT arg_min(records, month) AS first_month_records, arg_max(records, month) AS last_month_records
-FROM ({_EXCLUDED}) WHERE first_failing_rule = 'zero_or_negative_duration'""",
+SELECT arg_min(records, month)::BIGINT AS first_month_records, arg_max(records, month)::BIGINT AS last_month_records
+FROM (SELECT month, coalesce(sum(records) FILTER (first_failing_rule = 'zero_or_negative_duration'), 0) AS records
+      FROM ({_EXCLUDED}) GROUP BY month)""",
             "shipment_flags",
         ),
         # ---------------------------------------------------------------- KPIs and profiles

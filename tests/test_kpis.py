@@ -139,6 +139,10 @@ def test_exclusion_reports(spark):
     pivot = as_dicts(kpis.exclusion_pivot(failures, ["2025-01", "2025-02"]), "first_failing_rule")
     assert [(r["rule_share"], r["2025-01"], r["2025-02"]) for r in pivot] == [(0.6, 6, 0), (0.4, 3, 1)]
     assert tuple(kpis.exclusion_trend(failures).collect()[0]) == (3, 1)
+    assert tuple(kpis.exclusion_trend(failures, "zero_distance").collect()[0]) == (6, 0)  # silent in the last month
+    later = failures.unionByName(spark.createDataFrame([("t_2031-07.parquet", "zero_distance", 2)], failures.schema))
+    pivot = as_dicts(kpis.exclusion_pivot(later), "first_failing_rule")
+    assert [(r["2025-01"], r["2025-02"], r["2031-07"]) for r in pivot] == [(6, 0, 2), (3, 1, 0)]
 
 
 def test_growth_uses_first_and_last_month(spark):
