@@ -1,6 +1,7 @@
 """Token-id output: raw id payloads with a minimal perfect hash index from document keys to offsets.
 
-A shard is three files: ``.ids`` (every id as a little-endian unsigned 32-bit integer, documents one after another),
+A shard is three files: ``.ids`` (every id as a little-endian unsigned integer of 16 bits, or of 32 where a shard has
+larger ids; the index tells which; documents one after another),
 ``.keys`` (the keys in the same order, for whole reads) and ``.idx``, the index. The index places n keys in n slots:
 level by level, each key is hashed to a bit of a table about twice as large as the keys left, bits hit once are set and
 their keys placed, the others go to the next level. The slot of a key is the number of set bits before its own. Each
@@ -27,7 +28,7 @@ from demandspark.llm.common import slices
 from demandspark.llm.shingles import U64, mix
 from demandspark.llm.tokenization import encode_texts
 
-# A shard is closed once its payload reaches this size.
+# A shard is closed once its ids reach this size at 32 bits.
 SHARD_BYTES = 32 << 20
 MAX_LEVELS = 64
 NO_KEY = -(1 << 63)  # stands for a null doc_id
@@ -43,6 +44,11 @@ class Index:
     fingerprints: np.ndarray
     offsets: np.ndarray
     lengths: np.ndarray
+    width: int = 4  # bytes of an id in the payload
+
+    def ids(self, payload: bytes, slot: int) -> np.ndarray:
+        """The ids of a slot out of the whole payload."""
+        return np.frombuffer(payload, f"<u{self.width}", int(self.lengths[slot]), self.width * int(self.offsets[slot]))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each hashed key, or -1 where it isn't stored."""
@@ -62,7 +68,7 @@ class Index:
         out = io.BytesIO()
         np.savez(
             out, sizes=self.sizes, bits=np.packbits(self.bits), fingerprints=self.fingerprints,
-            offsets=self.offsets, lengths=self.lengths,
+            offsets=self.offsets, lengths=self.lengths, width=self.width,
         )
         return out.getvalue()
 
@@ -70,7 +76,7 @@ class Index:
     def load(data: bytes) -> Index:
         with np.load(io.BytesIO(data)) as f:
             bits = np.unpackbits(f["bits"])[: int(f["sizes"].sum())]
-            return Index(f["sizes"], bits, _before(bits), f["fingerprints"], f["offsets"], f["lengths"])
+            return Index(f["sizes"], bits, _before(bits), f["fingerprints"], f["offsets"], f["lengths"], int(f["width"]))
 
 
 def _before(bits: np.ndarray) -> np.ndarray:
@@ -164,7 +170,7 @@ def write_store(documents: DataFrame, folder: str, tokenizer: str, end_id: int |
         task = TaskContext.get().partitionId()
         keys: list[int] = []
         lengths: list[int] = []
-        payload: list[bytes] = []
+        payload: list[np.ndarray] = []
         held, shard = 0, 0
 
         def close() -> pa.RecordBatch:
@@ -172,9 +178,12 @@ def write_store(documents: DataFrame, folder: str, tokenizer: str, end_id: int |
             length = np.array(lengths, np.int64)
             offset = np.cumsum(length) - length
             name = f"{task:06d}-{shard:06d}"
-            _put(folder, f"{name}.ids", b"".join(payload))
+            index = build_index(hashed_keys(ids, _occurrences(ids)), offset, length)
+            every = np.concatenate(payload)
+            index.width = 2 if every.max(initial=0) < 1 << 16 else 4
+            _put(folder, f"{name}.ids", every.astype(f"<u{index.width}").tobytes())
             _put(folder, f"{name}.keys", ids.astype("<i8").tobytes())
-            _put(folder, f"{name}.idx", build_index(hashed_keys(ids, _occurrences(ids)), offset, length).dump())
+            _put(folder, f"{name}.idx", index.dump())
             row = [[task], [shard], [int(ids[0])], [int(ids[-1])], [len(ids)], [int(length.sum())]]
             for held_list in (keys, lengths, payload):
                 held_list.clear()
@@ -186,8 +195,8 @@ def write_store(documents: DataFrame, folder: str, tokenizer: str, end_id: int |
                 ids = np.concatenate([*parts, np.array([] if end_id is None else [end_id], np.uint32)])
                 keys.append(NO_KEY if doc_id is None else doc_id)
                 lengths.append(len(ids))
-                payload.append(ids.astype("<u4").tobytes())
-                held += len(payload[-1])
+                payload.append(ids)
+                held += ids.nbytes
                 if held >= shard_bytes:
                     yield close()
                     held, shard = 0, shard + 1
@@ -200,7 +209,7 @@ def write_store(documents: DataFrame, folder: str, tokenizer: str, end_id: int |
 
 
 def read_store(shards: DataFrame, folder: str) -> DataFrame:
-    """All documents of a store, from its files: doc_id, start (ids of all documents before it), ids (binary).
+    """All documents of a store, from its files: doc_id, start (ids of all documents before it), ids (binary, 32 bits each).
 
     Every key goes through the index, as a keyed access does. Only the shard table, a row for tens of megabytes of ids,
     is numbered as a whole.
@@ -220,10 +229,9 @@ def read_store(shards: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"shard {name} lacks the index entry of a document")
                 for at in range(0, len(keys), 1000):
                     own = slot[at : at + 1000]
-                    offset, length = index.offsets[own], index.lengths[own]
-                    ids = [payload[4 * a : 4 * (a + n)] for a, n in zip(offset.tolist(), length.tolist(), strict=True)]
+                    ids = [index.ids(payload, s).astype("<u4").tobytes() for s in own.tolist()]
                     doc_ids = [None if k == NO_KEY else k for k in keys[at : at + 1000].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + offset, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + index.offsets[own], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
     spread = numbered.repartition(F.col("task"), F.col("shard"))
     return spread.mapInArrow(run, "doc_id long, start long, ids binary")
@@ -248,8 +256,8 @@ def lookup(shards: DataFrame, folder: str, doc_ids: list[int]) -> dict[int, np.n
             if slot >= 0:
                 fs, root = pafs.FileSystem.from_uri(folder)
                 with fs.open_input_file(f"{root}/{name}.ids") as f:
-                    f.seek(4 * int(index.offsets[slot]))
-                    found[key] = np.frombuffer(f.read(4 * int(index.lengths[slot])), "<u4")
+                    f.seek(index.width * int(index.offsets[slot]))
+                    found[key] = np.frombuffer(f.read(index.width * int(index.lengths[slot])), f"<u{index.width}").astype("<u4")
     return found
 
 
