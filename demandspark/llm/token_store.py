@@ -30,6 +30,7 @@ from demandspark.llm.tokenization import encode_texts
 
 # A shard is closed once its ids reach this size at 32 bits.
 SHARD_BYTES = 32 << 20
+SHARDS_A_TASK = 4
 MAX_LEVELS = 64
 NO_KEY = -(1 << 63)  # stands for a null doc_id
 
@@ -233,7 +234,9 @@ def read_store(shards: DataFrame, folder: str) -> DataFrame:
                     doc_ids = [None if k == NO_KEY else k for k in keys[at : at + 1000].tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + index.offsets[own], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
-    spread = numbered.repartition(F.col("task"), F.col("shard"))
+    # The rows are small but what they name is not: a fixed number of tasks keeps Spark from merging them by their size.
+    tasks = -(-max(1, shards.count()) // SHARDS_A_TASK)
+    spread = numbered.repartition(tasks, "task", "shard")
     return spread.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
