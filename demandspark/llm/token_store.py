@@ -192,7 +192,7 @@ def write_store(documents: DataFrame, folder: str, tokenizer: str, end_id: int |
 
         for batch in chain.from_iterable(map(slices, batches)):
             doc_ids = batch["doc_id"].to_pylist()
-            for doc_id, parts in zip(doc_ids, encode_texts(tokenizer, batch["text"].to_pylist()), strict=True):
+            for doc_id, parts in zip(doc_ids, encode_texts(tokenizer, batch["text"].to_pylist(), by_words=True), strict=True):
                 ids = np.concatenate([*parts, np.array([] if end_id is None else [end_id], np.uint32)])
                 keys.append(NO_KEY if doc_id is None else doc_id)
                 lengths.append(len(ids))

@@ -7,9 +7,11 @@ executors; special strings inside texts are handled as the library does by defau
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,9 @@ BATCH_CHARS = 1 << 18
 # Before a plain space that follows a character which is no space, every split pattern of the .json files starts a new
 # word, so the pieces have the ids of the whole.
 SAFE_CUT = re.compile(r"\S(?= )")
+# Words whose ids a Python worker keeps; longer words are encoded each time.
+KNOWN_WORDS = 1 << 18
+KNOWN_CHARS = 64
 
 
 @functools.lru_cache(maxsize=4)
@@ -43,6 +48,53 @@ def _encoder(path: str):
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _cut_at_every_space(path: str) -> bool:
+    """Whether the file's rules look at nothing across a plain space that follows a character which is no space."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    split = data["pre_tokenizer"] or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    reaching = any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in data["added_tokens"])
+    return bool(plain and data["normalizer"] is None and not reaching)
+
+
+@functools.lru_cache(maxsize=4)
+def _word_encoder(path: str) -> Callable[[list[str]], list]:
+    """As :func:`_encoder`, but the library encodes a word, with the space before it, once and its ids are kept.
+
+    Texts with a space after white space are encoded whole, as are those of files whose rules look across spaces.
+    """
+    encode = _encoder(path)
+    if not _cut_at_every_space(path):
+        return encode
+    known: dict[str, bytes | None] = {}
+
+    def by_words(texts: list[str]) -> list:
+        split = [text.split(" ") for text in texts]
+        firsts = encode([words[0] for words in split])
+        new = list({word for words in split for word in words[1:]} - known.keys())
+        for word, ids in zip(new, encode([f" {word}" for word in new]), strict=True):
+            # Where a word is empty or ends in white space, the next space is no safe cut.
+            known[word] = None if not word or word[-1].isspace() else array("I", ids).tobytes()
+        found = []
+        for text, words, first in zip(texts, split, firsts, strict=True):
+            rest = [known[word] for word in words[1:]]
+            if words[0][-1:].isspace() or None in rest:
+                found.append(encode([text])[0])
+            else:
+                found.append(np.frombuffer(b"".join([array("I", first).tobytes(), *rest]), np.uint32))
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for word in new:
+            if len(word) > KNOWN_CHARS:
+                known.pop(word, None)
+        return found
+
+    return by_words
+
+
 def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     """The text cut at safe boundaries into pieces of about ``limit`` characters; longer where there is no boundary."""
     start = 0
@@ -55,10 +107,13 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_texts(path: str, texts: Sequence[str | None]) -> Iterator[list[np.ndarray]]:
-    """For each text in order, the ids of its pieces; null counts as empty."""
+def encode_texts(path: str, texts: Sequence[str | None], by_words: bool = False) -> Iterator[list[np.ndarray]]:
+    """For each text in order, the ids of its pieces; null counts as empty.
+
+    ``by_words`` keeps the ids of words between calls, for outputs that are limited by the library's speed.
+    """
     whole = path.endswith(".model")  # its normaliser looks across spaces
-    encode = _encoder(path)
+    encode = _word_encoder(path) if by_words else _encoder(path)
     batch: list[str] = []
     owners: list[int] = []
     held, done = 0, 0

@@ -56,6 +56,14 @@ def test_long_words_merge_alike():
     assert codec.merge(word) == ids_of(word.decode())
 
 
+def test_ids_by_words_are_those_of_whole_texts():
+    spaced = ["a  b", "a \n b", "\n x", " x y", "x ", "x\x1c y", "x\u3000 y", "x's 't y", "x <|endoftext|> y", "<|endoftext|>", "w" * 99 + " w", "a" * 70 + "\n\nb c"]
+    for _ in range(2):  # the second time from what is kept
+        given = texts() + spaced
+        for text, parts in zip(given, tokenization.encode_texts(PATH, given, by_words=True), strict=True):
+            assert [i for part in parts for i in part.tolist()] == ids_of(text)
+
+
 def test_decoding_of_broken_ids(spark):
     rows = spark.createDataFrame([(1, [0, 999999, 1]), (2, None), (3, [bpe.codec(PATH).single[0xC3]])], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in bpe.decode(rows, PATH).collect()} == {1: '!"', 2: "", 3: "�"}
