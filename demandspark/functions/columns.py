@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from demandspark.config import NO_HOLIDAY, TIME_BLOCKS, UNKNOWN, Fold
 
 
+# Sums of doubles depend on their order from about this digit on.
+NOISE_DIGITS = 11
+
+
 def round_to(value: Column, digits: int) -> Column:
     """Half-away-from-zero rounding of a double: scale, round, unscale.
 
-    The value is first snapped five digits finer, so that the order in which partial sums were
-    merged cannot push an exact tie to either side.
+    A value within 5e-12 of a tie counts as the tie, so that the order in which partial sums were merged cannot push it
+    to either side; every other value is rounded as it is.
     """
-    fine, coarse = float(10 ** (digits + 5)), float(10**digits)
-    snapped = F.round(value * fine) / fine
-    return F.round(snapped * coarse) / coarse
+    fine, coarse = float(10**NOISE_DIGITS), float(10**digits)
+    return F.round(F.round(value * fine) / fine * coarse) / coarse
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

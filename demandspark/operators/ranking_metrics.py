@@ -222,25 +222,37 @@ def gain_extremes(gains: DataFrame) -> DataFrame:
     )
 
 
-def best_ranker(metrics: DataFrame, measure: str = "ndcg_at_10") -> DataFrame:
-    """The baseline with the highest mean; ties to the first name."""
-    means = metrics.groupBy("baseline").agg(round_to(F.avg(measure), 6).alias("score"))
+def _strongest(metrics: DataFrame, measure: str) -> DataFrame:
+    means = metrics.groupBy("baseline").agg(F.avg(measure).alias("score"))
     return means.orderBy(F.desc_nulls_last("score"), "baseline").limit(1)
 
 
-def learned_gain(learned: DataFrame, baselines: DataFrame, measure: str = "ndcg_at_10") -> DataFrame:
-    """Learned ranker against the strongest baseline, overall and per fold."""
-    best = best_ranker(baselines, measure)
-    score, name = best.select("score").scalar(), best.select("baseline").scalar()
-    grouped = learned.groupingSets([[], ["fold"]], "fold").agg(
-        round_to(F.avg(measure), 6).alias("learned_score")
+def best_ranker(metrics: DataFrame, measure: str = "ndcg_at_10") -> DataFrame:
+    """The baseline with the highest mean; ties to the first name. Means are compared before they are rounded."""
+    return _strongest(metrics, measure).withColumn("score", round_to(F.col("score"), 6))
+
+
+def learned_gain(
+    learned: DataFrame,
+    baselines: DataFrame,
+    measures: Sequence[str] = ("ndcg_at_5", "ndcg_at_10", "ndcg_at_20", "precision_at_10"),
+    measure: str = "ndcg_at_10",
+) -> DataFrame:
+    """Learned ranker overall and per fold, with its gain on the baseline that is strongest overall, at the same grain."""
+    name = _strongest(baselines, measure).select("baseline").scalar()
+    own = learned.select("fold", *measures, F.lit(None).cast("double").alias("_base"))
+    base = baselines.filter(F.col("baseline") == name)
+    empty = [F.lit(None).cast("double").alias(m) for m in measures]
+    both = own.unionByName(base.select("fold", *empty, F.col(measure).alias("_base")))
+    grouped = both.groupingSets([[], ["fold"]], "fold").agg(
+        *[F.avg(m).alias(m) for m in measures], F.avg("_base").alias("_base")
     )
-    return grouped.select(
+    return grouped.filter(F.col(measure).isNotNull()).select(
         F.coalesce(F.col("fold").cast("string"), F.lit("all")).alias("fold"),
-        "learned_score",
+        *[round_to(F.col(m), 6).alias(m) for m in measures],
         name.alias("best_baseline"),
-        score.alias("best_baseline_score"),
-        (F.col("learned_score") - score).alias("gain"),
+        round_to(F.col("_base"), 6).alias("best_baseline_score"),
+        round_to(F.col(measure) - F.col("_base"), 6).alias("gain"),
     )
 
 

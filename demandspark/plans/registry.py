@@ -6,6 +6,7 @@ Results are rounded only where two engines may differ in the last bits of a sum.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,8 @@ from demandspark.operators import (
 )
 from demandspark.plans import study, testdata
 from demandspark.plans.testdata import STUDY
-from demandspark.session import materialize
+from demandspark.session import materialize, shared_dir
+from demandspark.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -669,6 +671,31 @@ def ranking_validation(spark, sf):
     return checks.verdict(study.ranking_checks(base, own, predictions, baselines, STUDY))
 
 
+# ---------------------------------------------------------------- files
+
+
+@query
+def monthly_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Months written with differing types and fee spellings, read back as one frame."""
+    root = f"{shared_dir(spark)}/months-{uuid.uuid4().hex}"
+    testdata.write_months(spark, sf, root)
+    trips = cleaning.standardize(files.scan_trips(spark, f"{root}/trips_*"))
+    return trips.select("pickup_datetime", "dropoff_datetime", "passenger_count", "PULocationID", "DOLocationID", "airport_fee")
+
+
+@query
+def table_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly series and a lookup with NA texts, through their CSV files."""
+    root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    sinks.write_clean_trips(trips(spark, sf), f"{root}/clean")
+    clean = files.scan_clean_trips(spark, f"{root}/clean")
+    sinks.write_table(kpis.hourly_timeseries(clean), f"{root}/hourly", ["pickup_date", F.desc("pickup_hour")])
+    sinks.write_table(testdata.lookup_with_na(spark, sf), f"{root}/lookup")
+    hourly = files.scan_hourly_series(spark, f"{root}/hourly")
+    zones = files.scan_zone_lookup(spark, f"{root}/lookup")
+    return hourly.join(zones, hourly["pickup_hour"] == zones["LocationID"], "left")
+
+
 def queries() -> dict[str, Query]:
     names = {"headline_kpis": "kpis", "baseline_metrics": "ranking_metrics"}
     return {names.get(name, name): function for name, function in QUERIES.items()}

@@ -108,3 +108,37 @@ def customer_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+
+
+def lookup_with_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zone lookup whose boroughs are "N/A", "NA" or missing."""
+    key = F.col("s_suppkey")
+    borough = F.when(key % 3 == 0, "N/A").when(key % 3 == 1, "NA")
+    return table(spark, sf_dir, "supplier").select(key.cast("int").alias("LocationID"), borough.alias("Borough"), F.col("s_name").alias("Zone"))
+
+
+def write_months(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Line items as raw trips, in four sets of months that differ in types and in the fee column's spelling."""
+    line = table(spark, sf_dir, "lineitem")
+    minute = F.expr("INTERVAL '1' MINUTE")
+    start = F.col("l_shipdate").cast("timestamp_ntz") + minute * (F.col("l_orderkey") % 1440)
+    known = F.col("l_partkey") % 61 != 0
+    stop = start + minute * F.col("l_quantity").cast("int")
+    fee = F.col("l_tax")
+    for part, (count, zone, pickup, fees) in enumerate(
+        [
+            ("int", "int", F.when(known, start), {"airport_fee": fee}),
+            ("bigint", "bigint", F.when(known, start.cast("string")).otherwise("not a time"), {"Airport_fee": fee}),
+            ("double", "double", F.when(known, start), {"airport_fee": fee.cast("string")}),
+            ("double", "bigint", F.when(known, start), {}),
+        ]
+    ):
+        line.filter(F.month("l_shipdate") % 4 == part).select(
+            pickup.alias("tpep_pickup_datetime"),
+            stop.alias("tpep_dropoff_datetime"),
+            F.col("l_linenumber").cast(count).alias("passenger_count"),
+            F.col("l_suppkey").cast(zone).alias("PULocationID"),
+            F.col("l_partkey").cast(zone).alias("DOLocationID"),
+            *[value.alias(name) for name, value in fees.items()],
+            F.col("l_linestatus").alias("outside"),
+        ).write.parquet(f"{root}/trips_{part}")

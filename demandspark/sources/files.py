@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,20 +12,44 @@ from demandspark import schemas
 from demandspark.config import KEEP_COLUMNS
 
 
+FOOTER_READS = 16  # footers read at the same time
+
+
 def scan_trips(spark: SparkSession, path: str, keep: tuple[str, ...] = KEEP_COLUMNS) -> DataFrame:
     """All monthly Parquet files under a path or glob, as one frame with a ``file`` column.
 
-    Schemas are united by name, columns outside the allow-list are never read, and a path
-    without files raises ``AnalysisException``.
+    Months may store a column in different types: files are grouped by the schema in their footers, each group is one
+    scan, its columns are cast to the declared types where they differ, and the groups are united by name. A value that
+    has no form in the declared type becomes NULL. Columns outside the allow-list are never read, and a path without
+    files raises ``AnalysisException``.
     """
-    raw = spark.read.option("mergeSchema", True).parquet(path)
-    present = [name for name in keep if name in raw.columns]
-    return raw.select(*present, F.col("_metadata.file_name").alias("file"))
+    by_schema: dict[str, list[str]] = {}
+    names = sorted(spark.read.parquet(path).inputFiles())
+    with ThreadPoolExecutor(FOOTER_READS) as pool:
+        schemas_read = list(pool.map(lambda name: spark.read.parquet(name).schema, names))
+    found = {}
+    for name, schema in zip(names, schemas_read, strict=True):
+        by_schema.setdefault(schema.json(), []).append(name)
+        found[schema.json()] = schema
+    groups = [_as_declared(spark.read.schema(found[key]).parquet(*same), keep) for key, same in by_schema.items()]
+    united = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), groups)
+    return united.select(*[name for name in keep if name in united.columns], "file")
+
+
+def _as_declared(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    declared = {field.name: field.dataType for field in schemas.RAW_TRIPS.fields}
+    columns = []
+    for field in raw.schema.fields:
+        if field.name in keep:
+            kind = declared.get(field.name, field.dataType)
+            same = kind == field.dataType
+            columns.append(F.col(field.name) if same else F.col(field.name).try_cast(kind).alias(field.name))
+    return raw.select(*columns, F.col("_metadata.file_name").alias("file"))
 
 
 def scan_clean_trips(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned trips written by :func:`demandspark.sources.sinks.write_clean_trips`."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """Cleaned trips written by :func:`demandspark.sources.sinks.write_clean_trips`, with one schema."""
+    return spark.read.parquet(path)
 
 
 def scan_zone_lookup(spark: SparkSession, path: str) -> DataFrame:

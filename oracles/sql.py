@@ -12,7 +12,7 @@ MONDAY_FIRST = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturda
 
 
 def rnd(expr: str, digits: int) -> str:
-    return f"round(round(CAST({expr} AS DOUBLE), {digits + 5}), {digits})"
+    return f"round(round(CAST({expr} AS DOUBLE), 11), {digits})"
 
 
 def div(numerator: str, denominator: str) -> str:
@@ -606,7 +606,9 @@ def statements() -> dict[str, str]:
             """
 SELECT file, count(*) AS raw_trip_count, count(*) FILTER (NOT inside) AS out_of_period_count,
        count(*) FILTER (inside AND first_rule <> 'valid') AS first_failure_count,
-       count(*) FILTER (first_rule = 'valid') AS clean_trip_count, true AS balanced
+       count(*) FILTER (first_rule = 'valid') AS clean_trip_count,
+       count(*) = count(*) FILTER (NOT inside) + count(*) FILTER (inside AND first_rule <> 'valid')
+                  + count(*) FILTER (first_rule = 'valid') AS balanced
 FROM shipment_flags GROUP BY file""",
             "shipment_flags",
         ),
@@ -641,6 +643,22 @@ FROM (SELECT month, coalesce(sum(records) FILTER (first_failing_rule = 'zero_or_
       FROM ({_EXCLUDED}) GROUP BY month)""",
             "shipment_flags",
         ),
+        # ---------------------------------------------------------------- files
+        "monthly_files": """
+SELECT CASE WHEN l_partkey % 61 <> 0 THEN l_shipdate + to_minutes(CAST(l_orderkey % 1440 AS INTEGER)) END AS pickup_datetime,
+       l_shipdate + to_minutes(CAST(l_orderkey % 1440 + l_quantity AS INTEGER)) AS dropoff_datetime,
+       CAST(l_linenumber AS DOUBLE) AS passenger_count, l_suppkey AS PULocationID, l_partkey AS DOLocationID,
+       CASE WHEN month(l_shipdate) % 4 <> 3 THEN l_tax END AS airport_fee
+FROM lineitem""",
+        "table_files": q(
+            f"""
+SELECT h.pickup_date, h.pickup_hour, h.trips, z.LocationID, z.Borough, z.Zone
+FROM (SELECT CAST(pickup_datetime AS DATE) AS pickup_date, CAST(hour(pickup_datetime) AS INTEGER) AS pickup_hour, count(*) AS trips
+      FROM trips GROUP BY ALL) h
+LEFT JOIN (SELECT CAST(s_suppkey AS INTEGER) AS LocationID, CASE s_suppkey % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN 'NA' END AS Borough,
+                  s_name AS Zone FROM supplier) z ON z.LocationID = h.pickup_hour""",
+            "trips",
+        ),
         # ---------------------------------------------------------------- KPIs and profiles
         "kpis": q(f"SELECT {_KPI_COLUMNS} FROM trips", "trips"),
         "shipment_kpis": q(f"SELECT {_KPI_COLUMNS} FROM shipments", "shipments"),
@@ -951,8 +969,8 @@ FROM (SELECT time_block, {rnd("avg(ndcg_at_10) FILTER (baseline = 'zone_hour_pro
         ),
         "best_ranker": q(
             f"""
-SELECT baseline, {rnd('avg(ndcg_at_10)', 6)} AS score FROM metrics GROUP BY baseline
-ORDER BY score DESC, baseline LIMIT 1""",
+SELECT baseline, {rnd('mean', 6)} AS score
+FROM (SELECT baseline, avg(ndcg_at_10) AS mean FROM metrics GROUP BY baseline ORDER BY mean DESC, baseline LIMIT 1)""",
             "metrics",
         ),
         "reported_metrics": q(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandspark import schemas
 from demandspark.config import CleaningLimits
+from demandspark.functions.columns import round_to
 from demandspark.operators import cleaning
 from demandspark.sources import files, sinks
 
@@ -203,3 +204,23 @@ def test_table_sink_round_trip(spark, tmp_path):
     frame = spark.createDataFrame(rows, schemas.HOURLY_SERIES)
     sinks.write_table(frame, str(tmp_path / "t"), ["pickup_date"])
     assert [tuple(r) for r in files.scan_hourly_series(spark, str(tmp_path / "t")).collect()] == rows[::-1]
+
+
+def test_monthly_files_with_different_widths(spark, tmp_path):
+    """INT32, INT64 and DOUBLE in the same column of different months; the result has the declared types."""
+    for month, (count, zone) in enumerate([("int", "int"), ("bigint", "bigint"), ("double", "bigint"), ("string", "double")], 1):
+        row = spark.sql(f"SELECT CAST({month} AS {count}) AS passenger_count, CAST(7 AS {zone}) AS PULocationID, 1.5D AS fare_amount")
+        pq.write_table(row.toArrow(), tmp_path / f"trips_2025-0{month}.parquet")
+    for sensitive in ("true", "false"):
+        spark.conf.set("spark.sql.caseSensitive", sensitive)
+        raw = files.scan_trips(spark, str(tmp_path / "trips_*.parquet"))
+        assert dict(raw.dtypes) == {"passenger_count": "double", "PULocationID": "bigint", "fare_amount": "double", "file": "string"}
+        rows = as_dicts(raw, "file")
+        assert [r["passenger_count"] for r in rows] == [1.0, 2.0, 3.0, 4.0]
+        assert {r["PULocationID"] for r in rows} == {7}
+
+
+def test_rounding_does_not_lift_values_below_a_tie(spark):
+    rows = spark.createDataFrame([(2.67499996,), (0.12499997,), (10.00499999,), (-2.5,), (0.125,)], "x double")
+    found = [r[0] for r in rows.select(round_to(F.col("x"), 2)).collect()]
+    assert found == [2.67, 0.12, 10.0, -2.5, 0.13]

@@ -216,8 +216,10 @@ def test_checks_fail_when_they_should(spark, case):
 
 def test_learned_gain(spark):
     learned = spark.createDataFrame([(1, 0.9), (2, 0.7)], "fold int, ndcg_at_10 double")
-    base = spark.createDataFrame([("a", 0.6), ("b", 0.5), ("b", 0.6)], "baseline string, ndcg_at_10 double")
-    found = {r["fold"]: r for r in ranking_metrics.learned_gain(learned, base).collect()}
+    scores = [(1, "a", 0.5), (2, "a", 0.7), (1, "b", 0.5), (2, "b", 0.6999998)]  # equal once rounded
+    base = spark.createDataFrame(scores, "fold int, baseline string, ndcg_at_10 double")
+    gains = ranking_metrics.learned_gain(learned, base, measures=["ndcg_at_10"])
+    found = {r["fold"]: r for r in gains.collect()}
     assert found["all"]["best_baseline"] == "a" and found["all"]["gain"] == pytest.approx(0.2)
-    assert found["2"]["gain"] == pytest.approx(0.1)
+    assert found["1"]["gain"] == pytest.approx(0.4) and found["2"]["gain"] == pytest.approx(0.0)
     assert checks.beats_baselines(learned, base).collect()[0]["passed"]
