@@ -1,13 +1,15 @@
 """Boosted-tree forecasts and the learned zone ranker (Spark ML).
 
 The driver loops only over folds and input sets, because each is a separate model; fitting and
-scoring run on the cluster.  Spark ML's boosted trees bound depth rather than leaves and have no
+scoring run on the cluster.  A few fits run at the same time: each boosting round is a row of short
+jobs, and one fit alone leaves most of the cluster waiting for the next of them.  Spark ML's boosted trees bound depth rather than leaves and have no
 L2 penalty, so models are compared with the published ones by error, not by value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -22,6 +24,7 @@ from demandspark.operators.ranking import EVERY_ZONE, HOUR_KEY, top_ranked
 from demandspark.operators.timeseries import as_predictions, complete_rows, test_rows
 from demandspark.session import materialize, shared_dir
 
+FITS_AT_ONCE = 4
 FORECAST_MODELS = {"gradient_boosting_lag1": NEXT_HOUR_INPUTS, "gradient_boosting_24h": DAY_AHEAD_INPUTS}
 
 
@@ -54,27 +57,34 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _fit_all(jobs: list[tuple[Pipeline, DataFrame]]) -> list[PipelineModel]:
+    """One fitted pipeline per (pipeline, training rows), in order."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda job: job[0].fit(job[1]), jobs))
+
+
 def model_predictions(features: DataFrame, folds: Sequence[Fold], iterations: int = 300) -> DataFrame:
     """Long predictions of both forecast models, one fit per fold and model."""
     ready = materialize(features, "lag-features")
-    frames = []
-    for fold in folds:
-        train = ready.filter(F.col("date") < F.lit(fold.start))
-        test = test_rows(ready, [fold])
-        for name, inputs in FORECAST_MODELS.items():
-            model = forecaster(inputs, iterations).fit(complete_rows(train, inputs))
-            scored = model.transform(complete_rows(test, inputs))
-            frames.append(as_predictions(scored, F.lit(name), F.col("predicted")))
+    parts = [(fold, name, inputs) for fold in folds for name, inputs in FORECAST_MODELS.items()]
+    jobs = [
+        (forecaster(inputs, iterations), complete_rows(ready.filter(F.col("date") < F.lit(fold.start)), inputs))
+        for fold, _, inputs in parts
+    ]
+    frames = [
+        as_predictions(
+            model.transform(complete_rows(test_rows(ready, [fold]), inputs)), F.lit(name), F.col("predicted")
+        )
+        for (fold, name, inputs), model in zip(parts, _fit_all(jobs), strict=True)
+    ]
     return _union(frames)
 
 
 def final_models(features: DataFrame, iterations: int = 300) -> dict[str, PipelineModel]:
     """Both forecast models on every complete row."""
     shared_dir(features.sparkSession)
-    return {
-        name: forecaster(inputs, iterations).fit(complete_rows(features, inputs))
-        for name, inputs in FORECAST_MODELS.items()
-    }
+    jobs = [(forecaster(inputs, iterations), complete_rows(features, inputs)) for inputs in FORECAST_MODELS.values()]
+    return dict(zip(FORECAST_MODELS, _fit_all(jobs), strict=True))
 
 
 def learned_scores(
@@ -82,20 +92,19 @@ def learned_scores(
 ) -> DataFrame:
     """Predicted gross spend of every candidate zone at every test hour; one model per fold.
 
-    ``panel`` comes from :func:`training_panel` and ``targets`` from :func:`frozen_features`.
-    A fold without training rows is left out.
+    ``panel`` comes from :func:`training_panel` and ``targets`` from :func:`frozen_features`; each is
+    written once.  A fold without training rows is left out.
     """
-    ready = materialize(panel, "training-panel")
+    ready, targets = materialize(panel, "training-panel"), materialize(targets, "frozen-features")
     trained = {row.fold for row in ready.select("fold").distinct().toLocalIterator()}
-    frames = []
-    for fold in folds:
-        if fold.number not in trained:
-            continue
-        model = ranker(iterations).fit(ready.filter(F.col("fold") == fold.number))
-        scored = model.transform(targets.filter(F.col("fold") == fold.number))
-        frames.append(
-            scored.select(*HOUR_KEY, "PULocationID", F.col("predicted").alias("predicted_gross_passenger_spend"))
+    numbers = [fold.number for fold in folds if fold.number in trained]
+    models = _fit_all([(ranker(iterations), ready.filter(F.col("fold") == n)) for n in numbers])
+    frames = [
+        model.transform(targets.filter(F.col("fold") == n)).select(
+            *HOUR_KEY, "PULocationID", F.col("predicted").alias("predicted_gross_passenger_spend")
         )
+        for n, model in zip(numbers, models, strict=True)
+    ]
     if not frames:
         return targets.select(
             *HOUR_KEY, "PULocationID", F.lit(0.0).alias("predicted_gross_passenger_spend")

@@ -27,8 +27,6 @@ STUDY = replace(
     folds=folds_from([date(2024, 1, 15), date(2024, 1, 22)]),
     support_thresholds=(25, 30),
     min_history_days=7,
-    forecast_iterations=20,
-    ranker_iterations=20,
 )
 
 
