@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import RANKER_INPUTS, Fold
 from demandspark.functions.columns import round_to
+from demandspark.operators.features import HISTORY_DATES
 from demandspark.operators.ranking import RankingInput
 
 REQUIRED_PREDICTION_COLUMNS = (
@@ -23,9 +24,9 @@ REQUIRED_PREDICTION_COLUMNS = (
 TARGET_COLUMNS = ("target_gross_spend", "gross_passenger_spend", "actual_gross_passenger_spend")
 
 
-def _result(name: str, passed: Column, detail: Column) -> list[Column]:
+def _result(name: str | Column, passed: Column, detail: Column) -> list[Column]:
     return [
-        F.lit(name).alias("check"),
+        (name if isinstance(name, Column) else F.lit(name)).alias("check"),
         F.coalesce(passed, F.lit(False)).alias("passed"),
         detail.cast("string").alias("detail"),
     ]
@@ -78,17 +79,19 @@ def splits_ordered(data: RankingInput) -> DataFrame:
 
 
 def history_before_target(features: DataFrame, target_date: str, label: str) -> DataFrame:
-    """No feature row may use history from its own date or later.
+    """No feature row may use history from its own date or later; one row per source of history.
 
     Needs a feature table built ``with_history_date``.
     """
-    late = features.agg(
-        F.count_if(F.col("last_history_date") >= F.col(target_date)).alias("late"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    return late.select(
+    sources = [
+        F.struct(F.lit(name).alias("source"), F.count_if(F.col(name) >= F.col(target_date)).alias("late"))
+        for name in HISTORY_DATES
+    ]
+    late = features.agg(F.array(*sources).alias("sources"), F.count(F.lit(1)).alias("rows"))
+    source = F.regexp_extract("source", "last_(.*)_date", 1)
+    return late.select("rows", F.inline("sources")).select(
         *_result(
-            f"{label} history precedes the target",
+            F.concat(F.lit(f"{label} history precedes the target: "), source),
             (F.col("late") == 0) & (F.col("rows") > 0),
             F.concat_ws(" of ", F.col("late").cast("string"), F.col("rows").cast("string")),
         )

@@ -1,8 +1,8 @@
 """Point-in-time zone-hour features: as of each date (training) and frozen at the fold start (test).
 
 Both results are dense by definition (one row per zone and hour).  The hours come from a calendar
-whose length is bounded by the study period, every zone's rows stay together, and one shuffle by
-zone serves the densification and all windows.
+whose length is bounded by the study period.  Only observed rows and one row per zone are shuffled:
+the silent hours are made after the placement by zone, which also serves all windows.
 
 The two modes differ on purpose, as the published study does: training history is everything before
 the row's own date and its weekly means count silent weeks as zero; test history ends at the fold
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import MIN_HISTORY_DAYS, RANKER_INPUTS, WEEKS_BACK
 from demandspark.functions.columns import epoch_day, finite_or_zero, ratio, training_folds
+from demandspark.operators.medians import quantiles_long
 from demandspark.operators.ranking import (
     HOUR_KEY,
     RankingInput,
@@ -29,6 +30,9 @@ from demandspark.operators.ranking import (
 )
 
 TARGET = "target_gross_spend"
+# Latest date that each source of a row's features has seen.
+HISTORY_DATES = ("last_daily_date", "last_slot_date", "last_week_date", "last_trailing_date")
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 PANEL_KEY = ["fold", "PULocationID", "pickup_date", "pickup_hour"]
 
 
@@ -72,7 +76,8 @@ def training_panel(
         "PULocationID",
         "first_date",
         "is_airport",
-        F.inline(calendar.scalar()),
+        F.lit(None).cast("date").alias("seen_date"),
+        F.lit(None).cast("int").alias("seen_hour"),
         F.lit(0).cast("bigint").alias("trips"),
         zero.alias("spend"),
         zero.alias("minutes"),
@@ -82,17 +87,20 @@ def training_panel(
         "PULocationID",
         F.lit(None).cast("date").alias("first_date"),
         F.lit(None).cast("boolean").alias("is_airport"),
-        "pickup_date",
-        "pickup_hour",
+        F.col("pickup_date").alias("seen_date"),
+        F.col("pickup_hour").alias("seen_hour"),
         "trips",
         F.col("gross_passenger_spend").alias("spend"),
         _weighted("avg_trip_duration_min").alias("minutes"),
         _weighted("avg_trip_distance_miles").alias("miles"),
     )
-    # Placed by zone once: the aggregation and both windows below need no further shuffle.
+    # Placed by zone once: the aggregation and both windows below need no further shuffle.  A zone's own row
+    # becomes its silent hours only where it lands.
+    seen = F.array(F.struct(F.col("seen_date").alias("pickup_date"), F.col("seen_hour").alias("pickup_hour")))
     panel = (
         silent.unionByName(active)
         .repartition("PULocationID")
+        .select("*", F.inline(F.when(F.col("seen_date").isNull(), calendar.scalar()).otherwise(seen)))
         .groupBy("PULocationID", "pickup_date", "pickup_hour")
         .agg(
             F.max("first_date").alias("first_date"),
@@ -114,7 +122,8 @@ def training_panel(
 
     history_columns = {f"prior_{c}": before(c, earlier_days) for c in ("trips", "spend", "minutes", "miles")}
     if with_history_date:
-        history_columns["last_history_date"] = F.max("pickup_date").over(earlier_days)
+        windows = (earlier_days, earlier_slots, week_ago, trailing)
+        history_columns |= {n: F.max("pickup_date").over(w) for n, w in zip(HISTORY_DATES, windows, strict=True)}
     panel = panel.withColumns(history_columns)
     panel = panel.withColumns(
         {
@@ -145,7 +154,7 @@ def training_panel(
             ),
         }
     )
-    extra = ["last_history_date"] if with_history_date else []
+    extra = HISTORY_DATES if with_history_date else []
     return named.select(
         *PANEL_KEY, *_model_inputs(), finite_or_zero(F.col("spend")).alias(TARGET), *extra
     )
@@ -157,7 +166,7 @@ def frozen_features(data: RankingInput, with_history_date: bool = False) -> Data
     train = train_frame(data)
     totals = train.groupBy("fold", "PULocationID").agg(
         F.bool_or("is_airport").alias("is_airport"),
-        F.max("pickup_date").alias("last_history_date"),
+        F.max("pickup_date").alias("last_daily_date"),
         F.sum("trips").alias("trips"),
         F.sum("gross_passenger_spend").alias("spend"),
         F.sum(_weighted("avg_trip_duration_min")).alias("minutes"),
@@ -168,6 +177,7 @@ def frozen_features(data: RankingInput, with_history_date: bool = False) -> Data
         .agg(
             F.sum("trips").alias("matching_dow_hour_trips"),
             F.sum("gross_passenger_spend").alias("matching_dow_hour_spend"),
+            F.max("pickup_date").alias("last_slot_date"),
         )
         .join(targets, ["fold", "dow", "pickup_hour"])
         .drop("dow")
@@ -178,13 +188,24 @@ def frozen_features(data: RankingInput, with_history_date: bool = False) -> Data
         F.col("last_week_trips").alias("same_hour_last_week_trips"),
         F.col("trailing_trips").alias("trailing_4_week_trips"),
         F.col("trailing_spend").alias("trailing_4_week_spend"),
+        F.col("last_week_date"),
+        F.col("trailing_date").alias("last_trailing_date"),
     )
     # One test window per fold: at most 24 hours for each of its days.
-    spine = totals.join(F.broadcast(targets.drop("dow")), "fold")
+    hour = F.struct("test_date", "pickup_hour")
+    by_fold = targets.groupBy("fold").agg(F.collect_list(hour).alias("hours"))
+    hours = by_fold.agg(F.map_from_entries(F.collect_list(F.struct("fold", "hours")))).scalar()
     key = ["fold", "PULocationID", "test_date", "pickup_hour"]
-    parts = spine.unionByName(slots, allowMissingColumns=True).unionByName(weekly, allowMissingColumns=True)
+    parts = totals.unionByName(slots, allowMissingColumns=True).unionByName(weekly, allowMissingColumns=True)
     values = [c for c in parts.columns if c not in key]
-    merged = parts.repartition("fold", "PULocationID").groupBy(*key).agg(*[F.max(c).alias(c) for c in values])
+    # Only a zone's totals travel; they become its test hours where they land.
+    spread = F.when(F.col("test_date").isNull(), F.element_at(hours, F.col("fold"))).otherwise(F.array(hour))
+    merged = (
+        parts.repartition("fold", "PULocationID")
+        .select("fold", "PULocationID", *values, F.inline(spread))
+        .groupBy(*key)
+        .agg(*[F.max(c).alias(c) for c in values])
+    )
     day = F.col("test_date")
     named = merged.withColumns(
         {
@@ -195,7 +216,7 @@ def frozen_features(data: RankingInput, with_history_date: bool = False) -> Data
             **_history_columns(F.col("trips"), F.col("spend"), F.col("minutes"), F.col("miles")),
         }
     )
-    extra = ["last_history_date"] if with_history_date else []
+    extra = HISTORY_DATES if with_history_date else []
     return named.select(*key, *_model_inputs(), *extra)
 
 
@@ -208,7 +229,10 @@ def feature_null_counts(features: DataFrame) -> DataFrame:
 
 
 def feature_summary(features: DataFrame, columns: Sequence[str] = RANKER_INPUTS) -> DataFrame:
-    """Count, mean, spread and range per column, long; one pass."""
+    """Count, mean, spread, range and quartiles per column, long.
+
+    The input is read three times: pass a written table.
+    """
     stats = features.agg(
         *[
             F.struct(
@@ -222,4 +246,10 @@ def feature_summary(features: DataFrame, columns: Sequence[str] = RANKER_INPUTS)
             for c in columns
         ]
     )
-    return stats.select(F.inline(F.array(*columns)))
+    long = stats.select(F.inline(F.array(*columns)))
+    quartiles = quantiles_long(features, [], {c: c for c in columns}, list(QUARTILES.values()))
+    wide = quartiles.groupBy(F.col("_measure").alias("feature")).agg(
+        *[F.max(F.when(F.col("_probability") == p, F.col("_quantile"))).alias(n) for n, p in QUARTILES.items()]
+    )
+    stacked = long.unionByName(wide, allowMissingColumns=True)
+    return stacked.groupBy("feature").agg(*[F.max(c).alias(c) for c in stacked.columns if c != "feature"])

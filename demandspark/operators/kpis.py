@@ -378,6 +378,12 @@ def pareto_zones(zones: DataFrame, share: float = 0.8, top: int = 10) -> DataFra
     )
 
 
+def monthly_activity(trips: DataFrame) -> DataFrame:
+    """Trips per active day by month number: the part of :func:`kpis_monthly` that needs no medians."""
+    monthly = trips.groupBy("month").agg(_trips(), F.countDistinct(_pickup_date()).alias("active_days"))
+    return monthly.withColumn("trips_per_day", round_to(ratio(F.col("trips"), F.col("active_days")), 0))
+
+
 def monthly_growth(monthly: DataFrame) -> DataFrame:
     """Trips per day of the last month against the first."""
     ends = monthly.agg(

@@ -1,13 +1,15 @@
-"""Exact medians without gathering a group's rows.
+"""Exact quantiles without gathering a group's rows and without shuffling its values.
 
-``median`` keeps every distinct value of a group in one task.  Here rows are first reduced to
-(value, count); a narrow-bin cumulative count finds the one or two bins that hold the middle
-ranks, and only the values inside those bins are ordered.  The three reads of the value counts
-share one shuffle (Spark reuses the exchange).
+``median`` keeps every distinct value of a group in one task.  Here a first pass counts rows by narrow
+bin, which combines to a bounded number of rows per task; a running count over the bins finds the ones
+that hold the wanted ranks; a second pass over the same pruned columns keeps only the values of those
+bins, and only they are shuffled and ordered.  Bins follow the logarithm of the value, so their number
+stays small whatever the range of the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,14 +19,18 @@ from pyspark.sql import functions as F
 
 from demandspark.functions.columns import round_to
 
+# Bins for each step of the natural logarithm of 1 + |value|.
+BINS_PER_STEP = 2048
 
-def exact_medians(
-    df: DataFrame, keys: list[str], measures: dict[str, str], bin_width: float = 1 / 64
+
+def quantiles_long(
+    df: DataFrame, keys: list[str], measures: dict[str, str], probabilities: Sequence[float]
 ) -> DataFrame:
-    """One row per ``keys`` with the interpolated median of each measure.
+    """Linearly interpolated quantiles, long: ``keys``, _measure, _probability, _quantile.
 
-    ``measures`` maps output name to input column.  ``keys`` must be a low-cardinality grouping
-    such as the month number: the located bins, at most two per key and measure, are joined back.
+    ``measures`` maps output name to input column; missing values and NaN do not count.  ``keys`` must be
+    a low-cardinality grouping such as the month number: the located bins, at most two for each key,
+    measure and probability, are joined back.
     """
     group = [*keys, "_measure"]
     pairs = F.array(
@@ -33,46 +39,74 @@ def exact_medians(
             for out, source in measures.items()
         ]
     )
-    values = df.select(*keys, F.inline(pairs)).filter(F.col("_value").isNotNull())
-    counted = (
-        values.groupBy(*group, "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.floor(F.col("_value") / bin_width))
+    # log1p keeps the order of its arguments, so a bin holds a range of values.
+    scaled = F.signum("_value") * F.log1p(F.abs("_value"))
+    values = (
+        df.select(*keys, F.inline(pairs))
+        .filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+        .withColumn("_bin", F.floor(scaled * BINS_PER_STEP))
     )
 
     by_group = W.partitionBy(*group)
     through = by_group.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    spot = (F.col("_total") - 1) * F.col("_probability")
+    holds_low, holds_high = (
+        (F.col(rank) > F.col("_before")) & (F.col(rank) <= F.col("_through")) for rank in ("_low", "_high")
+    )
     located = (
-        counted.groupBy(*group, "_bin")
-        .agg(F.sum("_n").alias("_in_bin"))
+        values.groupBy(*group, "_bin")
+        .agg(F.count(F.lit(1)).alias("_in_bin"))
         .withColumns({"_through": F.sum("_in_bin").over(through), "_total": F.sum("_in_bin").over(by_group)})
+        .select(
+            *group, "_bin", "_through", "_total",
+            (F.col("_through") - F.col("_in_bin")).alias("_before"),
+            F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("_probability"),
+        )
         .withColumns(
-            {
-                "_before": F.col("_through") - F.col("_in_bin"),
-                "_low": F.expr("(_total + 1) div 2"),
-                "_high": F.expr("_total div 2 + 1"),
-            }
+            {"_low": F.floor(spot) + 1, "_high": F.ceil(spot) + 1, "_share": spot - F.floor(spot)}
         )
-        .filter("(_low > _before AND _low <= _through) OR (_high > _before AND _high <= _through)")
-        .select(*[F.col(c).alias(f"{c}_at") for c in (*group, "_bin")], "_before", "_low", "_high")
+        .filter(holds_low | holds_high)
+        .groupBy(*group, "_bin", "_before")
+        .agg(F.collect_list(F.struct("_probability", "_low", "_high", "_share")).alias("_wanted"))
+        .select(*[F.col(c).alias(f"{c}_at") for c in (*group, "_bin")], "_before", "_wanted")
     )
 
-    # At most two bins per key and measure, whatever the size of the trips.  The null-safe keys keep
-    # Spark from adding a filter to this branch only, which would part it from the shared shuffle.
+    # At most two bins per key, measure and probability, whatever the size of the data.
     same_bin = [F.col(c).eqNullSafe(F.col(f"{c}_at")) for c in (*group, "_bin")]
-    inside = counted.join(F.broadcast(located), reduce(and_, same_bin))
+    counted = (
+        values.join(F.broadcast(located), reduce(and_, same_bin))
+        .groupBy(*group, "_bin", "_value")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.any_value("_before").alias("_before"),
+            F.any_value("_wanted").alias("_wanted"),
+        )
+    )
     ordered = W.partitionBy(*group, "_bin").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = inside.withColumn("_last", F.col("_before") + F.sum("_n").over(ordered))
+    ranked = counted.withColumn("_last", F.col("_before") + F.sum("_n").over(ordered)).select(
+        *group, "_value", "_n", "_last", F.inline("_wanted")
+    )
 
-    def holds(rank: str):
+    def at(rank: str):
         first = F.col("_last") - F.col("_n")
-        return F.when((F.col(rank) > first) & (F.col(rank) <= F.col("_last")), F.col("_value"))
+        return F.max(F.when((F.col(rank) > first) & (F.col(rank) <= F.col("_last")), F.col("_value")))
 
-    medians = ranked.groupBy(*group).agg(
-        ((F.max(holds("_low")) + F.max(holds("_high"))) / 2).alias("_median")
+    return (
+        ranked.groupBy(*group, "_probability")
+        .agg(at("_low").alias("_from"), at("_high").alias("_to"), F.max("_share").alias("_share"))
+        .select(
+            *group,
+            "_probability",
+            (F.col("_from") + (F.col("_to") - F.col("_from")) * F.col("_share")).alias("_quantile"),
+        )
     )
+
+
+def exact_medians(df: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
+    """One row per ``keys`` with the interpolated median of each measure."""
+    medians = quantiles_long(df, keys, measures, [0.5])
     return medians.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_measure") == out, F.col("_median"))).alias(out) for out in measures]
+        *[F.max(F.when(F.col("_measure") == out, F.col("_quantile"))).alias(out) for out in measures]
     )
 
 

@@ -216,6 +216,8 @@ def weekly_scores(data: RankingInput, weeks: int = WEEKS_BACK) -> DataFrame:
         F.max(F.when(F.col("weeks_back") == 1, F.col("trips"))).alias("last_week_trips"),
         F.avg("trips").alias("trailing_trips"),
         F.avg("gross_passenger_spend").alias("trailing_spend"),
+        F.max(F.when(F.col("weeks_back") == 1, F.col("pickup_date"))).alias("last_week_date"),
+        F.max("pickup_date").alias("trailing_date"),
     )
 
 

@@ -208,7 +208,7 @@ def median_of_monthly_medians(spark, sf):
 
 @query
 def monthly_growth(spark, sf):
-    return kpis.monthly_growth(kpis.kpis_monthly(shipments(spark, sf)))
+    return kpis.monthly_growth(kpis.monthly_activity(shipments(spark, sf)))
 
 
 @query
@@ -428,7 +428,7 @@ def profile_scores(spark, sf):
 
 @query
 def weekly_scores(spark, sf):
-    scores = ranking.weekly_scores(ranking_data(spark, sf))
+    scores = ranking.weekly_scores(ranking_data(spark, sf)).drop("last_week_date", "trailing_date")
     return rounded(scores, ["trailing_trips", "trailing_spend"])
 
 
@@ -546,8 +546,8 @@ def feature_null_counts(spark, sf):
 
 @query
 def feature_summary(spark, sf):
-    summary = features.feature_summary(features.frozen_features(ranking_data(spark, sf)))
-    return rounded(summary, ["mean", "std", "min", "max"], 4)
+    frozen = materialize(features.frozen_features(ranking_data(spark, sf)), "frozen-features")
+    return rounded(features.feature_summary(frozen), ["mean", "std", "min", "max", *features.QUARTILES], 4)
 
 
 @query
@@ -595,23 +595,60 @@ def baseline_checks(spark, sf):
     )
 
 
-# ---------------------------------------------------------------- models (no SQL equivalent)
+# ---------------------------------------------------------------- models
+# Fitted values have no SQL equivalent; the queries named *_rows, *_hours and *_folds state what a fit cannot change.
+
+FITTED: dict[tuple[str, str, str], tuple] = {}
+
+
+def fitted(label: str, spark: SparkSession, sf: str, build: Callable[[], tuple]) -> tuple:
+    """What ``build`` fits on a folder of tables, kept for the application: several queries read the same written result."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in FITTED:
+        FITTED[key] = build()
+    return FITTED[key]
 
 
 def all_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    ready = materialize(lagged(spark, sf), "lag-features")
-    fitted = models.model_predictions(ready, STUDY.folds, STUDY.forecast_iterations)
-    return timeseries.naive_predictions(ready, STUDY.folds).unionByName(fitted)
+    def build():
+        ready = materialize(lagged(spark, sf), "lag-features")
+        own = models.model_predictions(ready, STUDY.folds, STUDY.forecast_iterations)
+        naive_rows = timeseries.naive_predictions(ready, STUDY.folds)
+        return (materialize(naive_rows.unionByName(own), "predictions"),)
 
+    return fitted("forecast", spark, sf, build)[0]
 
-def learned(spark: SparkSession, sf: str) -> tuple[ranking.RankingInput, DataFrame]:
-    """(ranking input, learned ranking)."""
-    base = ranking_data(spark, sf)
-    panel = features.training_panel(base, STUDY.min_history_days)
-    scores = models.learned_scores(
-        panel, features.frozen_features(base), STUDY.folds, STUDY.ranker_iterations
-    )
-    return base, materialize(models.learned_ranking(scores), "learned-ranking")
+
+def learned(spark: SparkSession, sf: str) -> tuple[ranking.RankingInput, DataFrame, DataFrame]:
+    """(ranking input, learned ranking, its metrics)."""
+
+    def build():
+        base = ranking_data(spark, sf)
+        panel = features.training_panel(base, STUDY.min_history_days)
+        scores = models.learned_scores(
+            panel, features.frozen_features(base), STUDY.folds, STUDY.ranker_iterations
+        )
+        ranked = materialize(models.learned_ranking(scores), "learned-ranking")
+        return base, ranked, materialize(learned_table(base, ranked), "learned-metrics")
+
+    return fitted("ranker", spark, sf, build)
+
+
+def final_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    def build():
+        ready = materialize(lagged(spark, sf), "lag-features")
+        frames = []
+        for name, model in models.final_models(ready, STUDY.forecast_iterations).items():
+            rows = timeseries.complete_rows(ready, models.FORECAST_MODELS[name]).withColumn("fold", F.lit(0))
+            frames.append(timeseries.as_predictions(model.transform(rows), F.lit(name), F.col("predicted")))
+        return (materialize(frames[0].unionByName(frames[1]), "final-predictions"),)
+
+    return fitted("final", spark, sf, build)[0]
+
+
+def is_finite(column: str):
+    value = F.col(column)
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
 def learned_table(base: ranking.RankingInput, ranked: DataFrame) -> DataFrame:
@@ -627,48 +664,103 @@ def model_forecast_predictions(spark, sf):
 @query
 def model_forecast_metrics(spark, sf):
     """All five forecasts on the hours every one of them has scored."""
-    scored = scoring.matched_predictions(materialize(all_predictions(spark, sf), "predictions"))
+    scored = scoring.matched_predictions(all_predictions(spark, sf))
     return scoring.mae_against(scoring.score_by(scored, ["model"]))
 
 
 @query
 def final_model_fit(spark, sf):
     """Both forecast models fitted on every complete row, with their errors on those rows."""
-    ready = materialize(lagged(spark, sf), "lag-features")
-    frames = []
-    for name, model in models.final_models(ready, STUDY.forecast_iterations).items():
-        rows = timeseries.complete_rows(ready, models.FORECAST_MODELS[name]).withColumn("fold", F.lit(0))
-        frames.append(timeseries.as_predictions(model.transform(rows), F.lit(name), F.col("predicted")))
-    return scoring.score_by(frames[0].unionByName(frames[1]), ["model"])
+    return scoring.score_by(final_predictions(spark, sf), ["model"])
+
+
+@query
+def model_forecast_rows(spark, sf):
+    """Which hours each fitted model forecasts, with their actual trips and whether the forecast is a number."""
+    own = all_predictions(spark, sf).filter(F.col("model").isin(list(models.FORECAST_MODELS)))
+    return own.select("fold", "model", "timestamp", "actual_trips", is_finite("predicted_trips").alias("finite"))
+
+
+@query
+def final_model_rows(spark, sf):
+    """Which hours the final fits cover."""
+    own = final_predictions(spark, sf)
+    return own.select("model", "timestamp", "actual_trips", is_finite("predicted_trips").alias("finite"))
 
 
 @query
 def learned_ranker_predictions(spark, sf):
-    base, ranked = learned(spark, sf)
+    base, ranked, _ = learned(spark, sf)
     return ranking_metrics.named_predictions(ranked, base)
 
 
 @query
 def learned_ranker_metrics(spark, sf):
-    return learned_table(*learned(spark, sf))
+    return learned(spark, sf)[2]
+
+
+@query
+def learned_ranking_hours(spark, sf):
+    """Shape of the learned ranking of every test hour: its ranks, distinct zones, and zones that are candidates."""
+    base, ranked, _ = learned(spark, sf)
+    known = base.zones.select("fold", "PULocationID", F.lit(True).alias("known"))
+    return ranked.join(known, ["fold", "PULocationID"], "left").groupBy(*ranking.HOUR_KEY).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct("PULocationID").alias("n_zones"),
+        F.countDistinct("rank").alias("n_ranks"),
+        F.max("rank").cast("bigint").alias("last_rank"),
+        F.count("known").alias("n_candidates"),
+        F.bool_and(is_finite("predicted_gross_passenger_spend")).alias("finite"),
+    )
+
+
+@query
+def learned_metric_hours(spark, sf):
+    """Test hours the learned ranker is scored on, and whether every score lies between 0 and 1."""
+    within = F.lit(True)
+    for name in METRICS:
+        within &= F.col(name).between(0.0, 1.0 + 1e-9)
+    return learned(spark, sf)[2].select(
+        *ranking.HOUR_KEY, "day_of_week", "time_block", "day_type", within.alias("within")
+    )
+
+
+def gains(spark: SparkSession, sf: str) -> DataFrame:
+    base, _, own = learned(spark, sf)
+    return ranking_metrics.learned_gain(own, ranking_metrics.baseline_table(scope_metrics(base)))
 
 
 @query
 def learned_ranker_gain(spark, sf):
-    base, ranked = learned(spark, sf)
-    return ranking_metrics.learned_gain(
-        learned_table(base, ranked), ranking_metrics.baseline_table(scope_metrics(base))
+    return gains(spark, sf)
+
+
+@query
+def learned_gain_folds(spark, sf):
+    """The baseline that the learned ranker is compared with at every grain, and whether the gain is the difference."""
+    difference = F.col("ndcg_at_10") - F.col("best_baseline_score")
+    return gains(spark, sf).select(
+        "fold", "best_baseline", "best_baseline_score", (F.abs(F.col("gain") - difference) < 3e-6).alias("consistent")
     )
 
 
+def validation(spark: SparkSession, sf: str) -> list[DataFrame]:
+    base, ranked, own = learned(spark, sf)
+    baselines = ranking_metrics.baseline_table(scope_metrics(base))
+    predictions = ranking_metrics.named_predictions(ranked, base)
+    return study.ranking_checks(base, own, predictions, baselines, STUDY)
+
+
 @query
 def ranking_validation(spark, sf):
     """Every check of the learned ranker, with the overall verdict."""
-    base, ranked = learned(spark, sf)
-    own = materialize(learned_table(base, ranked), "learned-metrics")
-    baselines = ranking_metrics.baseline_table(scope_metrics(base))
-    predictions = ranking_metrics.named_predictions(ranked, base)
-    return checks.verdict(study.ranking_checks(base, own, predictions, baselines, STUDY))
+    return checks.verdict(validation(spark, sf))
+
+
+@query
+def ranking_validation_rows(spark, sf):
+    """The checks of the learned ranker whose result does not depend on the fitted values."""
+    return checks.verdict(validation(spark, sf)[:-1])
 
 
 # ---------------------------------------------------------------- files

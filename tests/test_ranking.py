@@ -194,8 +194,8 @@ def test_checks_hold(case):
 
 def test_checks_fail_when_they_should(spark, case):
     data = case[1]
-    late = features.training_panel(data, 14, with_history_date=True).withColumn(
-        "last_history_date", F.col("pickup_date")
+    late = features.training_panel(data, 14, with_history_date=True).withColumns(
+        {name: F.col("pickup_date") for name in features.HISTORY_DATES}
     )
     rows = spark.createDataFrame([(float("nan"),), (1.0,)], "predicted_gross_passenger_spend double")
     found = checks.verdict(
@@ -211,7 +211,7 @@ def test_checks_fail_when_they_should(spark, case):
     outcome = {r["check"]: r["passed"] for r in found}
     assert outcome.pop("train before test, fold 1") and outcome.pop("train before test, fold 2")
     assert not any(outcome.values())  # fold 3 has no test rows
-    assert found[-1]["detail"] == "6"
+    assert found[-1]["detail"] == "9"
 
 
 def test_learned_gain(spark):
