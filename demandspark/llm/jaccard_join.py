@@ -14,9 +14,10 @@ whose bound reaches the threshold are compared by an exact intersection of their
 3. *Stars.* Each member of a tile is compared with the least member. The links found join most members.
 4. *Open tiles.* Tiles whose other members are still in different components are compared pair by pair by bit counts, in
    blocks of bounded size. Components that may link by these form clusters, and within a cluster the pairs that may link
-   are compared exactly, again in blocks. Pairs within a component are skipped, because they cannot change it.
-
-Links that lie within a component already found are not all listed: groups are whole, and the listed links span them.
+   are compared exactly, again in blocks. Pairs within a component are skipped here, because they cannot change it.
+5. *All links.* Every link lies within a component. Once the components are whole, all pairs of different sets of a
+   component are compared exactly, in blocks: products of incidence matrices over the shingles that the sets share. They
+   give each document's number of links, or the links themselves.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ BAND_RATIO = 1.35
 TILE_MEMBERS = 1024
 BLOCK_MEMBERS = 512
 BLOCK_ARRAY_BYTES = 8 << 20
+# Shingles of a slice of an incidence matrix.
+SLICE_SHINGLES = 4096
 # A set of n shingles is mapped to the next power of two of 2n bits.
 BITS_PER_SHINGLE = 2
 
@@ -309,6 +312,59 @@ def _block_links(percent: int):
     return links
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at the places ``left`` with those at ``right``."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # a shingle of one set alone is in no intersection of two
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(left), len(right)), dtype=np.int64)
+    columns = int(shared.sum())
+    for at in range(0, columns, SLICE_SHINGLES):
+        own = slice(*np.searchsorted(column, [at, at + SLICE_SHINGLES]))
+        flags = np.zeros((len(sets), min(SLICE_SHINGLES, columns - at)), dtype=np.float32)
+        flags[row[own], column[own] - at] = 1
+        total += (flags[left] @ flags[right].T).astype(np.int64)
+    return total
+
+
+def _all_links(group: pd.DataFrame, percent: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The members of a pair of blocks, each once, and the places of both sides of all their links."""
+    group = group.drop_duplicates("doc_id", ignore_index=True)
+    block, size = group["block"].to_numpy(), group["n"].to_numpy()
+    left, right = (np.flatnonzero(block == group[side].iloc[0]) for side in ("i", "j"))
+    common = _common([np.frombuffer(h, U64) for h in group["hashes"]], left, right)
+    linked = 100 * common >= percent * (size[left][:, None] + size[right] - common)
+    if group["i"].iloc[0] == group["j"].iloc[0]:
+        linked = np.triu(linked, 1)
+    x, y = np.nonzero(linked)
+    return group, left[x], right[y]
+
+
+def _listed_links(percent: int):
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        group, a, b = _all_links(group, percent)
+        ids = group["doc_id"].to_numpy()
+        return pd.DataFrame({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b])}, dtype="int64")
+
+    return links
+
+
+def _counted_links(percent: int):
+    def counts(group: pd.DataFrame) -> pd.DataFrame:
+        """For each set, the documents that the sets of this pair of blocks link it with."""
+        group, a, b = _all_links(group, percent)
+        copies = group["copies"].to_numpy()
+        found = np.zeros(len(group), dtype=np.int64)
+        np.add.at(found, a, copies[b])
+        np.add.at(found, b, copies[a])
+        return pd.DataFrame({"set_id": group["doc_id"], "linked": found})
+
+    return counts
+
+
 def _in_blocks(members: DataFrame, key: str, blocks: Column) -> DataFrame:
     """Rows of each group of ``key`` dealt into blocks, once for each pair of blocks (i, j) that they take part in."""
     counted = members.groupBy(key).agg(F.greatest(blocks, F.lit(1)).cast("long").alias("blocks"))
@@ -317,6 +373,10 @@ def _in_blocks(members: DataFrame, key: str, blocks: Column) -> DataFrame:
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
+def _cluster_blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.col("n") * 8) / BLOCK_ARRAY_BYTES))
+
+
 def _open_links(tiles: DataFrame, star: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components within the tiles that still hold several beside the member compared first."""
     labelled = tiles.join(star, "signature").filter("doc_id <> least").select("signature", "doc_id")
@@ -336,20 +396,12 @@ def _open_links(tiles: DataFrame, star: DataFrame, joined: DataFrame, sets: Data
     cluster = components(near).withColumnRenamed("id", "component").withColumnRenamed("component_id", "cluster")
     members = opened.select("doc_id", "component").distinct().join(cluster, "component")
     members = materialize(members.join(sets.select("doc_id", "n", "hashes"), "doc_id"), "open-members")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.col("n") * 8) / BLOCK_ARRAY_BYTES))
-    dealt = _in_blocks(members, "cluster", blocks)
+    dealt = _in_blocks(members, "cluster", _cluster_blocks())
     return dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 
-def jaccard_groups(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, set_id.
-
-    Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` %.
-    ``component_id`` is the least doc_id reachable by links, ``set_id`` the least doc_id with the very same set.
-    ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. A null text, or one without words, has an empty
-    set and links with nothing. Repeated rows of one doc_id count once. A row without doc_id gets the group of documents
-    with its very set, if any, and joins no other. An empty table gives an empty result.
-    """
+def _join(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set of each document (doc_id, n_shingles, set_id), the components of linked sets (id, component_id), sorted arrays."""
     described = materialize(_describe(documents, words, percent), "described")
     sets = described.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("set_id"))
     of_set = materialize(
@@ -375,7 +427,57 @@ def jaccard_groups(documents: DataFrame, words: int = 5, percent: int = 80) -> D
     links = materialize(_filter_pairs(_both_sides(pairs, arrays, "hashes"), "hashes", percent), "links")
     joined = components(links)
     more = materialize(_open_links(tiles, star, joined, arrays, percent), "links")
-    joined = components(links.unionByName(more)).withColumnRenamed("id", "set_id")
-    return of_set.join(joined, "set_id", "left").select(
+    return of_set, components(links.unionByName(more)), arrays
+
+
+def _groups(of_set: DataFrame, joined: DataFrame) -> DataFrame:
+    return of_set.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "set_id").alias("component_id"), "set_id"
     )
+
+
+def _component_blocks(joined: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The sets of each component in pairs of blocks."""
+    members = joined.select(F.col("id").alias("doc_id"), "component_id").join(arrays.select("doc_id", "n", "hashes"), "doc_id")
+    return _in_blocks(members, "component_id", _cluster_blocks())
+
+
+def jaccard_groups(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, set_id.
+
+    Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` %.
+    ``component_id`` is the least doc_id reachable by links, ``set_id`` the least doc_id with the very same set.
+    ``documents`` needs ``doc_id`` and ``text``; other columns are ignored. A null text, or one without words, has an empty
+    set and links with nothing. Repeated rows of one doc_id count once. A row without doc_id gets the group of documents
+    with its very set, if any, and joins no other. An empty table gives an empty result.
+    """
+    of_set, joined, _ = _join(documents, words, percent)
+    return _groups(of_set, joined)
+
+
+def jaccard_counts(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of :func:`jaccard_groups` with n_links: with how many other documents the document links.
+
+    Documents with the very same set link with each other. A row without doc_id links with the documents that have its
+    set and those that link with it; where no document with an id has its set, ``n_links`` is null.
+    """
+    of_set, joined, arrays = _join(documents, words, percent)
+    full = of_set.filter("n_shingles > 0 and doc_id is not null")
+    copies = materialize(full.groupBy("set_id").agg(F.count("*").alias("copies")), "copies")
+    blocks = _component_blocks(joined, arrays).join(copies.withColumnRenamed("set_id", "doc_id"), "doc_id")
+    counted = blocks.groupBy("component_id", "i", "j").applyInPandas(_counted_links(percent), "set_id long, linked long")
+    linked = counted.groupBy("set_id").agg(F.sum("linked").alias("linked"))
+    others = F.col("copies") - F.col("doc_id").isNotNull().cast("long") + F.coalesce("linked", F.lit(0))
+    n_links = F.when(F.col("n_shingles") == 0, F.lit(0)).otherwise(others).cast("long").alias("n_links")
+    rows = _groups(of_set, joined).join(copies.join(linked, "set_id", "left"), "set_id", "left")
+    return rows.select("doc_id", "n_shingles", "component_id", "set_id", n_links)
+
+
+def jaccard_links(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """All links between different sets: one row (u, v) per pair of linked set_ids, u < v.
+
+    Two documents link if they have one set_id or if their set_ids are listed. A large component of close texts has as
+    many rows as it has pairs.
+    """
+    _, joined, arrays = _join(documents, words, percent)
+    return _component_blocks(joined, arrays).groupBy("component_id", "i", "j").applyInPandas(_listed_links(percent), "u long, v long")

@@ -32,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard_join.jaccard_counts(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,31 @@ def test_components_match_all_pairs(docs, words, percent, seed, monkeypatch):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(shingles(t, words)) for i, t in enumerate(texts)}
 
 
+def test_every_link_is_counted_and_listed(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "TILE_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "SLICE_SHINGLES", 16)
+    base = " ".join(f"t{i}" for i in range(60))
+    close = [base + f" end{i}" for i in range(3)]  # three different texts that all link with each other
+    texts = corpus(3) + [*close, close[0]]
+    frame = docs(*texts)
+    frame = frame.unionByName(frame.filter(f"doc_id = {len(texts) - 2}"))  # a repeated row counts once
+    sets = {i: shingles(t, 4) for i, t in enumerate(texts)}
+
+    def linked(a, b):
+        common = len(sets[a] & sets[b])
+        return a != b and common > 0 and 100 * common >= 85 * len(sets[a] | sets[b])
+
+    want = {a: sum(linked(a, b) for b in sets) for a in sets}
+    rows = jaccard_join.jaccard_counts(frame, 4, 85).collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == want and len(rows) == len(texts)
+    assert [want[len(texts) - k] for k in (1, 2, 3, 4)] == [3, 3, 3, 3]
+    least = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
+    pairs = {(a, b) for a in set(least.values()) for b in set(least.values()) if a < b and linked(a, b)}
+    found = [tuple(r) for r in jaccard_join.jaccard_links(frame, 4, 85).collect()]
+    assert sorted(found) == sorted(pairs)
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     for percent in (80, 85):
