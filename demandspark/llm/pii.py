@@ -30,13 +30,13 @@ MAY = {
     "card": "[0-9](?:[ -]?[0-9]){11}",
     "phone": "\\+[0-9][ ().0-9-]+[0-9]",
 }
-# Generators of further candidates: pattern, and a cheap test of the text.
+# Generators of further candidates: pattern, and a cheap test of the text that every match of the pattern passes.
 GENERATORS = {
     "number": (r"(?<![0-9])\(?[0-9][0-9() .-]{5,}[0-9]", "[0-9][0-9() .-]{5,}[0-9]"),
-    "secret": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20}"),
+    "secret": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", "[A-Za-z0-9+/_=-]{20}"),
     "address": (
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{1,63}){1,8}",
-        "\\(at\\)|\\[at\\]|\\bat [A-Za-z0-9-]+ dot ",
+        r"(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]|\bdot\b|\.)",
     ),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
 }
@@ -131,6 +131,9 @@ def _features(generator: int, text: Column, span: Column) -> dict[str, Column]:
         "date_shape": flag(value.rlike("^[0-9]{4}[-.][0-9]{1,2}[-.][0-9]{1,2}$|^[0-9]{1,2}[-.][0-9]{1,2}[-.][0-9]{4}$")),
         "digit_share": F.length(digits) / size,
         "assigned": flag(before.rlike("[=:]\\s*[\"']?$")),
+        "sentence": flag(value.rlike("\\. ")),
+        "bracketed": flag(value.rlike("[(\\[](at|dot)[)\\]]")),
+        "domain": flag(value.rlike("(?:\\.|dot[)\\]]?) ?(?:com|net|org|edu|gov|info|biz|io|[a-z]{2})$")),
         "joined": flag(before.rlike("[a-z0-9@/._-]$") | after.rlike("[A-Za-z0-9@/_]")),
         **{f"near_{name}": flag(before.rlike(words)) for name, words in CONTEXT.items()},
     }
@@ -189,6 +192,13 @@ def labelled_texts(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (0, f"concat({word(1)}, {word(2)}, {word(3)}, {word(4)}, {word(5)}, {word(6)}, {num(1, 7)})", ["", "the "]),
         (0, f"concat_ws('-', {word(1)}, {word(2)}, {word(3)}, {word(4)}, {word(5)}, {num(4, 6)})", ["", "http://", "see /"]),
         (0, f"concat({word(4)}, ' at ', {word(6)}, ' dot ', {word(7)}, '. ')", ["", "we met "]),
+        (1, f"concat({word(4)}, '.', {word(5)}, ' at ', {word(6)}, '.', element_at(array('com', 'org', 'net', 'de'), cast(pmod(xxhash64(id, 8), 4) + 1 as int)))", ["", "mail ", "contact "]),
+        (1, f"concat({word(4)}, ' at ', {word(6)}, element_at(array(' [dot] ', ' (dot) '), cast(pmod(xxhash64(id, 8), 2) + 1 as int)), 'com')", ["", "reach "]),
+        (1, f"translate(substr(base64(encode(sha1({hex_}), 'utf-8')), 1, 32), '0123456789', 'qRsTuVwXyZ')", ['token = "', "secret: "]),
+        (0, f"concat({word(4)}, ' at ', {word(6)}, '. ', initcap({word(7)}))", ["", "we were "]),
+        (0, f"concat({word(4)}, ' at ', {word(6)}, '.', initcap({word(7)}))", ["", "we were "]),
+        (0, f"concat_ws(element_at(array('-', '/', '_'), cast(pmod(xxhash64(id, 8), 3) + 1 as int)), {word(1)}, {word(2)}, {word(3)}, {word(4)}, {word(5)}, {word(6)})", ["", "see /"]),
+        (0, f"repeat(element_at(array('-', '=', '_'), cast(pmod(xxhash64(id, 8), 3) + 1 as int)), cast(20 + pmod(xxhash64(id, 9), 40) as int))", [""]),
         (0, f"concat('AB', {num(2, 1)}, ' ', upper({word(2)}), ' ', {num(4, 3)})", ["part no. ", "model "]),
     ]
     arms = []

@@ -145,6 +145,27 @@ def test_added_spans_and_redaction(docs, pii_model):
     assert pii.find(docs("a").limit(0), pii_model).count() == 0
 
 
+def test_a_match_of_a_generator_passes_its_test(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["jane.doe at example.com", "jane at example [dot] com", "jane at example (dot) com", "joe(at)x.de", "joe [at] x dot de", "q" * 20,
+             "AbCdEfGhIjKlMnOpQrStUvWx", "415-555-0132 415-555-0199", "(415) 555-0132", "1234567", "DE12 3456 7890 1234"]
+    rng = random.Random(8)
+    parts = ["a", "jane", " ", " at ", "(at)", "[at]", ".", " dot ", "[dot]", "com", "-", "(", ")", "1", "234", "5678", "AB12", "_", "xY" * 9, "=", "/"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(3, 25))) for _ in range(3000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for name, (pattern, may) in pii.GENERATORS.items():
+        hit, passed = F.col("text").rlike(pattern), F.col("text").rlike(may)
+        row = frame.agg(F.count_if(hit).alias("hits"), F.count_if(hit & ~passed).alias("missed")).first()
+        assert row["hits"] > 0 and row["missed"] == 0, name
+
+
+def test_spelled_addresses_are_found_wherever_they_stand(docs, pii_model):
+    texts = ["mail jane.doe at example.com today", "mail jane at example [dot] com today", "we looked at this. Then we left"]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["spans"]] for r in pii.find(docs(*texts), pii_model).collect()}
+    assert found == {0: [("address", 5, 28)], 1: [("address", 5, 30)], 2: []}
+
+
 def test_model_on_unseen_labelled_candidates(spark, pii_model):
     from pyspark.sql import functions as F
 
