@@ -33,6 +33,10 @@ MAY = {
 # Generators of further candidates: pattern, and a cheap test of the text that every match of the pattern passes.
 GENERATORS = {
     "number": (r"(?<![0-9])\(?[0-9][0-9() .-]{5,}[0-9]", "[0-9][0-9() .-]{5,}[0-9]"),
+    # Formats inside such a run: numbers next to each other keep their own spans.
+    "inner_phone": (r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])", "[0-9][0-9() .-]{5,}[0-9]"),
+    "inner_id": (r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", "[0-9][0-9() .-]{5,}[0-9]"),
+    "inner_tight": (r"(?<![0-9])(?<![0-9][-.])(?=[0-9](?:[-.]?[0-9]){6})[0-9]++(?:[-.][0-9]++)*+", "[0-9][0-9() .-]{5,}[0-9]"),
     "secret": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", "[A-Za-z0-9+/_=-]{20}"),
     "address": (
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{1,63}){1,8}",
@@ -40,7 +44,10 @@ GENERATORS = {
     ),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
 }
-KINDS = [*BASE, *GENERATORS]
+# The kind that a generator's spans are shown as, where it isn't its name.
+SHOWN = {name: "number" for name in GENERATORS if name.startswith("inner_")}
+NUMBERS = ["number", *SHOWN]
+KINDS = [*BASE, *(name for name in GENERATORS if name not in SHOWN)]
 AROUND = 24
 # Words near a span that speak for or against personal data, by class.
 CONTEXT = {
@@ -114,6 +121,7 @@ def _features(generator: int, text: Column, span: Column) -> dict[str, Column]:
     low = F.greatest(start - AROUND, F.lit(0))
     before = F.lower(F.substring(text, low + 1, start - low))
     after = F.substring(text, stop + 1, F.lit(1))
+    beyond = F.substring(text, stop + 1, F.lit(2))
     digits = _digits(value)
     shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -135,6 +143,7 @@ def _features(generator: int, text: Column, span: Column) -> dict[str, Column]:
         "bracketed": flag(value.rlike("[(\\[](at|dot)[)\\]]")),
         "domain": flag(value.rlike("(?:\\.|dot[)\\]]?) ?(?:com|net|org|edu|gov|info|biz|io|[a-z]{2})$")),
         "joined": flag(before.rlike("[a-z0-9@/._-]$") | after.rlike("[A-Za-z0-9@/_]")),
+        "in_run": flag(before.rlike("[0-9][-.]$") | beyond.rlike("^[-.][0-9]")),
         **{f"near_{name}": flag(before.rlike(words)) for name, words in CONTEXT.items()},
     }
 
@@ -168,7 +177,10 @@ def _candidate_type() -> str:
 
 
 def labelled_texts(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """Short texts with one value each and whether it is personal (text, low, high, personal), made by rule."""
+    """Short texts with one value each and whether it is personal (text, low, high, personal), made by rule.
+
+    In some texts another number stands right before or after the value; low and high are the value's own.
+    """
     hex_ = "md5(concat(id, 'a'))"
     num = lambda n, salt: f"lpad(cast(pmod(xxhash64(id, {salt}), {10**n}) as string), {n}, '0')"
     word = lambda salt: f"element_at(array('ten','sor','mila','ver','des','oner','plan','gris'), cast(pmod(xxhash64(id, {salt}), 8) + 1 as int))"
@@ -204,7 +216,16 @@ def labelled_texts(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     arms = []
     for personal, value, befores in values:
         before = f"element_at(array({', '.join(repr(b) for b in befores)}), cast(pmod(xxhash64(id, 99), {len(befores)}) + 1 as int))"
-        arms.append(f"struct({personal} as personal, {before} as b, {value} as v)")
+        arms.append(f"struct({personal} as personal, {before} as b, {value} as v, '' as a)")
+    beside = f"concat_ws('-', {num(3, 21)}, {num(3, 22)}, {num(4, 23)})"
+    phone, tax = f"concat_ws('-', {num(3, 1)}, {num(3, 2)}, {num(4, 3)})", f"concat_ws('-', {num(3, 1)}, {num(2, 2)}, {num(4, 3)})"
+    round_ = f"concat('(', {num(3, 1)}, ') ', {num(3, 2)}, '-', {num(4, 3)})"
+    year = "cast(1950 + pmod(xxhash64(id, 24), 80) as string)"
+    for value in (phone, tax, round_):
+        for before, after in (("''", f"concat(' ', {beside})"), (f"concat({beside}, ' ')", "''"), (f"concat('since ', {year}, '. ')", "''"), (f"concat({year}, ' ')", f"concat(' ', {num(2, 25)})")):
+            arms.append(f"struct(1 as personal, {before} as b, {value} as v, {after} as a)")
+    for value in (f"concat_ws('-', {year}, {num(2, 2)}, {num(2, 3)})", f"concat_ws('-', {num(3, 1)}, {num(3, 2)}, {num(4, 3)}, {num(4, 4)})", f"concat({num(4, 1)}, {num(4, 2)})"):
+        arms.append(f"struct(0 as personal, concat({year}, ' ') as b, {value} as v, concat(' ', {num(2, 25)}) as a)")
     made = spark.range(rows).withColumn("id", F.col("id").cast("string"))
     made = made.withColumn("x", F.element_at(F.array(*map(F.expr, arms)), (F.pmod(F.xxhash64("id", F.lit(77)), F.lit(len(arms))) + 1).cast("int")))
     lead = F.concat(F.expr(word(11)), F.lit(" "), F.expr(word(12)), F.lit(" "), F.col("x.b"))
@@ -212,7 +233,7 @@ def labelled_texts(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     end = F.element_at(F.array(*map(F.lit, ends)), (F.pmod(F.xxhash64("id", F.lit(55)), F.lit(len(ends))) + 1).cast("int"))
     tail = F.concat(F.expr("if(x.b like '%\"', '\"', '')"), end, F.lit(" "), F.expr(word(13)))
     return made.select(
-        "id", F.concat(lead, F.col("x.v"), tail).alias("text"), F.length(lead).alias("low"),
+        "id", F.concat(lead, F.col("x.v"), F.col("x.a"), tail).alias("text"), F.length(lead).alias("low"),
         (F.length(lead) + F.length("x.v")).alias("high"), F.col("x.personal").cast("double").alias("label"),
     )
 
@@ -259,7 +280,10 @@ def fit(spark: SparkSession, rows: int = LABELLED) -> PiiModel:
     features = _feature_names()
     texts = labelled_texts(spark, rows)
     found = texts.select("id", "low", "high", "label", F.explode(_candidates(F.col("text"))).alias("c"))
-    found = found.filter("c.start < high and c.stop > low").select("id", "label", "c.*").repartition(4, "id")
+    found = found.filter("c.start < high and c.stop > low")
+    # A number that runs beyond the value is not the value's span.
+    exact = ~F.col("c.kind").isin(NUMBERS) | F.expr("c.start >= low and c.stop <= high")
+    found = found.withColumn("label", F.when(exact, F.col("label")).otherwise(0.0)).select("id", "label", "c.*").repartition(4, "id")
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0
     ready = VectorAssembler(inputCols=features, outputCol="x").transform(found).cache()
     booster = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1)
@@ -304,8 +328,9 @@ def find(documents: DataFrame, model: PiiModel) -> DataFrame:
     rows = rows.withColumn("base", F.array_sort(F.concat(*base))).withColumn("candidates", _candidates(text))
     overlap = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
     free = F.filter("candidates", lambda c: model.accepts(c) & ~F.exists("base", lambda b: overlap(b, c)))
+    shown = lambda kind: F.when(kind.isin(NUMBERS), F.lit("number")).otherwise(kind)
     rank_of = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1
-    free = F.when(F.size("candidates") > 0, F.transform(free, lambda c: span(c, rank_of(c["kind"]), c["kind"]))).otherwise(F.array().cast(kind_type))
+    free = F.when(F.size("candidates") > 0, F.array_distinct(F.transform(free, lambda c: span(c, rank_of(shown(c["kind"])), shown(c["kind"]))))).otherwise(F.array().cast(kind_type))
     rows = rows.withColumn("free", free)
     order = lambda c: F.struct((c["start"] - c["stop"]).alias("a"), c["start"].alias("b"), c["rank"].alias("c"))
     best = F.filter("free", lambda c: ~F.exists("free", lambda o: overlap(o, c) & (order(o) < order(c))))

@@ -149,7 +149,7 @@ def test_a_match_of_a_generator_passes_its_test(spark):
     from pyspark.sql import functions as F
 
     texts = ["jane.doe at example.com", "jane at example [dot] com", "jane at example (dot) com", "joe(at)x.de", "joe [at] x dot de", "q" * 20,
-             "AbCdEfGhIjKlMnOpQrStUvWx", "415-555-0132 415-555-0199", "(415) 555-0132", "1234567", "DE12 3456 7890 1234"]
+             "AbCdEfGhIjKlMnOpQrStUvWx", "415-555-0132 415-555-0199", "(415) 555-0132", "123-45-6789", "1234567", "DE12 3456 7890 1234"]
     rng = random.Random(8)
     parts = ["a", "jane", " ", " at ", "(at)", "[at]", ".", " dot ", "[dot]", "com", "-", "(", ")", "1", "234", "5678", "AB12", "_", "xY" * 9, "=", "/"]
     texts += ["".join(rng.choice(parts) for _ in range(rng.randint(3, 25))) for _ in range(3000)]
@@ -166,6 +166,12 @@ def test_spelled_addresses_are_found_wherever_they_stand(docs, pii_model):
     assert found == {0: [("address", 5, 28)], 1: [("address", 5, 30)], 2: []}
 
 
+def test_numbers_next_to_each_other_keep_their_spans(docs, pii_model):
+    texts = ["call 415-555-0132 415-555-0199 now", "since 2024. 415-555-0132 now", "ssn 123-45-6789 (415) 555-0132 now"]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["spans"]] for r in pii.find(docs(*texts), pii_model).collect()}
+    assert found == {0: [("number", 5, 17), ("number", 18, 30)], 1: [("number", 12, 24)], 2: [("number", 4, 15), ("number", 16, 30)]}
+
+
 def test_model_on_unseen_labelled_candidates(spark, pii_model):
     from pyspark.sql import functions as F
 
