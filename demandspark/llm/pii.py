@@ -306,9 +306,9 @@ def fit(spark: SparkSession, rows: int = LABELLED) -> PiiModel:
 def find(documents: DataFrame, model: PiiModel) -> DataFrame:
     """``documents`` (doc_id, text) as doc_id, text, base and spans: arrays of (start, rank, kind, stop), in order.
 
-    Starts and stops count code points, stops are exclusive. A candidate is added if the trees accept it and it overlaps
-    no base span; of accepted candidates that overlap, the longest stays, then the first, then the one whose generator is
-    listed first. A null text has no spans; repeated rows are searched each; other columns are ignored; an empty
+    Starts and stops count code points, stops are exclusive. A candidate is added if the trees accept it and no
+    base span holds all of it; of accepted candidates one of which holds the other, the longer stays, then the one whose
+    kind is listed first. Spans may overlap in part, so that nothing accepted is left uncovered. A null text has no spans; repeated rows are searched each; other columns are ignored; an empty
     table gives an empty result.
     """
     text = F.col("text")
@@ -326,21 +326,21 @@ def find(documents: DataFrame, model: PiiModel) -> DataFrame:
 
     base = [base_spans(rank, kind) for rank, kind in enumerate(BASE)]
     rows = rows.withColumn("base", F.array_sort(F.concat(*base))).withColumn("candidates", _candidates(text))
-    overlap = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    free = F.filter("candidates", lambda c: model.accepts(c) & ~F.exists("base", lambda b: overlap(b, c)))
+    holds = lambda a, b: (a["start"] <= b["start"]) & (b["stop"] <= a["stop"])
+    free = F.filter("candidates", lambda c: model.accepts(c) & ~F.exists("base", lambda b: holds(b, c)))
     shown = lambda kind: F.when(kind.isin(NUMBERS), F.lit("number")).otherwise(kind)
     rank_of = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1
     free = F.when(F.size("candidates") > 0, F.array_distinct(F.transform(free, lambda c: span(c, rank_of(shown(c["kind"])), shown(c["kind"]))))).otherwise(F.array().cast(kind_type))
     rows = rows.withColumn("free", free)
     order = lambda c: F.struct((c["start"] - c["stop"]).alias("a"), c["start"].alias("b"), c["rank"].alias("c"))
-    best = F.filter("free", lambda c: ~F.exists("free", lambda o: overlap(o, c) & (order(o) < order(c))))
+    best = F.filter("free", lambda c: ~F.exists("free", lambda o: holds(o, c) & (order(o) < order(c))))
     return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", best)).alias("spans"))
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """The text of each row of :func:`find` with every span replaced by its kind in brackets."""
+    """The text of each row of :func:`find` with every span replaced by its kind in brackets; spans that overlap are one, of the first's kind."""
     step = lambda state, s: F.when(
-        s["start"] < state["at"], state
+        s["start"] < state["at"], F.struct(F.greatest(state["at"], s["stop"]).alias("at"), state["text"].alias("text"))
     ).otherwise(
         F.struct(
             s["stop"].alias("at"),

@@ -172,6 +172,23 @@ def test_numbers_next_to_each_other_keep_their_spans(docs, pii_model):
     assert found == {0: [("number", 5, 17), ("number", 18, 30)], 1: [("number", 12, 24)], 2: [("number", 4, 15), ("number", 16, 30)]}
 
 
+def test_no_accepted_span_is_left_uncovered(spark, docs, monkeypatch):
+    monkeypatch.setattr(pii, "_candidates", lambda text: spark_array([(0, 8), (6, 13), (11, 16), (20, 32), (2, 5)]))
+
+    def spark_array(spans):
+        from pyspark.sql import functions as F
+
+        return F.array(*(F.struct(F.lit("secret").alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in spans))
+
+    class Every:
+        def accepts(self, c):
+            return c["stop"] > 0
+
+    found = pii.find(docs("aaaaaabbbbbcccccdd, x@y.zz and more"), Every())
+    assert [tuple(s)[::3] for s in found.first()["spans"]] == [(0, 8), (6, 13), (11, 16), (20, 26), (20, 32)]
+    assert pii.redact(found).first()["text"] == "[secret]dd, [email]ore"
+
+
 def test_model_on_unseen_labelled_candidates(spark, pii_model):
     from pyspark.sql import functions as F
 
