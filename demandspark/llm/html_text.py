@@ -28,11 +28,15 @@ _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|
 _LABEL = re.compile(r'\bdata-main="([01])"')
 
 # Their text is never part of a page's text.
-DROPPED = frozenset("head script style noscript template svg iframe textarea select button object canvas math audio video".split())
+DROPPED = frozenset("head script style noscript template svg iframe textarea select button object canvas audio video".split())
+# What may stand in a head; any other start tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())  # no tags inside until their end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mtable mtr mtd mstyle mspace mpadded mphantom "
+    "menclose merror semantics annotation annotation-xml".split()
 )
 # An element that ends when one of these starts inside it.
 CLOSES = {
@@ -74,17 +78,19 @@ def parse(source: str) -> Page:
     """The tree of a page; unclosed, crossed and stray tags are taken as browsers take them, nearly."""
     page = Page()
     root = page.add(-1, "html", "")
-    stack = [root]
-    dropped = 0  # depth of open elements whose text is dropped, counted on their names
+    # Open elements: name, node, and whether text in it is dropped. A dropped element has the node of the one around it.
+    stack = [("html", root, False)]
     link = False
     open_block = False
     at, end = 0, len(source)
 
     def text(piece: str) -> None:
         nonlocal open_block
-        if dropped or not piece:
+        if stack[-1][0] == "head" and piece.strip():
+            stack.pop()
+        if stack[-1][2] or not piece:
             return
-        node = stack[-1]
+        node = stack[-1][1]
         if not open_block:
             page.blocks.append((node, []))
             open_block = True
@@ -94,6 +100,12 @@ def parse(source: str) -> Page:
         if link:
             page.link_chars[node] += size
 
+    def close(name: str) -> None:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == name:
+                del stack[k:]
+                break
+
     while at < end:
         start = source.find("<", at)
         if start < 0:
@@ -118,28 +130,26 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if kind == "/":
-            if name in DROPPED:
-                dropped = max(0, dropped - 1)
-                open_block = False
-            elif name == "a":
+            if name == "a":
                 link = False
             elif name not in INLINE and name not in VOID:
-                for k in range(len(stack) - 1, 0, -1):
-                    if page.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+                close(name)
                 open_block = False
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD and name != "head":
+            stack.pop()
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
-            at = close.end() if close else end
+            until = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+            at = until.end() if until else end
             continue
         if name in DROPPED:
+            if name == "button":  # one never holds another
+                close(name)
             if not attributes.endswith("/"):
-                dropped += 1
+                stack.append((name, stack[-1][1], True))
             continue
-        if name in ("body", "html"):
-            dropped = 0  # a head that was never closed ends here
+        if name in ("body", "html"):  # what a head left open ends here
+            del stack[next((k for k, (_, _, drop) in enumerate(stack) if drop), len(stack)) :]
         if name == "html":  # the root stands for it, also where it is left out
             page.label[root] = int("data-main=\"1\"" in attributes)
             continue
@@ -152,13 +162,17 @@ def parse(source: str) -> Page:
         if name in INLINE:
             continue
         open_block = False
-        while len(stack) > 1 and name in CLOSES.get(page.tag[stack[-1]], ()):
+        if stack[-1][2] and name in CLOSES["p"]:  # a drawing holds no such element but within foreignObject
+            names = [n for n, _, _ in stack]
+            if "svg" in names and "foreignobject" not in names[names.index("svg") :]:
+                del stack[names.index("svg") :]
+        while len(stack) > 1 and name in CLOSES.get(stack[-1][0], ()):
             stack.pop()
         if name in VOID:
             continue
-        node = page.add(stack[-1], name, attributes)
+        node = page.add(stack[-1][1], name, attributes)
         if not attributes.endswith("/"):
-            stack.append(node)
+            stack.append((name, node, stack[-1][2]))
     return page
 
 

@@ -237,6 +237,31 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 <footer>&copy; someone</footer>"""
 
 
+@pytest.mark.parametrize("tag", ["svg", "button", "select", "object", "audio", "video", "canvas"])
+def test_a_dropped_element_ends_with_the_block_around_it(tag):
+    source = f"<html><body><article><h1>Title here</h1><div><{tag}>gone</div><p>Some words of the text</p></article><p>after</body></html>"
+    assert "".join(html_text_blocks(source)).split() == "Title here Some words of the text after".split()
+
+
+def html_text_blocks(source):
+    return [" " + "".join(parts) for _, parts in html_text.parse(source).blocks]
+
+
+def test_head_and_body_tags_may_be_left_out():
+    for source, want in [
+        ("<html><head><title>t</title><p>text", "text"),
+        ("<head><meta charset=x><style>s</style><b>bold</b> text", "bold text"),
+        ("<head><title>t</title>plain", "plain"),
+        ("<head><link href=x><script>s</script></head><p>a<svg><text>no</text></svg> b", "a b"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+        ("<article><svg><path><p>shown", "shown"),
+        ("<button>no<p>no</p></button>yes</button> too", "yes too"),
+    ]:
+        assert "".join(html_text_blocks(source)).split() == want.split(), source
+    words = "some more words " * 30
+    assert html_text.main_text(f"<html><head><title>t</title><article><p>{words}", html_text.trained()) == words.strip()
+
+
 def test_page_text(spark):
     rows = [(1, "u", PAGE, 1), (2, None, None, 1), (3, "u", "", 1), (4, "u", "<p", 1), (None, "u", PAGE.replace("<article>", "<article class=post>"), 1)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
