@@ -47,9 +47,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
-    return exact_dedup.exact_groups(documents).join(documents.select("doc_id", digest), "doc_id")
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

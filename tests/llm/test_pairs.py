@@ -153,6 +153,18 @@ def test_exact_groups(docs):
     assert exact_dedup.exact_groups(docs("a").limit(0)).count() == 0
 
 
+def test_exact_groups_keep_rows_without_or_with_one_id(docs, tmp_path):
+    import hashlib
+
+    from demandspark.llm import queries
+
+    rows = [(None, "a"), (None, "b"), (1, "a"), (2, "c"), (2, "d"), (3, None), (4, "c")]
+    docs(*rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["doc_id"], r["text_sha256"]) for r in queries.op4_exact_dedup(docs("x").sparkSession, str(tmp_path)).collect()]
+    want = [(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_contaminated_matches_containment(spark, docs):
     rng = random.Random(4)
     vocabulary = ["v" + str(i) for i in range(80)]
