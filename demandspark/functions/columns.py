@@ -19,10 +19,11 @@ def round_to(value: Column, digits: int) -> Column:
     """Half-away-from-zero rounding of a double: scale, round, unscale.
 
     A value within 5e-12 of a tie counts as the tie, so that the order in which partial sums were merged cannot push it
-    to either side; every other value is rounded as it is.
+    to either side; every other value is rounded as it is, and so are values too large to hold that digit.
     """
     fine, coarse = float(10**NOISE_DIGITS), float(10**digits)
-    return F.round(F.round(value * fine) / fine * coarse) / coarse
+    steady = F.when(F.abs(value) < 2.0**53 / fine, F.round(value * fine) / fine).otherwise(value)
+    return F.round(steady * coarse) / coarse
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from demandspark.config import RANKER_INPUTS, Fold
 from demandspark.functions.columns import round_to
-from demandspark.operators.features import HISTORY_DATES
-from demandspark.operators.ranking import RankingInput
+from demandspark.operators.features import HISTORY_DATES, frozen_features, training_panel
+from demandspark.operators.ranking import RankingInput, ranking_input
 
 REQUIRED_PREDICTION_COLUMNS = (
     "fold",
@@ -98,6 +98,82 @@ def history_before_target(features: DataFrame, target_date: str, label: str) ->
     )
 
 
+def _changed(before: DataFrame, after: DataFrame, key: list[str], inputs: Sequence[str], early: Column) -> DataFrame:
+    """Rows up to the changed hour and after it, and how many of each lack an equal row in ``after``."""
+    shown = [*key, *[round_to(F.col(c).cast("double"), 6).alias(c) for c in inputs]]
+    own, other = before.select(*shown), after.select(*shown)
+    lost = own.join(other, [*key, *inputs], "left_anti")
+    marked = own.select(early.alias("early"), F.lit(False).alias("changed")).unionByName(
+        lost.select(early.alias("early"), F.lit(True).alias("changed"))
+    )
+    kinds = {"n_rows": (True, False), "n_changed": (True, True), "n_later": (False, False), "n_later_changed": (False, True)}
+    return marked.agg(
+        *[F.count_if((F.col("early") == e) & (F.col("changed") == c)).alias(name) for name, (e, c) in kinds.items()]
+    )
+
+
+def feature_moves(
+    series: DataFrame,
+    folds: Sequence[Fold],
+    airport_pattern: str,
+    min_history_days: int,
+    panel: Callable[[RankingInput, int], DataFrame] = training_panel,
+    frozen: Callable[[RankingInput], DataFrame] = frozen_features,
+    amount: float = 1000.0,
+) -> DataFrame:
+    """Which features move when the spend of one hour is changed; two rows per fold.
+
+    For training features the hour is the last observed one a week before the fold, and rows up to that hour must not
+    change while later ones do. For test features it is the fold's first test hour, and no row of the fold may change.
+    Features are built twice from the whole series and compared by anti-join, to six digits. A fold without such an hour
+    gives no row.
+    """
+    found = []
+    for fold in folds:
+        day, stamp = F.col("pickup_date"), F.struct("pickup_date", "pickup_hour")
+        in_test = (day >= F.lit(fold.start)) & (day < F.lit(fold.end))
+        hours = series.agg(
+            F.max(F.when(day <= F.date_sub(F.lit(fold.start), 7), stamp)).alias("training"),
+            F.min(F.when(in_test, stamp)).alias("test"),
+        ).first()
+        plain = ranking_input(series, [fold], airport_pattern)
+        for label, at in hours.asDict().items():
+            if at is None:
+                continue
+            hit = (day == F.lit(at["pickup_date"])) & (F.col("pickup_hour") == at["pickup_hour"])
+            raised = F.col("gross_passenger_spend") + F.when(hit, F.lit(amount)).otherwise(F.lit(0.0))
+            moved = ranking_input(series.withColumn("gross_passenger_spend", raised), [fold], airport_pattern)
+            if label == "training":
+                late = (day > F.lit(at["pickup_date"])) | ((day == F.lit(at["pickup_date"])) & (F.col("pickup_hour") > at["pickup_hour"]))
+                key = ["fold", "PULocationID", "pickup_date", "pickup_hour"]
+                moves = _changed(panel(plain, min_history_days), panel(moved, min_history_days), key, RANKER_INPUTS, ~late)
+            else:
+                key = ["fold", "PULocationID", "test_date", "pickup_hour"]
+                moves = _changed(frozen(plain), frozen(moved), key, RANKER_INPUTS, F.lit(True))
+            found.append(
+                moves.select(
+                    F.lit(fold.number).alias("fold"), F.lit(label).alias("features"),
+                    F.lit(at["pickup_date"]).alias("target_date"), F.lit(at["pickup_hour"]).alias("target_hour"), "*",
+                )
+            )
+    if not found:
+        kinds = "fold int, features string, target_date date, target_hour int, n_rows long, n_changed long, n_later long, n_later_changed long"
+        return series.sparkSession.createDataFrame([], kinds)
+    return reduce(DataFrame.unionByName, found)
+
+
+def features_unmoved(moves: DataFrame) -> DataFrame:
+    """No feature of :func:`feature_moves` follows its own or a later hour, and later ones follow the changed hour."""
+    total = moves.agg(F.sum("n_changed").alias("early"), F.sum("n_later_changed").alias("late"))
+    return total.select(
+        *_result(
+            "features do not follow the target hour",
+            (F.col("early") == 0) & (F.col("late") > 0),
+            F.concat_ws(" early, ", F.col("early").cast("string"), F.concat(F.col("late").cast("string"), F.lit(" later"))),
+        )
+    )
+
+
 def target_not_an_input(df: DataFrame, inputs: Sequence[str] = RANKER_INPUTS) -> DataFrame:
     leaked = sorted(set(inputs) & set(TARGET_COLUMNS))
     return _constant(df, "target is not a model input", not leaked, ",".join(leaked))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from demandspark.config import MIN_HISTORY_DAYS, RANKER_INPUTS, WEEKS_BACK
 from demandspark.functions.columns import epoch_day, finite_or_zero, ratio, training_folds
-from demandspark.operators.medians import quantiles_long
+from demandspark.operators.medians import summary_with_quantiles
 from demandspark.operators.ranking import (
     HOUR_KEY,
     RankingInput,
@@ -229,27 +229,19 @@ def feature_null_counts(features: DataFrame) -> DataFrame:
 
 
 def feature_summary(features: DataFrame, columns: Sequence[str] = RANKER_INPUTS) -> DataFrame:
-    """Count, mean, spread, range and quartiles per column, long.
-
-    The input is read three times: pass a written table.
-    """
-    stats = features.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(c).alias("n"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).alias("min"),
-                F.max(c).alias("max"),
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    long = stats.select(F.inline(F.array(*columns)))
-    quartiles = quantiles_long(features, [], {c: c for c in columns}, list(QUARTILES.values()))
-    wide = quartiles.groupBy(F.col("_measure").alias("feature")).agg(
-        *[F.max(F.when(F.col("_probability") == p, F.col("_quantile"))).alias(n) for n, p in QUARTILES.items()]
-    )
-    stacked = long.unionByName(wide, allowMissingColumns=True)
+    """Count, mean, spread, range and quartiles per column, long; the input is read twice."""
+    stats = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.count(c).alias("n"),
+            F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+        ).alias(c)
+        for c in columns
+    ]
+    totals, quartiles = summary_with_quantiles(features, columns, stats, QUARTILES)
+    long = totals.select(F.inline(F.array(*columns)))
+    stacked = long.unionByName(quartiles.withColumnRenamed("_measure", "feature"), allowMissingColumns=True)
     return stacked.groupBy("feature").agg(*[F.max(c).alias(c) for c in stacked.columns if c != "feature"])

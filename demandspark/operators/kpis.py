@@ -1,6 +1,7 @@
 """KPI, profile and series aggregates over clean trips.
 
-Names and boroughs are joined after aggregation, and every ratio is a ratio of doubles.
+Names and boroughs are joined after aggregation, and every ratio is a ratio of doubles. Tables of counts, sums and
+averages take the trips themselves or their cube (:func:`demandspark.operators.measures.cube`).
 """
 
 from __future__ import annotations
@@ -13,58 +14,42 @@ from pyspark.sql import functions as F
 
 from demandspark.config import CARD_PAYMENT, SENTINEL_ZONES
 from demandspark.functions.columns import day_type, ratio, round_to, weekend_label
+from demandspark.operators.measures import Measures
 from demandspark.operators.medians import with_medians
 from demandspark.operators.zones import join_lookup, label_zones
 
 
-def _trips() -> Column:
-    return F.count(F.lit(1)).alias("trips")
+def _sum_ratio(m: Measures, numerator: str, denominator: str, digits: int = 2) -> Column:
+    return round_to(ratio(m.total(numerator), m.total(denominator)), digits)
 
 
-def _pickup_date() -> Column:
-    return F.to_date("pickup_datetime")
-
-
-def _pickup_hour() -> Column:
-    return F.hour("pickup_datetime")
-
-
-def _mean(column: str, digits: int = 2) -> Column:
-    return round_to(F.avg(column), digits)
-
-
-def _total(column: str, digits: int = 2) -> Column:
-    return round_to(F.sum(column), digits)
-
-
-def _sum_ratio(numerator: str, denominator: str, digits: int = 2) -> Column:
-    return round_to(ratio(F.sum(numerator), F.sum(denominator)), digits)
-
-
-def card_tip_rate(digits: int = 4) -> Column:
+def card_tip_rate(m: Measures, digits: int = 4) -> Column:
     """Σ tips / Σ fares over card payments (a ratio of sums)."""
     card = F.col("payment_type") == CARD_PAYMENT
-    tips = F.sum(F.when(card, F.col("tip_amount")).otherwise(0.0))
-    fares = F.sum(F.when(card, F.col("fare_amount")).otherwise(0.0))
-    return round_to(ratio(tips, fares), digits)
+    return round_to(ratio(m.total("tip_amount", card, 0.0), m.total("fare_amount", card, 0.0)), digits)
+
+
+def _days(date: Column) -> Column:
+    """Distinct dates, at most those of the calendar, beside other aggregates without a second pass for the distinct."""
+    return F.size(F.collect_set(date)).cast("long")
 
 
 def kpis(trips: DataFrame) -> DataFrame:
     """One row of headline figures."""
-    totals = trips.agg(
-        _trips(),
-        F.countDistinct(_pickup_date()).alias("active_days"),
-        _mean("trip_distance").alias("avg_trip_distance_miles"),
-        _mean("trip_duration_min").alias("avg_trip_duration_min"),
-        _mean("total_amount").alias("avg_gross_spend_per_trip"),
-        _total("total_amount").alias("gross_passenger_spend"),
-        _sum_ratio("total_amount", "trip_distance").alias("gross_spend_per_mile"),
-        card_tip_rate().alias("card_tip_rate"),
-    )
+    m = Measures(trips)
     joined = with_medians(
-        totals,
         trips,
         [],
+        [
+            m.trips().alias("trips"),
+            _days(m.date).alias("active_days"),
+            round_to(m.mean("trip_distance"), 2).alias("avg_trip_distance_miles"),
+            round_to(m.mean("trip_duration_min"), 2).alias("avg_trip_duration_min"),
+            round_to(m.mean("total_amount"), 2).alias("avg_gross_spend_per_trip"),
+            round_to(m.total("total_amount"), 2).alias("gross_passenger_spend"),
+            _sum_ratio(m, "total_amount", "trip_distance").alias("gross_spend_per_mile"),
+            card_tip_rate(m).alias("card_tip_rate"),
+        ],
         {
             "median_trip_distance_miles": "trip_distance",
             "median_trip_duration_min": "trip_duration_min",
@@ -88,21 +73,21 @@ def kpis(trips: DataFrame) -> DataFrame:
 
 def kpis_monthly(trips: DataFrame) -> DataFrame:
     """Headline figures by month number (the same month of different years is one group)."""
-    monthly = trips.groupBy("month").agg(
-        _trips(),
-        F.countDistinct(_pickup_date()).alias("active_days"),
-        _mean("trip_distance").alias("avg_distance_miles"),
-        _mean("trip_duration_min").alias("avg_duration_min"),
-        _mean("total_amount").alias("avg_gross_spend"),
-        _total("total_amount").alias("gross_passenger_spend"),
-        _sum_ratio("total_amount", "trip_distance").alias("gross_spend_per_mile"),
-        card_tip_rate().alias("card_tip_rate"),
-        round_to(F.avg((F.col("cbd_congestion_fee") > 0).cast("int")), 4).alias("share_with_cbd_fee"),
-    )
+    m = Measures(trips)
     joined = with_medians(
-        monthly,
         trips,
         ["month"],
+        [
+            m.trips().alias("trips"),
+            _days(m.date).alias("active_days"),
+            round_to(m.mean("trip_distance"), 2).alias("avg_distance_miles"),
+            round_to(m.mean("trip_duration_min"), 2).alias("avg_duration_min"),
+            round_to(m.mean("total_amount"), 2).alias("avg_gross_spend"),
+            round_to(m.total("total_amount"), 2).alias("gross_passenger_spend"),
+            _sum_ratio(m, "total_amount", "trip_distance").alias("gross_spend_per_mile"),
+            card_tip_rate(m).alias("card_tip_rate"),
+            round_to(F.avg((F.col("cbd_congestion_fee") > 0).cast("int")), 4).alias("share_with_cbd_fee"),
+        ],
         {
             "median_distance_miles": "trip_distance",
             "median_duration_min": "trip_duration_min",
@@ -134,12 +119,12 @@ def median_of_monthly_medians(monthly: DataFrame) -> DataFrame:
 
 
 def payment_analysis(trips: DataFrame) -> DataFrame:
-    card_rate = F.avg(F.when(F.col("payment_type") == CARD_PAYMENT, F.col("tip_rate")))
+    m = Measures(trips)
     return trips.groupBy("payment_type").agg(
-        _trips(),
-        _mean("total_amount").alias("avg_total_amount"),
-        _mean("tip_amount").alias("avg_tip_amount"),
-        round_to(card_rate, 4).alias("avg_card_tip_rate"),
+        m.trips().alias("trips"),
+        round_to(m.mean("total_amount"), 2).alias("avg_total_amount"),
+        round_to(m.mean("tip_amount"), 2).alias("avg_tip_amount"),
+        round_to(m.mean("tip_rate", F.col("payment_type") == CARD_PAYMENT), 4).alias("avg_card_tip_rate"),
     )
 
 
@@ -147,24 +132,22 @@ def payment_analysis(trips: DataFrame) -> DataFrame:
 
 
 def hourly_timeseries(trips: DataFrame) -> DataFrame:
-    return trips.groupBy(
-        _pickup_date().alias("pickup_date"), _pickup_hour().alias("pickup_hour")
-    ).agg(_trips())
+    m = Measures(trips)
+    return trips.groupBy(m.date.alias("pickup_date"), m.hour.alias("pickup_hour")).agg(m.trips().alias("trips"))
 
 
 def zone_hour_timeseries(
     trips: DataFrame, lookup: DataFrame, sentinels: Mapping[int, str] = SENTINEL_ZONES
 ) -> DataFrame:
     """Trips and spend per date, hour and zone: the input of every ranking operator."""
-    series = trips.groupBy(
-        _pickup_date().alias("pickup_date"), _pickup_hour().alias("pickup_hour"), "PULocationID"
-    ).agg(
-        _trips(),
-        _total("total_amount").alias("gross_passenger_spend"),
-        _mean("total_amount").alias("avg_gross_spend_per_trip"),
-        _sum_ratio("total_amount", "trip_duration_min", 4).alias("gross_spend_per_minute"),
-        _mean("trip_duration_min").alias("avg_trip_duration_min"),
-        _mean("trip_distance").alias("avg_trip_distance_miles"),
+    m = Measures(trips)
+    series = trips.groupBy(m.date.alias("pickup_date"), m.hour.alias("pickup_hour"), "PULocationID").agg(
+        m.trips().alias("trips"),
+        round_to(m.total("total_amount"), 2).alias("gross_passenger_spend"),
+        round_to(m.mean("total_amount"), 2).alias("avg_gross_spend_per_trip"),
+        _sum_ratio(m, "total_amount", "trip_duration_min", 4).alias("gross_spend_per_minute"),
+        round_to(m.mean("trip_duration_min"), 2).alias("avg_trip_duration_min"),
+        round_to(m.mean("trip_distance"), 2).alias("avg_trip_distance_miles"),
     )
     return label_zones(series, lookup, sentinels).select(
         "pickup_date",
@@ -198,9 +181,10 @@ def hourly_demand(trips: DataFrame, lookup: DataFrame) -> DataFrame:
 
     Several ids may share a name, so dates are made distinct per name after the join.
     """
-    by_id = trips.groupBy(
-        _pickup_date().alias("pickup_date"), _pickup_hour().alias("pickup_hour"), "PULocationID"
-    ).agg(_trips())
+    m = Measures(trips)
+    by_id = trips.groupBy(m.date.alias("pickup_date"), m.hour.alias("pickup_hour"), "PULocationID").agg(
+        m.trips().alias("trips")
+    )
     named = join_lookup(by_id, lookup).groupBy("pickup_date", "pickup_hour", "lookup_borough", "lookup_zone")
     by_name = named.agg(F.sum("trips").alias("trips"))
     return by_name.groupBy(
@@ -215,8 +199,11 @@ def zone_hour_profile(
     trips: DataFrame, lookup: DataFrame, sentinels: Mapping[int, str] = SENTINEL_ZONES
 ) -> DataFrame:
     """Average daily trips by hour, day type and zone, over all dates of that day type."""
-    days = trips.groupBy("is_weekend").agg(F.countDistinct(_pickup_date()).alias("n_days"))
-    counts = trips.groupBy("is_weekend", _pickup_hour().alias("hour"), "PULocationID").agg(_trips())
+    m = Measures(trips)
+    days = trips.groupBy(m.weekend.alias("is_weekend")).agg(F.countDistinct(m.date).alias("n_days"))
+    counts = trips.groupBy(m.weekend.alias("is_weekend"), m.hour.alias("hour"), "PULocationID").agg(
+        m.trips().alias("trips")
+    )
     # Two rows at most, one per value of the boolean key.
     averaged = counts.join(F.broadcast(days), "is_weekend")
     return label_zones(averaged, lookup, sentinels).select(
@@ -232,13 +219,14 @@ def zone_hour_profile(
 def zone_analysis(
     trips: DataFrame, lookup: DataFrame, sentinels: Mapping[int, str] = SENTINEL_ZONES
 ) -> DataFrame:
+    m = Measures(trips)
     by_zone = trips.groupBy("PULocationID").agg(
-        _trips(),
-        _mean("trip_distance").alias("avg_trip_distance_miles"),
-        _mean("trip_duration_min").alias("avg_trip_duration_min"),
-        _mean("total_amount").alias("avg_gross_spend_per_trip"),
-        _total("total_amount").alias("gross_passenger_spend"),
-        _sum_ratio("total_amount", "trip_distance").alias("gross_spend_per_mile"),
+        m.trips().alias("trips"),
+        round_to(m.mean("trip_distance"), 2).alias("avg_trip_distance_miles"),
+        round_to(m.mean("trip_duration_min"), 2).alias("avg_trip_duration_min"),
+        round_to(m.mean("total_amount"), 2).alias("avg_gross_spend_per_trip"),
+        round_to(m.total("total_amount"), 2).alias("gross_passenger_spend"),
+        _sum_ratio(m, "total_amount", "trip_distance").alias("gross_spend_per_mile"),
     )
     return label_zones(by_zone, lookup, sentinels).select(
         "PULocationID",
@@ -254,7 +242,8 @@ def zone_analysis(
 
 
 def zone_hour_heatmap(trips: DataFrame, lookup: DataFrame) -> DataFrame:
-    by_id = trips.groupBy("PULocationID", _pickup_hour().alias("hour")).agg(_trips())
+    m = Measures(trips)
+    by_id = trips.groupBy("PULocationID", m.hour.alias("hour")).agg(m.trips().alias("trips"))
     named = join_lookup(by_id, lookup)
     return named.groupBy(
         F.col("lookup_borough").alias("pickup_borough"), F.col("lookup_zone").alias("pickup_zone"), "hour"
@@ -265,38 +254,36 @@ def zone_hour_heatmap(trips: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def daily_trips_revenue(trips: DataFrame) -> DataFrame:
-    return trips.groupBy(_pickup_date().alias("pickup_date")).agg(
-        _trips(), _total("total_amount").alias("revenue")
+    m = Measures(trips)
+    return trips.groupBy(m.date.alias("pickup_date")).agg(
+        m.trips().alias("trips"), round_to(m.total("total_amount"), 2).alias("revenue")
     )
 
 
 def trips_by_hour(trips: DataFrame) -> DataFrame:
-    return trips.groupBy(_pickup_hour().alias("hour")).agg(
-        _trips(), _sum_count_ratio("total_amount").alias("revenue_per_trip")
-    )
-
-
-def _sum_count_ratio(column: str) -> Column:
-    return round_to(ratio(F.sum(column), F.count(F.lit(1))), 2)
+    m = Measures(trips)
+    per_trip = round_to(ratio(m.total("total_amount"), m.trips()), 2)
+    return trips.groupBy(m.hour.alias("hour")).agg(m.trips().alias("trips"), per_trip.alias("revenue_per_trip"))
 
 
 def hour_dow_heatmap(trips: DataFrame) -> DataFrame:
     """One row per hour, one column per weekday."""
+    m = Measures(trips)
     days = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-    counts = [F.count_if(F.weekday("pickup_datetime") == i).alias(name) for i, name in enumerate(days)]
-    return trips.groupBy(_pickup_hour().alias("hour")).agg(*counts)
+    counts = [m.trips(F.weekday(m.date) == i).alias(name) for i, name in enumerate(days)]
+    return trips.groupBy(m.hour.alias("hour")).agg(*counts)
 
 
 def revenue_per_mile_by_zone(trips: DataFrame) -> DataFrame:
-    moved = trips.filter(F.col("trip_distance") > 0)
-    return moved.groupBy("PULocationID").agg(
-        _sum_ratio("total_amount", "trip_distance").alias("revenue_per_mile")
-    )
+    """Zones with a trip of positive distance."""
+    m = Measures(trips)
+    moved = trips.filter(F.col("moved_distance" if m.summed else "trip_distance") > 0)
+    return moved.groupBy("PULocationID").agg(round_to(m.moved_ratio(), 2).alias("revenue_per_mile"))
 
 
 def duration_by_distance(trips: DataFrame) -> DataFrame:
     return trips.groupBy(F.floor("trip_distance").alias("distance_miles")).agg(
-        _trips(), _mean("trip_duration_min").alias("avg_duration_min")
+        F.count(F.lit(1)).alias("trips"), round_to(F.avg("trip_duration_min"), 2).alias("avg_duration_min")
     )
 
 
@@ -305,7 +292,7 @@ def duration_distance_correlation(trips: DataFrame) -> DataFrame:
 
 
 def payment_mix(trips: DataFrame) -> DataFrame:
-    counts = trips.groupBy("payment_type").agg(_trips())
+    counts = trips.groupBy("payment_type").agg(Measures(trips).trips().alias("trips"))
     return counts.withColumn("trip_share", round_to(ratio(F.col("trips"), _overall("trips")), 6))
 
 
@@ -315,12 +302,13 @@ def _overall(column: str) -> Column:
 
 
 def trip_cards(trips: DataFrame) -> DataFrame:
+    m = Measures(trips)
     return trips.agg(
-        _trips(),
-        _total("total_amount").alias("revenue"),
-        _mean("fare_amount").alias("avg_fare"),
-        _mean("trip_duration_min").alias("avg_duration_min"),
-        _mean("trip_distance").alias("avg_distance_miles"),
+        m.trips().alias("trips"),
+        round_to(m.total("total_amount"), 2).alias("revenue"),
+        round_to(m.mean("fare_amount"), 2).alias("avg_fare"),
+        round_to(m.mean("trip_duration_min"), 2).alias("avg_duration_min"),
+        round_to(m.mean("trip_distance"), 2).alias("avg_distance_miles"),
     )
 
 
@@ -380,7 +368,10 @@ def pareto_zones(zones: DataFrame, share: float = 0.8, top: int = 10) -> DataFra
 
 def monthly_activity(trips: DataFrame) -> DataFrame:
     """Trips per active day by month number: the part of :func:`kpis_monthly` that needs no medians."""
-    monthly = trips.groupBy("month").agg(_trips(), F.countDistinct(_pickup_date()).alias("active_days"))
+    m = Measures(trips)
+    monthly = trips.groupBy(m.month.alias("month")).agg(
+        m.trips().alias("trips"), F.countDistinct(m.date).alias("active_days")
+    )
     return monthly.withColumn("trips_per_day", round_to(ratio(F.col("trips"), F.col("active_days")), 0))
 
 
@@ -424,7 +415,7 @@ def exclusion_months(failures: DataFrame) -> DataFrame:
 
 
 def exclusion_pivot(failures: DataFrame, months: list[str] | None = None) -> DataFrame:
-    """The same with one column per month of the data, zero where a rule never fired."""
+    """The same with one column per month, by default of the data, zero where a rule never fired."""
     by_month = exclusion_months(failures)
     months = months or [r["month"] for r in by_month.select("month").distinct().orderBy("month").collect()]
     wide = by_month.groupBy("first_failing_rule", "rule_share").pivot("month", months)

@@ -19,6 +19,7 @@ from demandspark.operators import (
     cleaning,
     features,
     kpis,
+    measures,
     models,
     opportunity,
     ranking,
@@ -30,6 +31,7 @@ from demandspark.plans import study, testdata
 from demandspark.plans.testdata import STUDY
 from demandspark.session import materialize, shared_dir
 from demandspark.sources import files, sinks
+from demandspark.streaming import hourly as hourly_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,7 +177,7 @@ def exclusion_months(spark, sf):
 
 @query
 def exclusion_pivot(spark, sf):
-    return kpis.exclusion_pivot(cleaning.first_failure(shipment_counts(spark, sf)))
+    return kpis.exclusion_pivot(cleaning.first_failure(shipment_counts(spark, sf)), testdata.SHIPMENT_MONTHS)
 
 
 @query
@@ -183,9 +185,108 @@ def exclusion_trend(spark, sf):
     return kpis.exclusion_trend(cleaning.first_failure(shipment_counts(spark, sf)))
 
 
+def checked_shipments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every shipment with its failed rules, written by month: the one pass over the raw rows."""
+    path = f"{shared_dir(spark)}/checked-{uuid.uuid4().hex}"
+    checked = cleaning.checked_trips(shipment_flags(spark, sf), STUDY.limits)
+    sinks.write_months(checked, path, F.col("study_month"))
+    return files.scan_checked_trips(spark, path)
+
+
+@query
+def checked_quality_breakdown(spark, sf):
+    """The audit of every rule, from trips that were written once."""
+    return cleaning.quality_breakdown(cleaning.checked_counts(checked_shipments(spark, sf)))
+
+
+@query
+def checked_first_failure(spark, sf):
+    return cleaning.first_failure(cleaning.checked_counts(checked_shipments(spark, sf)))
+
+
+@query
+def checked_accounting(spark, sf):
+    return cleaning.accounting_check(cleaning.checked_counts(checked_shipments(spark, sf)))
+
+
+@query
+def checked_clean_trips(spark, sf):
+    """The valid trips among them."""
+    return cleaning.valid_of(checked_shipments(spark, sf)).drop("study_month")
+
+
+@query
+def month_rerun(spark, sf):
+    """Three months written, the middle one written again with its card payments alone, and all read back."""
+    path = f"{shared_dir(spark)}/rerun-{uuid.uuid4().hex}"
+    month = F.date_format("pickup_datetime", "yyyy-MM")
+    three = shipments(spark, sf).filter(month.isin("1998-01", "1998-02", "1998-03"))
+    sinks.write_months(three, path, month)
+    again = shipments(spark, sf).filter((month == "1998-02") & (F.col("payment_type") == 1))
+    sinks.write_months(again, path, month, replace="months")
+    kept = files.scan_clean_trips(spark, path).withColumn("study_month", F.date_format("study_month", "yyyy-MM"))
+    return kept.groupBy("study_month", "payment_type").agg(
+        F.count(F.lit(1)).alias("trips"), round_to(F.sum("total_amount"), 2).alias("revenue")
+    )
+
+
 # ---------------------------------------------------------------- KPIs, profiles, series
 
 
+def cube(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and sums of the trips, written once: what the additive tables of a study are built from."""
+    return materialize(measures.cube(trips(spark, sf)), "cube")
+
+
+@query
+def cube_payment_analysis(spark, sf):
+    return kpis.payment_analysis(cube(spark, sf))
+
+
+@query
+def cube_hourly_profile(spark, sf):
+    return kpis.hourly_profile(cube(spark, sf))
+
+
+@query
+def cube_hourly_demand(spark, sf):
+    return kpis.hourly_demand(cube(spark, sf), testdata.customer_zones(spark, sf))
+
+
+@query
+def cube_zone_hour_profile(spark, sf):
+    return kpis.zone_hour_profile(cube(spark, sf), testdata.customer_zones(spark, sf), STUDY.sentinels)
+
+
+@query
+def cube_zone_hour_timeseries(spark, sf):
+    return kpis.zone_hour_timeseries(cube(spark, sf), testdata.customer_zones(spark, sf), STUDY.sentinels)
+
+
+@query
+def cube_zone_analysis(spark, sf):
+    return kpis.zone_analysis(cube(spark, sf), testdata.customer_zones(spark, sf), STUDY.sentinels)
+
+
+@query
+def zone_hour_stream(spark, sf):
+    """Trip files that arrive in three parts, some trips one part late, kept up to date by a stream that starts anew for each."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw = testdata.trips_from_events(spark, sf)
+    pickup = F.col("tpep_pickup_datetime")
+    part = F.least(F.floor((F.dayofmonth(pickup) - 1) / 10), F.lit(2))
+    arrival = F.least(part + F.when(F.xxhash64(pickup, "trip_distance") % 10 == 0, 1).otherwise(0), F.lit(2))
+    for number in range(3):
+        raw.filter(arrival == number).write.mode("append").parquet(f"{root}/incoming")
+        stream = hourly_stream.trip_stream(spark, f"{root}/incoming", raw.schema)
+        marked = cleaning.with_study_window(cleaning.standardize(stream), testdata.MONTH_START, testdata.MONTH_END)
+        clean = cleaning.clean_trips(cleaning.flag_trips(marked, STUDY.limits), STUDY.limits)
+        hours = hourly_stream.zone_hours(clean, "15 days")
+        hourly_stream.write_changes(hours, f"{root}/hours", f"{root}/checkpoint")
+    counted = hourly_stream.read_hours(spark, f"{root}/hours", hours.schema)
+    return kpis.zone_hour_timeseries(counted, testdata.customer_zones(spark, sf), STUDY.sentinels)
+
+
 @query
 def headline_kpis(spark, sf):
     return kpis.kpis(trips(spark, sf))
@@ -595,6 +696,14 @@ def baseline_checks(spark, sf):
     )
 
 
+@query
+def perturbation_check(spark, sf):
+    """Which features move when the spend of one hour per fold is changed: none up to that hour."""
+    series = kpis.zone_hour_timeseries(trips(spark, sf), testdata.customer_zones(spark, sf), STUDY.sentinels)
+    series = materialize(series, "perturbed-series")
+    return checks.feature_moves(series, STUDY.folds, STUDY.airport_pattern, STUDY.min_history_days)
+
+
 # ---------------------------------------------------------------- models
 # Fitted values have no SQL equivalent; the queries named *_rows, *_hours and *_folds state what a fit cannot change.
 
@@ -634,16 +743,26 @@ def learned(spark: SparkSession, sf: str) -> tuple[ranking.RankingInput, DataFra
     return fitted("ranker", spark, sf, build)
 
 
-def final_predictions(spark: SparkSession, sf: str) -> DataFrame:
+def final_predictions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the final fits, and the same beside those of the models saved and loaded again."""
+
     def build():
         ready = materialize(lagged(spark, sf), "lag-features")
-        frames = []
+        root = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+        frames, reloaded = [], []
         for name, model in models.final_models(ready, STUDY.forecast_iterations).items():
             rows = timeseries.complete_rows(ready, models.FORECAST_MODELS[name]).withColumn("fold", F.lit(0))
-            frames.append(timeseries.as_predictions(model.transform(rows), F.lit(name), F.col("predicted")))
-        return (materialize(frames[0].unionByName(frames[1]), "final-predictions"),)
+            scored = model.transform(rows)
+            frames.append(timeseries.as_predictions(scored, F.lit(name), F.col("predicted")))
+            sinks.save_model(model, f"{root}/{name}")
+            both = sinks.load_model(f"{root}/{name}").transform(scored.drop("inputs").withColumnRenamed("predicted", "before"))
+            reloaded.append(both.select(F.lit(name).alias("model"), "timestamp", F.col("trips").cast("double").alias("actual_trips"), "before", "predicted"))
+        return (
+            materialize(frames[0].unionByName(frames[1]), "final-predictions"),
+            materialize(reloaded[0].unionByName(reloaded[1]), "reloaded-predictions"),
+        )
 
-    return fitted("final", spark, sf, build)[0]
+    return fitted("final", spark, sf, build)
 
 
 def is_finite(column: str):
@@ -671,7 +790,7 @@ def model_forecast_metrics(spark, sf):
 @query
 def final_model_fit(spark, sf):
     """Both forecast models fitted on every complete row, with their errors on those rows."""
-    return scoring.score_by(final_predictions(spark, sf), ["model"])
+    return scoring.score_by(final_predictions(spark, sf)[0], ["model"])
 
 
 @query
@@ -684,10 +803,17 @@ def model_forecast_rows(spark, sf):
 @query
 def final_model_rows(spark, sf):
     """Which hours the final fits cover."""
-    own = final_predictions(spark, sf)
+    own = final_predictions(spark, sf)[0]
     return own.select("model", "timestamp", "actual_trips", is_finite("predicted_trips").alias("finite"))
 
 
+@query
+def model_reload_rows(spark, sf):
+    """Hours that the saved and reloaded models score, and whether each forecast is the one of the model in memory, bit by bit."""
+    both = final_predictions(spark, sf)[1]
+    return both.select("model", "timestamp", "actual_trips", (F.col("before") == F.col("predicted")).alias("same"))
+
+
 @query
 def learned_ranker_predictions(spark, sf):
     base, ranked, _ = learned(spark, sf)

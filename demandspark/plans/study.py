@@ -1,8 +1,8 @@
 """The whole study as one run: raw monthly files and a zone lookup in, result tables out.
 
-Stages hand DataFrames to each other.  Three results are written before they are read again,
-because several later stages read them: the audit counters, the clean trips and the zone-hour
-series; each is far smaller than what it is computed from.
+Stages hand DataFrames to each other.  The raw files are read once, into checked trips that hold the clean ones and what
+all audits need; the tables of counts and sums, the series and the opportunity scores come from one cube of the clean
+trips.  Only the medians go back to the trips.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from demandspark.operators import (
     cleaning,
     features,
     kpis,
+    measures,
     models,
     opportunity,
     ranking,
@@ -40,10 +41,11 @@ class CleanStage:
 
 @dataclass(frozen=True)
 class Table:
-    """A named result: how to build it from the clean trips and the lookup, and its sort order."""
+    """A named result: how to build it from the clean trips (or their cube) and the lookup, and its sort order."""
 
     build: Callable[[DataFrame, DataFrame, StudyConfig], DataFrame]
     order_by: tuple = ()
+    additive: bool = True  # needs only what a cube holds
 
 
 def _desc(name: str):
@@ -52,8 +54,8 @@ def _desc(name: str):
 
 # The result tables computed straight from clean trips.
 TABLES: dict[str, Table] = {
-    "kpis": Table(lambda t, z, c: kpis.kpis(t)),
-    "kpis_monthly": Table(lambda t, z, c: kpis.kpis_monthly(t), ("month",)),
+    "kpis": Table(lambda t, z, c: kpis.kpis(t), additive=False),
+    "kpis_monthly": Table(lambda t, z, c: kpis.kpis_monthly(t), ("month",), additive=False),
     "hourly_profile": Table(lambda t, z, c: kpis.hourly_profile(t), ("day_type", "pickup_hour")),
     "hourly_demand": Table(
         lambda t, z, c: kpis.hourly_demand(t, z), ("day_type", "pickup_hour", _desc("avg_daily_trips"))
@@ -89,19 +91,22 @@ def register_views(trips: DataFrame, lookup: DataFrame, config: StudyConfig) ->
 def clean_stage(spark: SparkSession, raw_path: str, out: str, config: StudyConfig) -> CleanStage:
     prepare(spark)
     marked = cleaning.with_study_month(cleaning.standardize(files.scan_trips(spark, raw_path)))
-    flagged = cleaning.flag_trips(marked, config.limits)
-    counts = materialize(cleaning.audit_counts(flagged, config.limits), "audit-counts")
+    checked = cleaning.checked_trips(cleaning.flag_trips(marked, config.limits), config.limits)
+    sinks.write_months(checked, f"{out}/checked_trips", F.col("study_month"))
+    counts = cleaning.checked_counts(files.scan_checked_trips(spark, f"{out}/checked_trips"))
+    counts = materialize(counts, "audit-counts")
     sinks.write_table(cleaning.quality_breakdown(counts), f"{out}/quality_breakdown", ["file"])
     sinks.write_table(cleaning.first_failure(counts), f"{out}/first_failure", ["file", F.desc("records")])
     sinks.write_table(cleaning.quality_summary(counts), f"{out}/data_quality_summary", ["file"])
-    sinks.write_clean_trips(cleaning.clean_trips(flagged, config.limits), f"{out}/clean_trips")
-    return CleanStage(files.scan_clean_trips(spark, f"{out}/clean_trips"), counts)
+    return CleanStage(files.scan_clean_trips(spark, f"{out}/checked_trips"), counts)
 
 
-def sql_stage(trips: DataFrame, lookup: DataFrame, out: str, config: StudyConfig) -> None:
+def sql_stage(trips: DataFrame, cube: DataFrame, lookup: DataFrame, out: str, config: StudyConfig) -> None:
+    """The result tables; additive ones are built from ``cube``."""
     for name, table in TABLES.items():
         order = [key() if callable(key) else key for key in table.order_by]
-        sinks.write_table(table.build(trips, lookup, config), f"{out}/{name}", order)
+        source = cube if table.additive else trips
+        sinks.write_table(table.build(source, lookup, config), f"{out}/{name}", order)
 
 
 def forecast_stage(hourly: DataFrame, out: str, config: StudyConfig) -> None:
@@ -167,10 +172,9 @@ def ranking_stage(series: DataFrame, out: str, config: StudyConfig) -> None:
     predictions = materialize(ranking_metrics.named_predictions(learned, data), "learned-predictions")
     sinks.write_table(learned_metrics, f"{out}/ranking_learned_metrics", order)
     sinks.write_table(predictions, f"{out}/ranking_learned_predictions", [*order, "rank"])
-    sinks.write_table(
-        checks.verdict(ranking_checks(data, learned_metrics, predictions, baselines, config)),
-        f"{out}/ranking_validation",
-    )
+    moves = checks.feature_moves(data.frame.select(series.columns), config.folds, config.airport_pattern, config.min_history_days)
+    found = [*ranking_checks(data, learned_metrics, predictions, baselines, config), checks.features_unmoved(moves)]
+    sinks.write_table(checks.verdict(found), f"{out}/ranking_validation")
 
 
 def ranking_checks(
@@ -214,8 +218,9 @@ def run_study(
     config = config or StudyConfig()
     clean = clean_stage(spark, raw_path, out, config)
     lookup = files.scan_zone_lookup(spark, lookup_path)
-    sql_stage(clean.trips, lookup, out, config)
-    forecast_stage(files.scan_hourly_series(spark, f"{out}/hourly_timeseries"), out, config)
-    ranking_stage(files.scan_zone_hour_series(spark, f"{out}/zone_hour_timeseries"), out, config)
-    opportunity_stage(clean.trips, lookup, out, config)
+    cube = materialize(measures.cube(clean.trips), "cube")
+    sql_stage(clean.trips, cube, lookup, out, config)
+    forecast_stage(kpis.hourly_timeseries(cube), out, config)
+    ranking_stage(kpis.zone_hour_timeseries(cube, lookup, config.sentinels), out, config)
+    opportunity_stage(cube, lookup, out, config)
 

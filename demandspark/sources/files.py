@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from demandspark import schemas
 from demandspark.config import KEEP_COLUMNS
+from demandspark.operators.cleaning import valid_of
 
+FOOTER_READS = 16  # footers the driver reads at the same time, where the executors can't
+FOOTERS_A_TASK = 32
 
-FOOTER_READS = 16  # footers read at the same time
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per file the text of its Parquet schema; null where this reader doesn't know the file system."""
+    for batch in batches:
+        names, found = batch.column(0).to_pylist(), []
+        for name in names:
+            try:
+                store, path = fs.FileSystem.from_uri(name)
+                with store.open_input_file(path) as opened:
+                    found.append(str(pq.ParquetFile(opened).schema).split("\n", 1)[1])
+            except (OSError, pa.ArrowException):
+                found.append(None)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], names=["name", "footer"])
+
+
+def files_by_schema(spark: SparkSession, names: Sequence[str]) -> list[tuple[StructType, list[str]]]:
+    """The files grouped by the schema in their footers.
+
+    Tasks read the footers, one job for all files; Spark then infers one schema per distinct footer. Files in a store that
+    only Spark reads have theirs inferred one by one.
+    """
+    rows = spark.createDataFrame([(name,) for name in names], "name string").repartition(-(-len(names) // FOOTERS_A_TASK))
+    groups: dict[str, list[str]] = {}
+    for row in rows.mapInArrow(_footers, "name string, footer string").collect():  # a row a file, as in the list itself
+        groups.setdefault(row["footer"] or row["name"], []).append(row["name"])
+    with ThreadPoolExecutor(FOOTER_READS) as pool:
+        found = list(pool.map(lambda same: spark.read.parquet(min(same)).schema, groups.values()))
+    by_schema: dict[str, tuple[StructType, list[str]]] = {}
+    for schema, same in zip(found, groups.values(), strict=True):
+        by_schema.setdefault(schema.json(), (schema, []))[1].extend(same)
+    return [(schema, sorted(same)) for schema, same in sorted(by_schema.values(), key=lambda group: min(group[1]))]
 
 
 def scan_trips(spark: SparkSession, path: str, keep: tuple[str, ...] = KEEP_COLUMNS) -> DataFrame:
@@ -23,15 +61,8 @@ def scan_trips(spark: SparkSession, path: str, keep: tuple[str, ...] = KEEP_COLU
     has no form in the declared type becomes NULL. Columns outside the allow-list are never read, and a path without
     files raises ``AnalysisException``.
     """
-    by_schema: dict[str, list[str]] = {}
     names = sorted(spark.read.parquet(path).inputFiles())
-    with ThreadPoolExecutor(FOOTER_READS) as pool:
-        schemas_read = list(pool.map(lambda name: spark.read.parquet(name).schema, names))
-    found = {}
-    for name, schema in zip(names, schemas_read, strict=True):
-        by_schema.setdefault(schema.json(), []).append(name)
-        found[schema.json()] = schema
-    groups = [_as_declared(spark.read.schema(found[key]).parquet(*same), keep) for key, same in by_schema.items()]
+    groups = [_as_declared(spark.read.schema(schema).parquet(*same), keep) for schema, same in files_by_schema(spark, names)]
     united = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), groups)
     return united.select(*[name for name in keep if name in united.columns], "file")
 
@@ -47,11 +78,17 @@ def _as_declared(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return raw.select(*columns, F.col("_metadata.file_name").alias("file"))
 
 
-def scan_clean_trips(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned trips written by :func:`demandspark.sources.sinks.write_clean_trips`, with one schema."""
+def scan_checked_trips(spark: SparkSession, path: str) -> DataFrame:
+    """Checked trips of :func:`demandspark.operators.cleaning.checked_trips`, as written by month."""
     return spark.read.parquet(path)
 
 
+def scan_clean_trips(spark: SparkSession, path: str) -> DataFrame:
+    """The valid ones of trips written by month, checked or already clean, with one schema."""
+    trips = spark.read.parquet(path)
+    return valid_of(trips) if "failed_rules" in trips.columns else trips
+
+
 def scan_zone_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Zone lookup CSV; only an empty field is missing, so texts like ``N/A`` stay as they are."""
     return (

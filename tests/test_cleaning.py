@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import as_dicts
+from helpers import as_dicts
 from pyspark.sql import functions as F
 
 from demandspark import schemas
@@ -224,3 +224,74 @@ def test_rounding_does_not_lift_values_below_a_tie(spark):
     rows = spark.createDataFrame([(2.67499996,), (0.12499997,), (10.00499999,), (-2.5,), (0.125,)], "x double")
     found = [r[0] for r in rows.select(round_to(F.col("x"), 2)).collect()]
     assert found == [2.67, 0.12, 10.0, -2.5, 0.13]
+
+
+def test_footers_of_many_files_take_as_few_jobs_as_of_few(spark, tmp_path):
+    def jobs(count, root):
+        kinds = ("int", "long")
+        for kind in kinds:
+            spark.range(count).select(F.col("id").cast(kind).alias("PULocationID")).repartition(count // 2).write.parquet(str(root / kind))
+        names = sorted(f"file://{p}" for p in root.glob("*/*.parquet"))
+        group = f"footers-{count}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = files.files_by_schema(spark, names)
+        ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted(same for _, group_ in found for same in group_) == names
+        assert sorted(schema["PULocationID"].dataType.simpleString() for schema, _ in found) == ["bigint", "int"]
+        return ran
+
+    few, many = tmp_path / "few", tmp_path / "many"
+    assert jobs(200, many) == jobs(8, few) <= 6
+
+
+def test_footers_that_tasks_cannot_read(spark, tmp_path, monkeypatch):
+    spark.range(4).select(F.col("id").alias("PULocationID")).repartition(2).write.parquet(str(tmp_path / "a"))
+    names = sorted(f"file://{p}" for p in (tmp_path / "a").glob("*.parquet"))
+
+    def unknown(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            none = pa.nulls(batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), none], names=["name", "footer"])
+
+    monkeypatch.setattr(files, "_footers", unknown)
+    assert [same for _, same in files.files_by_schema(spark, names)] == [names]
+
+
+def test_a_month_is_replaced_whole_and_others_stay(spark, tmp_path):
+    path = str(tmp_path / "months")
+    month = F.col("m")
+
+    def written(rows, **how):
+        sinks.write_months(spark.createDataFrame(rows, "m string, v int").repartition(4), path, month, **how)
+        return sorted((r["m"], r["v"]) for r in spark.read.parquet(path).collect())
+
+    rows = [(f"m{i % 3}", i) for i in range(60)]
+    assert written(rows) == sorted(rows)
+    assert len(list((tmp_path / "months").glob("study_month=m0/*.parquet"))) == 1  # rebalanced
+    kept = [r for r in rows if r[0] != "m1"]
+    assert written([("m1", 100)], replace="months") == sorted([*kept, ("m1", 100)])
+    assert written([("m9", 1)]) == [("m9", 1)]
+    with pytest.raises(ValueError):
+        written([("m9", 1)], replace="some")
+
+
+def test_checked_trips_hold_every_rule(spark):
+    """Bits of the failed rules give the counters of the direct audit, also for rows that fail several rules."""
+    rows = [("2025-01-05 10:00:00", "2025-01-05 10:20:00", 1.0, 1, 2, 10.0, 12.0), ("2025-01-05 10:00:00", None, -1.0, None, 2, -5.0, 2000.0),
+            ("2025-01-05 10:00:00", "2025-01-05 09:00:00", 500.0, 1, 2, 600.0, -1.0), ("2024-12-31 23:00:00", "2025-01-01 00:10:00", 1.0, 1, 2, 5.0, 6.0),
+            (None, None, None, None, None, None, None)]
+    names = "a string, b string, trip_distance double, PULocationID long, DOLocationID long, fare_amount double, total_amount double"
+    frame = spark.createDataFrame(rows, names).select(
+        F.to_timestamp_ntz("a").alias("pickup_datetime"), F.to_timestamp_ntz("b").alias("dropoff_datetime"), "trip_distance", "PULocationID",
+        "DOLocationID", "fare_amount", F.lit(0.0).alias("tip_amount"), "total_amount", F.lit("trips_2025-01.parquet").alias("file"),
+    )
+    flagged = cleaning.flag_trips(cleaning.with_study_month(frame))
+    checked = cleaning.checked_trips(flagged)
+    expected = cleaning.audit_counts(flagged)
+    assert as_dicts(cleaning.checked_counts(checked).select(expected.columns)) == as_dicts(expected)
+    valid = cleaning.valid_of(checked).drop("study_month")
+    assert as_dicts(valid) == as_dicts(cleaning.clean_trips(flagged).select(valid.columns))
+    assert {r["study_month"] for r in checked.collect()} == {"2025-01"}

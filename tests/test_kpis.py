@@ -5,7 +5,7 @@ import statistics
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import as_dicts
+from helpers import as_dicts
 from pyspark.sql import functions as F
 
 from demandspark import schemas

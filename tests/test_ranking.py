@@ -177,6 +177,26 @@ def test_own_hour_never_reaches_its_features(spark, case):
     assert table(case[1], later) != table(other, later)
 
 
+def leaking_panel(data, min_history_days):
+    """A builder that lets a zone's own day into its history."""
+    own = data.frame.groupBy("PULocationID", "pickup_date").agg(F.sum("gross_passenger_spend").alias("own"))
+    panel = features.training_panel(data, min_history_days).join(own, ["PULocationID", "pickup_date"], "left")
+    return panel.withColumn("historical_gross_spend", F.col("historical_gross_spend") + F.coalesce("own", F.lit(0.0)))
+
+
+def test_perturbed_hours_find_a_planted_leak(spark, case):
+    series = make_series(spark, case[0])
+    moves = checks.feature_moves(series, FOLDS, "airport", 14)
+    rows = moves.collect()
+    assert [(r["fold"], r["features"]) for r in rows] == [(1, "training"), (1, "test"), (2, "training"), (2, "test"), (3, "training")]
+    assert all(r["n_changed"] == 0 for r in rows) and all(r["n_later_changed"] > 0 for r in rows if r["features"] == "training" and r["fold"] < 3)
+    assert checks.features_unmoved(moves).first()["passed"]
+    leaks = checks.feature_moves(series, FOLDS[:1], "airport", 14, panel=leaking_panel)
+    assert leaks.filter("features = 'training'").first()["n_changed"] > 0
+    assert not checks.features_unmoved(leaks).first()["passed"]
+    assert checks.feature_moves(series.limit(0), FOLDS, "airport", 14).count() == 0
+
+
 def test_checks_hold(case):
     data = case[1]
     panel = features.training_panel(data, 14, with_history_date=True)

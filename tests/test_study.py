@@ -6,11 +6,18 @@ from datetime import date, datetime, timedelta
 import pyarrow.parquet as pq
 import pytest
 
+from helpers import as_dicts
+from pyspark.sql import functions as F
+
 from demandspark import schemas
 from demandspark.config import StudyConfig, folds_from
+from demandspark.operators import cleaning
 from demandspark.plans import study
+from demandspark.session import materialize
 from demandspark.sources import files
 
+READ = {}
+
 CONFIG = StudyConfig(
     folds=folds_from([date(2025, 1, 24), date(2025, 2, 3)], days=2),
     support_thresholds=(50,),
@@ -49,29 +56,81 @@ def outputs(spark, tmp_path_factory):
         "LocationID,Borough,Zone\n1,Manhattan,Midtown\n2,Queens,Corona\n3,Bronx,NA\n132,Queens,JFK Airport\n"
     )
     out = root / "out"
-    study.run_study(spark, str(root / "trips_*.parquet"), str(root / "lookup.csv"), str(out), CONFIG)
+    scan, seen = files.scan_trips, spark.sparkContext.accumulator(0)
+    READ.update(raw=seen, rows=sum(pq.read_metadata(p).num_rows for p in root.glob("trips_*.parquet")))
+
+    def counting(session, path):
+        def count(zone):
+            seen.add(1)
+            return zone
+
+        counted = F.udf(count, "long").asNondeterministic()
+        return scan(session, path).withColumn("PULocationID", counted("PULocationID"))
+
+    clean, cube = files.scan_clean_trips, study.measures.cube
+    READ.update(clean=[], cubes=[])
+
+    def noting(session, path):
+        READ["clean"].append(path)
+        return clean(session, path)
+
+    def cubing(trips):
+        READ["cubes"].append(trips)
+        return cube(trips)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(files, "scan_trips", counting)
+        patch.setattr(files, "scan_clean_trips", noting)
+        patch.setattr(study.measures, "cube", cubing)
+        study.run_study(spark, str(root / "trips_*.parquet"), str(root / "lookup.csv"), str(out), CONFIG)
     return out
 
 
+def test_raw_files_are_read_once(spark, outputs):
+    assert READ["raw"].value == READ["rows"]
+
+
+def test_additive_tables_read_the_trips_once(spark, outputs):
+    """One cube for all of them; no table of sums has a plan that reads the checked trips."""
+    assert len(READ["cubes"]) == len(READ["clean"]) == 1
+    trips = files.scan_clean_trips(spark, str(outputs / "checked_trips"))
+    cube = materialize(study.measures.cube(trips), "cube")
+    lookup = files.scan_zone_lookup(spark, str(outputs.parent / "lookup.csv"))
+    for name, table in study.TABLES.items():
+        if table.additive:
+            inputs = table.build(cube, lookup, CONFIG).inputFiles()
+            assert inputs and not any("checked_trips" in path for path in inputs), name
+    assert [name for name, table in study.TABLES.items() if not table.additive] == ["kpis", "kpis_monthly"]
+
+
+def test_audits_of_checked_trips_are_those_of_the_raw_files(spark, outputs):
+    raw = cleaning.standardize(files.scan_trips(spark, str(outputs.parent / "trips_*.parquet")))
+    flagged = cleaning.flag_trips(cleaning.with_study_month(raw), CONFIG.limits)
+    checked = cleaning.checked_counts(files.scan_checked_trips(spark, str(outputs / "checked_trips")))
+    expected = cleaning.audit_counts(flagged, CONFIG.limits)
+    assert as_dicts(checked.select(expected.columns), "file") == as_dicts(expected, "file")
+    assert all(r["balanced"] for r in cleaning.accounting_check(checked).collect())
+
+
 def read(spark, outputs, name):
     return spark.read.option("header", True).option("inferSchema", True).csv(str(outputs / name))
 
 
 def test_every_result_is_written(spark, outputs):
     expected = {
-        *study.TABLES, "clean_trips", "quality_breakdown", "first_failure", "data_quality_summary",
+        *study.TABLES, "checked_trips", "quality_breakdown", "first_failure", "data_quality_summary",
         "forecast_predictions", "forecast_metrics", "models", "ranking_baseline_metrics",
         "ranking_support_threshold_metrics", "ranking_airport_metrics", "ranking_baseline_predictions",
         "ranking_summary", "ranking_learned_metrics", "ranking_learned_predictions", "ranking_validation",
         "zone_opportunity", "driver_opportunity",
     }
     assert {p.name for p in outputs.iterdir()} == expected
-    for name in expected - {"models", "clean_trips", "zone_opportunity"}:
+    for name in expected - {"models", "checked_trips", "zone_opportunity"}:
         assert read(spark, outputs, name).count() > 0, name
 
 
 def test_totals_agree_between_results(spark, outputs):
-    clean = files.scan_clean_trips(spark, str(outputs / "clean_trips")).count()
+    clean = files.scan_clean_trips(spark, str(outputs / "checked_trips")).count()
     summary = read(spark, outputs, "data_quality_summary").collect()
     assert len(summary) == 2 and sum(r["clean_trip_count"] for r in summary) == clean
     for name in ("kpis", "kpis_monthly", "hourly_timeseries", "zone_hour_timeseries", "zone_analysis",
@@ -88,12 +147,20 @@ def test_results_are_sorted(spark, outputs):
 
 def test_validation_covers_both_folds(spark, outputs):
     outcome = {r["check"]: r["passed"] for r in read(spark, outputs, "ranking_validation").collect()}
-    assert len(outcome) == 13
+    sources = ("daily", "slot", "week", "trailing")
+    expected = {
+        "overall", "learned metrics has rows", "learned predictions has rows", "baseline metrics has rows",
+        "exactly the configured folds", "target is not a model input", "required prediction columns",
+        "predictions are finite", "learned ranker beats the best baseline", "features do not follow the target hour",
+        *(f"train before test, fold {fold.number}" for fold in CONFIG.folds),
+        *(f"{label} history precedes the target: {source}" for label in ("training", "test") for source in sources),
+    }
+    assert set(outcome) == expected
     assert all(passed for check, passed in outcome.items() if check not in ("overall", "learned ranker beats the best baseline"))
 
 
 def test_named_tables_are_queryable_in_sql(spark, outputs, tmp_path):
-    trips = files.scan_clean_trips(spark, str(outputs / "clean_trips"))
+    trips = files.scan_clean_trips(spark, str(outputs / "checked_trips"))
     lookup = files.scan_zone_lookup(spark, str(outputs.parent / "lookup.csv"))
     study.register_views(trips, lookup, CONFIG)
     busiest = spark.sql("SELECT pickup_zone FROM zone_analysis ORDER BY trips DESC LIMIT 1").collect()

@@ -4,7 +4,7 @@ import math
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import as_dicts
+from helpers import as_dicts
 
 from demandspark import schemas
 from demandspark.config import folds_from
