@@ -4,17 +4,23 @@ Everything runs as DataFrame expressions. Fixed formats (email, ip, card, phone)
 they always stay. For the rest, high-recall generators propose spans, which may overlap each other and the fixed ones.
 Gradient-boosted trees score each candidate by its format and its surroundings, and a threshold per generator, set on
 labelled candidates kept apart from the fit, selects those to redact. The trees are fitted by Spark ML on labelled
-candidates made by rule from value formats and surroundings; their splits are then plain CASE expressions over the
-candidates of a row, so no row is exploded, shuffled or joined.
+candidates made by rule from value formats and surroundings. They are then held as data, arrays of features, thresholds
+and children that an expression of fixed size walks for each candidate, so no row is exploded, shuffled or joined and the
+plan doesn't grow with the trees.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandspark.llm.common import materialize
+
 LOCAL = "A-Za-z0-9._%+-"
 # Base formats. A match starts where a run starts or where the last match ended, which is the leftmost match without
 # trying each place of a run; possessive runs give up nothing that the rest of the pattern could take.
@@ -39,8 +45,9 @@ GENERATORS = {
     "inner_tight": (r"(?<![0-9])(?<![0-9][-.])(?=[0-9](?:[-.]?[0-9]){6})[0-9]++(?:[-.][0-9]++)*+", "[0-9][0-9() .-]{5,}[0-9]"),
     "secret": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", "[A-Za-z0-9+/_=-]{20}"),
     "address": (
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{1,63}){1,8}",
-        r"(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]|\bdot\b|\.)",
+        # A plain dot joins two parts without white space: one before a space ends a sentence.
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?|\.)[A-Za-z0-9-]++)++",
+        r"(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\bdot\b)|\.)",
     ),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
 }
@@ -59,6 +66,7 @@ CONTEXT = {
 }
 TREES, DEPTH = 12, 4
 LABELLED = 6000
+ARMS_A_PLAN = 6
 ACCEPTED_PRECISION = 0.98
 
 SPAN = "struct<start:int,stop:int,value:string>"
@@ -114,7 +122,7 @@ def _count(value: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(value, f"[^{characters}]", "")).cast("double")
 
 
-def _features(generator: int, text: Column, span: Column) -> dict[str, Column]:
+def _features(text: Column, span: Column) -> dict[str, Column]:
     """Format and surroundings of one candidate."""
     value, start, stop = span["value"], span["start"], span["stop"]
     size = F.length(value).cast("double")
@@ -126,7 +134,7 @@ def _features(generator: int, text: Column, span: Column) -> dict[str, Column]:
     shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
-        "generator": F.lit(float(generator)),
+        "generator": span["generator"].cast("double"),
         "size": size,
         "digits": F.length(digits).cast("double"),
         "letters": _count(value, "A-Za-z"),
@@ -148,32 +156,29 @@ def _features(generator: int, text: Column, span: Column) -> dict[str, Column]:
     }
 
 
-def _candidates(text: Column) -> Column:
-    """All generators' spans with their features, as one array of a row."""
+def _found(text: Column) -> Column:
+    """All generators' spans of a row: generator, start, stop, value."""
     arrays = []
     for generator, (pattern, may) in enumerate(GENERATORS.values()):
-        found = F.transform(_spans(text, pattern), _described(generator, text))
-        arrays.append(F.when(text.rlike(may), found).otherwise(F.array().cast(_candidate_type())))
+        own = F.transform(_spans(text, pattern), _of_generator(generator))
+        arrays.append(F.when(text.rlike(may), own).otherwise(F.array().cast("array<struct<generator:int,start:int,stop:int,value:string>>")))
     return F.concat(*arrays)
 
 
-def _described(generator: int, text: Column):
-    name = list(GENERATORS)[generator]
+def _of_generator(generator: int):
+    fields = ("start", "stop", "value")
+    return lambda span: F.struct(F.lit(generator).alias("generator"), *[span[f].alias(f) for f in fields])
 
-    def describe(span: Column) -> Column:
-        shown = (value.alias(f) for f, value in _features(generator, text, span).items())
-        return F.struct(F.lit(name).alias("kind"), span["start"].alias("start"), span["stop"].alias("stop"), *shown)
 
-    return describe
-
-
-def _feature_names() -> list[str]:
-    probe = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("value"))
-    return list(_features(0, F.lit(""), probe))
+def _candidates(text: Column) -> Column:
+    """The spans with their kind and their features as one array ``x``; the features stand in the plan once."""
+    names = F.array(*map(F.lit, GENERATORS))
 
+    def describe(span: Column) -> Column:
+        kind = F.get(names, span["generator"]).alias("kind")
+        return F.struct(kind, span["start"].alias("start"), span["stop"].alias("stop"), F.array(*_features(text, span).values()).alias("x"))
 
-def _candidate_type() -> str:
-    return "array<struct<kind:string,start:int,stop:int," + ",".join(f"{f}:double" for f in _feature_names()) + ">>"
+    return F.transform(_found(text), describe)
 
 
 def labelled_texts(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
@@ -227,71 +232,100 @@ def labelled_texts(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     for value in (f"concat_ws('-', {year}, {num(2, 2)}, {num(2, 3)})", f"concat_ws('-', {num(3, 1)}, {num(3, 2)}, {num(4, 3)}, {num(4, 4)})", f"concat({num(4, 1)}, {num(4, 2)})"):
         arms.append(f"struct(0 as personal, concat({year}, ' ') as b, {value} as v, concat(' ', {num(2, 25)}) as a)")
     made = spark.range(rows).withColumn("id", F.col("id").cast("string"))
-    made = made.withColumn("x", F.element_at(F.array(*map(F.expr, arms)), (F.pmod(F.xxhash64("id", F.lit(77)), F.lit(len(arms))) + 1).cast("int")))
+    made = made.withColumn("arm", F.pmod(F.xxhash64("id", F.lit(77)), F.lit(len(arms))).cast("int"))
+    parts = []
+    for at in range(0, len(arms), ARMS_A_PLAN):  # few arms each, so that generated code stays within the JVM's limits
+        few = arms[at : at + ARMS_A_PLAN]
+        own = made.filter(F.col("arm").between(at, at + len(few) - 1))
+        parts.append(own.select("id", F.element_at(F.array(*map(F.expr, few)), F.col("arm") - at + 1).alias("x")))
+    made = reduce(DataFrame.unionByName, parts)
     lead = F.concat(F.expr(word(11)), F.lit(" "), F.expr(word(12)), F.lit(" "), F.col("x.b"))
     ends = ["", "", "", ",", ".", "!!", "###", "&&&", ";", ")"]
     end = F.element_at(F.array(*map(F.lit, ends)), (F.pmod(F.xxhash64("id", F.lit(55)), F.lit(len(ends))) + 1).cast("int"))
     tail = F.concat(F.expr("if(x.b like '%\"', '\"', '')"), end, F.lit(" "), F.expr(word(13)))
+    made = made.select("id", lead.alias("lead"), F.col("x.v").alias("v"), F.concat(F.col("x.a"), tail).alias("rest"), F.col("x.personal").alias("personal"))
+    made = materialize(made, "pii-texts")
     return made.select(
-        "id", F.concat(lead, F.col("x.v"), F.col("x.a"), tail).alias("text"), F.length(lead).alias("low"),
-        (F.length(lead) + F.length("x.v")).alias("high"), F.col("x.personal").cast("double").alias("label"),
+        "id", F.concat("lead", "v", "rest").alias("text"), F.length("lead").alias("low"),
+        (F.length("lead") + F.length("v")).alias("high"), F.col("personal").cast("double").alias("label"),
     )
 
 
+FOREST = "struct<feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>,root:array<int>,weight:array<double>>"
+
+
 class PiiModel:
-    """Boosted trees as a CASE expression over a candidate, and a threshold per generator."""
+    """Boosted trees as arrays over all their nodes, and a threshold per generator. A leaf has feature -1."""
 
-    def __init__(self, trees: list[tuple[float, object]], features: list[str], thresholds: dict[str, float]):
-        self.trees, self.features, self.thresholds = trees, features, thresholds
+    def __init__(self, forest: dict[str, list], thresholds: dict[str, float]):
+        self.forest, self.thresholds = forest, thresholds
 
-    def margin(self, candidate: Column) -> Column:
-        total = F.lit(0.0)
-        for weight, tree in self.trees:
-            total = total + F.lit(weight) * self._node(tree, candidate)
-        return total
+    def margin(self, x: Column) -> Column:
+        """Weighted sum of the leaves that the features ``x`` lead to."""
+        held = F.from_json(F.lit(json.dumps(self.forest)), FOREST)  # one literal, whatever the number of trees
 
-    def _node(self, node, candidate: Column) -> Column:
-        if isinstance(node, float):
-            return F.lit(node)
-        feature, threshold, left, right = node
-        return F.when(candidate[self.features[feature]] <= threshold, self._node(left, candidate)).otherwise(self._node(right, candidate))
+        def step(at: Column, _: Column) -> Column:
+            feature = F.get(held["feature"], at)
+            low = F.get(x, feature) <= F.get(held["threshold"], at)
+            return F.when(feature < 0, at).when(low, F.get(held["left"], at)).otherwise(F.get(held["right"], at))
+
+        def add(total: Column, tree: Column) -> Column:
+            leaf = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.get(held["root"], tree), step)
+            return total + F.get(held["weight"], tree) * F.get(held["value"], leaf)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(self.forest["root"]) - 1)), F.lit(0.0), add)
 
     def accepts(self, candidate: Column) -> Column:
         low = F.lit(float("inf"))
         for kind, threshold in self.thresholds.items():
             low = F.when(candidate["kind"] == kind, F.lit(threshold)).otherwise(low)
-        return self.margin(candidate) >= low
-
+        return self.margin(candidate["x"]) >= low
 
-def _tree(node):
-    """A fitted tree as nested (feature, threshold, left, right), leaves as numbers."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        return float(node.prediction())
-    split = node.split()
-    return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
+def _flatten(node, forest: dict[str, list]) -> int:
+    """Append a fitted node and those below it; its place in the arrays."""
+    at = len(forest["feature"])
+    leaf = node.getClass().getSimpleName() == "LeafNode"
+    split = None if leaf else node.split()
+    row = {"feature": -1 if leaf else split.featureIndex(), "threshold": 0.0 if leaf else float(split.threshold()), "left": -1, "right": -1}
+    for name, value in {**row, "value": float(node.prediction())}.items():
+        forest[name].append(value)
+    if not leaf:
+        forest["left"][at] = _flatten(node.leftChild(), forest)
+        forest["right"][at] = _flatten(node.rightChild(), forest)
+    return at
 
-def fit(spark: SparkSession, rows: int = LABELLED) -> PiiModel:
-    """Fit on three quarters of the labelled candidates and set each generator's threshold on the rest.
 
-    The threshold is the least margin from which on the accepted candidates are personal to ``ACCEPTED_PRECISION``; a
-    generator that never gets there accepts nothing.
-    """
-    features = _feature_names()
+def labelled_candidates(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
+    """id, kind, label and features ``x`` of the candidates that touch the value of a labelled text."""
     texts = labelled_texts(spark, rows)
     found = texts.select("id", "low", "high", "label", F.explode(_candidates(F.col("text"))).alias("c"))
     found = found.filter("c.start < high and c.stop > low")
     # A number that runs beyond the value is not the value's span.
     exact = ~F.col("c.kind").isin(NUMBERS) | F.expr("c.start >= low and c.stop <= high")
-    found = found.withColumn("label", F.when(exact, F.col("label")).otherwise(0.0)).select("id", "label", "c.*").repartition(4, "id")
+    return found.select("id", "c.kind", F.when(exact, F.col("label")).otherwise(0.0).alias("label"), "c.x")
+
+
+def boosted(found: DataFrame):
+    """Spark ML's boosted trees over ``found`` (vector, label), and their nodes as arrays."""
+    fitted = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(found)
+    forest: dict[str, list] = {name: [] for name in ("feature", "threshold", "left", "right", "value", "root")}
+    for tree in fitted.trees:
+        forest["root"].append(_flatten(tree._java_obj.rootNode(), forest))
+    return fitted, {**forest, "weight": [float(w) for w in fitted.treeWeights]}
+
+
+def fit(spark: SparkSession, rows: int = LABELLED) -> PiiModel:
+    """Fit on three quarters of the labelled candidates and set each generator's threshold on the rest.
+
+    The threshold is the least margin from which on the accepted candidates are personal to ``ACCEPTED_PRECISION``; a
+    generator that never gets there accepts nothing. The candidates are written once and read by every round of the fit.
+    """
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0
-    ready = VectorAssembler(inputCols=features, outputCol="x").transform(found).cache()
-    booster = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1)
-    fitted = booster.fit(ready.filter(~part))
-    trees = [(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(fitted.treeWeights, fitted.trees, strict=True)]
-    model = PiiModel(trees, features, {})
-    checked = ready.filter(part).select("kind", "label", model.margin(F.struct(*features)).alias("margin")).collect()  # bounded by rows
-    ready.unpersist()
+    found = materialize(labelled_candidates(spark, rows).repartition(4, "id"), "pii-candidates")
+    _, forest = boosted(found.filter(~part).withColumn("vector", array_to_vector("x")))
+    model = PiiModel(forest, {})
+    checked = found.filter(part).select("kind", "label", model.margin(F.col("x")).alias("margin")).collect()  # bounded by rows
     for kind in GENERATORS:
         own = sorted((r["margin"], r["label"]) for r in checked if r["kind"] == kind)
         for i, (margin, _) in enumerate(own):
@@ -308,8 +342,9 @@ def find(documents: DataFrame, model: PiiModel) -> DataFrame:
 
     Starts and stops count code points, stops are exclusive. A candidate is added if the trees accept it and no
     base span holds all of it; of accepted candidates one of which holds the other, the longer stays, then the one whose
-    kind is listed first. Spans may overlap in part, so that nothing accepted is left uncovered. A null text has no spans; repeated rows are searched each; other columns are ignored; an empty
-    table gives an empty result.
+    kind is listed first. Spans may overlap in part, so that nothing accepted is left uncovered. A null text has no spans;
+    texts of any length are searched whole; repeated rows are searched each; other columns are ignored; an empty table
+    gives an empty result.
     """
     text = F.col("text")
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -201,6 +201,33 @@ def test_model_on_unseen_labelled_candidates(spark, pii_model):
     assert sum(flagged) >= 0.7 * sum(label for label, _ in hits)
 
 
+def test_margins_are_those_of_the_fitted_trees(spark, pii_model):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import functions as F
+
+    found = pii.labelled_candidates(spark, 900).withColumn("vector", array_to_vector("x"))
+    found = spark.createDataFrame(found.collect(), found.schema)
+    fitted, forest = pii.boosted(found)
+    model = pii.PiiModel(forest, {})
+    rows = fitted.transform(found).select(vector_to_array("rawPrediction")[1].alias("raw"), model.margin(F.col("x")).alias("margin")).collect()
+    assert len(rows) > 900 and all(r["raw"] == pytest.approx(r["margin"], abs=1e-12) for r in rows)
+    twice = pii.PiiModel({**forest, "root": forest["root"] * 20, "weight": forest["weight"] * 20}, {})
+    plans = [found.select(m.margin(F.col("x")))._jdf.queryExecution().analyzed().toString() for m in (model, twice)]
+    assert plans[0].count("lambda") == plans[1].count("lambda") < 200  # the plan does not grow with the trees
+
+
+def test_spans_of_real_documents_are_personal_data(spark, pii_model):
+    """Prose of the given documents is the class that must stay: every added span there holds a secret or a long number."""
+    rows = pii.find(spark.read.parquet(f"{SF}/documents.parquet"), pii_model).collect()
+    added = [(s["kind"], r["text"][s["start"] : s["stop"]]) for r in rows for s in r["spans"] if s["rank"] >= len(pii.BASE)]
+    assert len(added) >= 5
+    for kind, value in added:
+        assert kind in ("secret", "number"), value
+        assert re.fullmatch("[0-9a-f]{32,}", value) if kind == "secret" else len(re.sub("[^0-9]", "", value)) >= 7, value
+    tokens = [m for r in rows for m in re.findall(r'token = "([0-9a-f]{40})"', r["text"])]
+    assert sorted(tokens) == sorted(v for k, v in added if k == "secret")
+
+
 def test_page_text_of_held_out_layouts():
     model = html_text.trained()
     right = total = 0
