@@ -21,19 +21,21 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 SLICE_BYTES = 4 << 20
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about ``SLICE_BYTES``."""
-    rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``limit`` bytes."""
+    rows = max(1, batch.num_rows * limit // max(limit, batch.nbytes))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
 
-def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """``per_batch`` over the Arrow batches of every task."""
+def map_batches(
+    df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, limit: int = SLICE_BYTES
+) -> DataFrame:
+    """``per_batch`` over the Arrow batches of every task, in slices of about ``limit`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from map(per_batch, slices(batch))
+            yield from map(per_batch, slices(batch, limit))
 
     return df.mapInArrow(run, schema)
 

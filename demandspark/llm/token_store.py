@@ -26,7 +26,8 @@ from pyspark.sql.window import Window
 
 from demandspark.llm.common import slices
 from demandspark.llm.shingles import U64, mix
-from demandspark.llm.tokenization import encode_texts
+from demandspark.llm.tokenization import encode_column
+from demandspark.llm.wordwise import WORDWISE_BYTES
 
 # A shard is closed once its ids reach this size at 32 bits.
 SHARD_BYTES = 32 << 20
@@ -190,10 +191,10 @@ def write_store(documents: DataFrame, folder: str, tokenizer: str, end_id: int |
                 held_list.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in row], ["task", "shard", "first_id", "last_id", "n_docs", "n_ids"])
 
-        for batch in chain.from_iterable(map(slices, batches)):
+        for batch in chain.from_iterable(slices(b, WORDWISE_BYTES) for b in batches):
             doc_ids = batch["doc_id"].to_pylist()
-            for doc_id, parts in zip(doc_ids, encode_texts(tokenizer, batch["text"].to_pylist(), by_words=True), strict=True):
-                ids = np.concatenate([*parts, np.array([] if end_id is None else [end_id], np.uint32)])
+            for doc_id, own in zip(doc_ids, encode_column(tokenizer, batch["text"]), strict=True):
+                ids = own if end_id is None else np.append(own, np.uint32(end_id))
                 keys.append(NO_KEY if doc_id is None else doc_id)
                 lengths.append(len(ids))
                 payload.append(ids)

@@ -7,11 +7,10 @@ executors; special strings inside texts are handled as the library does by defau
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
-from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.llm.common import map_batches
+from demandspark.llm.wordwise import Wordwise, cut_at_every_space
 
 # Texts longer than this are encoded in pieces; one call of the library gets about BATCH_CHARS.
 PIECE_CHARS = 1 << 15
 BATCH_CHARS = 1 << 18
+JOINED_WORDS = 512
 # Before a plain space that follows a character which is no space, every split pattern of the .json files starts a new
 # word, so the pieces have the ids of the whole.
 SAFE_CUT = re.compile(r"\S(?= )")
-# Words whose ids a Python worker keeps; longer words are encoded each time.
-KNOWN_WORDS = 1 << 18
-KNOWN_CHARS = 64
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,51 +46,47 @@ def _encoder(path: str):
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _cut_at_every_space(path: str) -> bool:
-    """Whether the file's rules look at nothing across a plain space that follows a character which is no space."""
-    if not path.endswith(".json"):
-        return False
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
-    split = data["pre_tokenizer"] or {}
-    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-    reaching = any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in data["added_tokens"])
-    return bool(plain and data["normalizer"] is None and not reaching)
+@functools.lru_cache(maxsize=4)
+def _token_bytes(path: str) -> np.ndarray:
+    """How many bytes of text each id of a byte-level file stands for."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    sizes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        sizes[i] = len(token)  # one letter a byte
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        sizes[i] = len(token.content.encode())
+    return sizes
 
 
-@functools.lru_cache(maxsize=4)
-def _word_encoder(path: str) -> Callable[[list[str]], list]:
-    """As :func:`_encoder`, but the library encodes a word, with the space before it, once and its ids are kept.
+def _encode_joined(path: str, words: list[str]) -> list[bytes]:
+    """Raw ids of words. Those that start with a space and end in none are encoded in long texts, which costs less a word.
 
-    Texts with a space after white space are encoded whole, as are those of files whose rules look across spaces.
+    A cut before such a space is safe, so the ids of the text are those of its words; the bytes that ids stand for show
+    where a word ends.
     """
-    encode = _encoder(path)
-    if not _cut_at_every_space(path):
-        return encode
-    known: dict[str, bytes | None] = {}
-
-    def by_words(texts: list[str]) -> list:
-        split = [text.split(" ") for text in texts]
-        firsts = encode([words[0] for words in split])
-        new = list({word for words in split for word in words[1:]} - known.keys())
-        for word, ids in zip(new, encode([f" {word}" for word in new]), strict=True):
-            # Where a word is empty or ends in white space, the next space is no safe cut.
-            known[word] = None if not word or word[-1].isspace() else array("I", ids).tobytes()
-        found = []
-        for text, words, first in zip(texts, split, firsts, strict=True):
-            rest = [known[word] for word in words[1:]]
-            if words[0][-1:].isspace() or None in rest:
-                found.append(encode([text])[0])
-            else:
-                found.append(np.frombuffer(b"".join([array("I", first).tobytes(), *rest]), np.uint32))
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for word in new:
-            if len(word) > KNOWN_CHARS:
-                known.pop(word, None)
-        return found
-
-    return by_words
+    encode, sizes = _encoder(path), _token_bytes(path)
+    found = [b""] * len(words)
+    plain = [i for i, w in enumerate(words) if w[:1] == " " and len(w) > 1 and not w[-1].isspace()]
+    rest = sorted(set(range(len(words))) - set(plain))
+    for i, ids in zip(rest, encode([words[i] for i in rest]) if rest else [], strict=True):
+        found[i] = np.asarray(ids, np.uint32).tobytes()
+    runs = [plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
+    for run, ids in zip(runs, encode(["".join([words[i] for i in run]) for run in runs]) if runs else [], strict=True):
+        own = np.asarray(ids, np.uint32)
+        ends = np.cumsum([len(words[i].encode()) for i in run])
+        cuts = ((np.searchsorted(np.cumsum(sizes[own]), ends) + 1) * 4).tolist()
+        raw = own.tobytes()
+        for i, a, b in zip(run, [0, *cuts], cuts, strict=False):
+            found[i] = raw[a:b]
+    return found
+
+
+@functools.lru_cache(maxsize=4)
+def wordwise_encoder(path: str) -> Wordwise | None:
+    """The library behind a table of known words; None for files whose rules look across spaces."""
+    return Wordwise(functools.partial(_encode_joined, path)) if cut_at_every_space(path) else None
 
 
 def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
@@ -107,13 +101,21 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_texts(path: str, texts: Sequence[str | None], by_words: bool = False) -> Iterator[list[np.ndarray]]:
-    """For each text in order, the ids of its pieces; null counts as empty.
+def encode_column(path: str, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each text of an Arrow array; null counts as empty. For outputs that are limited by the library's speed."""
+    words = wordwise_encoder(path)
+    if words is None:
+        for parts in encode_texts(path, texts.to_pylist()):
+            yield np.concatenate([np.empty(0, np.uint32), *parts])
+        return
+    starts, ids = words.encode(texts)
+    yield from (ids[a:b] for a, b in pairwise(starts.tolist()))
 
-    ``by_words`` keeps the ids of words between calls, for outputs that are limited by the library's speed.
-    """
+
+def encode_texts(path: str, texts: Sequence[str | None]) -> Iterator[list[np.ndarray]]:
+    """For each text in order, the ids of its pieces; null counts as empty."""
     whole = path.endswith(".model")  # its normaliser looks across spaces
-    encode = _word_encoder(path) if by_words else _encoder(path)
+    encode = _encoder(path)
     batch: list[str] = []
     owners: list[int] = []
     held, done = 0, 0
