@@ -16,23 +16,28 @@ import functools
 import heapq
 import json
 import unicodedata
+from array import array
 from collections import ChainMap
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from demandspark.llm.common import map_batches
+from demandspark.llm.wordwise import WORDWISE_BYTES, Wordwise, cut_at_every_space
 
 # Fixed value: the split pattern of the public byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Words kept with their ids by a task; longer words aren't kept.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 KNOWN_LENGTH = 40
 SHORT_WORD = 48
 BLOCK_CHARS = 1 << 19
+BETWEEN = 0xFF
 _NEVER = np.int64(1 << 60)
 # Code points below this one have been in the same classes for many versions of Unicode.
 _SETTLED = regex.compile("[^\\x00-\\u0557]")
@@ -45,6 +50,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _slices(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids up to each end as 32 bits each."""
+    raw, cuts = ids.astype(np.uint32).tobytes(), (ends * 4).tolist()
+    return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
 class Codec:
     """The vocabulary of one tokenizer file."""
 
@@ -69,7 +80,11 @@ class Codec:
             self.bytes_of[i] = token
         for token, i in added.items():
             self.bytes_of[i] = token.encode()
-        self.longest = max(map(len, self.ids))
+        self.sizes = np.array([len(t) for t in self.bytes_of], np.int64)
+        # No UTF-8 text holds this byte, so it can stand between words.
+        self.between = self.ids[bytes([BETWEEN])]
+        if any(BETWEEN in token for token in self.ids if len(token) > 1):
+            raise ValueError("only vocabularies of UTF-8 text")
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         of = model["vocab"]
         self.merges: dict[tuple[int, int], int] = {}  # ranks
@@ -87,20 +102,68 @@ class Codec:
         self.pair_ranks = np.array(list(self.merges.values()), np.int64)[order]
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.stable: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        found, at, end = [], 0, len(word)
-        ids, longest = self.ids, self.longest
-        while at < end:
-            for stop in range(min(end, at + longest), at, -1):
-                token = ids.get(word[at:stop])
-                if token is not None:
-                    found.append(token)
-                    at = stop
-                    break
-        return found
+        self.known: dict[str, bytes] = {}
+
+    @functools.cached_property
+    def _longest(self) -> ahocorasick.Automaton:
+        automaton = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            automaton.add_word(token.decode("latin-1"), i)
+        automaton.make_automaton()
+        return automaton
+
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words, and the number of tokens of each."""
+        text = bytes([BETWEEN]).join(words)
+        found = np.fromiter((i for _, i in self._longest.iter_long(text.decode("latin-1"))), np.int64)
+        if self.sizes[found].sum() != len(text):
+            raise ValueError("a byte without a token")
+        ends = np.append(np.flatnonzero(found == self.between), len(found))
+        counts = np.diff(ends, prepend=-1) - 1
+        return found[found != self.between], counts
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; the number of merges where there is none."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.result))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Raw ids that :meth:`merge` gives of many short words side by side: each step does one merge in every word that has one left."""
+        none, results = len(self.result), np.array(self.result, np.int64)
+        symbols = np.array(self.single, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        ranks = np.full(len(symbols), none, np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        ranks[inner] = self._ranks(symbols[inner], symbols[inner + 1])
+        done_symbols, done_owner = [], []
+        while len(symbols):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, len(symbols))))
+            ended = best == none
+            if ended.any():
+                done_symbols.append(symbols[ended])
+                done_owner.append(owner[ended])
+                symbols, owner, ranks, best = (x[~ended] for x in (symbols, owner, ranks, best))
+            hits = np.flatnonzero(ranks == best)
+            if not len(hits):
+                break
+            hits = hits[np.append(True, owner[hits][1:] != owner[hits][:-1])]  # leftmost of each word
+            symbols[hits] = results[ranks[hits]]
+            kept = np.ones(len(symbols), bool)
+            kept[hits + 1] = False
+            symbols, owner, ranks = symbols[kept], owner[kept], ranks[kept]
+            at = hits - np.arange(len(hits))  # one symbol fewer for each word before
+            for left in (at[at > 0] - 1, at[at < len(symbols) - 1]):
+                same = owner[left] == owner[left + 1]
+                ranks[left] = np.where(same, self._ranks(symbols[left], symbols[left + 1]), none)
+            if at[-1] == len(symbols) - 1:
+                ranks[-1] = none
+        if not done_owner:
+            return [b""] * len(words)
+        symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return _slices(symbols[order], np.searchsorted(owner[order], np.arange(1, len(words) + 1)))
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging, lowest rank first and leftmost among equals; long words by a heap over a linked list."""
@@ -160,22 +223,29 @@ class Codec:
             self.stable[token] = self.merge(self.bytes_of[token]) == [token]
         return self.stable[token]
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word; nearly all are the proposal, the others are merged."""
-        proposals = [self.propose(w) for w in words]
-        flat = np.fromiter(chain.from_iterable(proposals), np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(p) for p in proposals])
-        failing = set()
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Raw ids of each word; where a proposal fails the word is merged."""
+        if not words:
+            return []
+        flat, counts = self.propose(words)
+        owner = np.repeat(np.arange(len(words)), counts)
+        failing = np.zeros(len(words), bool)
         tokens, inverse = np.unique(flat, return_inverse=True)
         unstable = np.array([not self._is_stable(t) for t in tokens.tolist()], dtype=bool)
-        if unstable.any():
-            failing.update(owner[unstable[inverse]].tolist())
+        failing[owner[unstable[inverse]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         if len(inside):
             pairs, inverse = np.unique((flat[inside] << 32) | flat[inside + 1], return_inverse=True)
             good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-            failing.update(owner[inside[~good[inverse]]].tolist())
-        return [tuple(self.merge(w)) if i in failing else tuple(p) for i, (w, p) in enumerate(zip(words, proposals, strict=True))]
+            failing[owner[inside[~good[inverse]]]] = True
+        found = _slices(flat, np.cumsum(counts))
+        short = [i for i in np.flatnonzero(failing).tolist() if len(words[i]) <= SHORT_WORD]
+        for i, ids in zip(short, self.merge_all([words[i] for i in short]), strict=True):
+            found[i] = ids
+        for i in np.flatnonzero(failing).tolist():
+            if len(words[i]) > SHORT_WORD:
+                found[i] = array("I", self.merge(words[i])).tobytes()
+        return found
 
     @functools.cached_property
     def _library_split(self):
@@ -201,9 +271,9 @@ class Codec:
             at = match.end()
         return found + self._words(text[at:])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Texts are taken in blocks, so that one verification covers the new words of many."""
-        out: list[np.ndarray] = []
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Raw ids of each text. Texts are taken in blocks, so that one verification covers the new words of many."""
+        out: list[bytes] = []
         start = 0
         while start < len(texts):
             stop, chars = start, 0
@@ -214,26 +284,55 @@ class Codec:
             start = stop
         return out
 
-    def _encode_block(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known: dict[str | int, tuple[int, ...]] = self.known
+    def _encode_block(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN_WORDS:  # the older half goes
+            for word in list(islice(self.known, KNOWN_WORDS // 2)):
+                del self.known[word]
+        known: dict[str | int, bytes] = self.known
         words = [self.words(text) for text in texts]
         new = list(set(chain.from_iterable(words)) - known.keys())
-        passing = {w: (w,) for w in new if isinstance(w, int)}
+        passing = {w: array("I", [w]).tobytes() for w in new if isinstance(w, int)}
         new = [w for w in new if w not in passing]
         for word, ids in zip(new, self.encode_words([w.encode() for w in new]), strict=True):
             (known if len(word) <= KNOWN_LENGTH else passing)[word] = ids
         if passing:
             known = ChainMap(passing, known)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int32) for w in words]
+        return [known[w[0]] if len(w) == 1 else b"".join(map(known.__getitem__, w)) for w in words]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids; bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary are left out."""
-        size, of = len(self.bytes_of), self.bytes_of
-        if ids and not 0 <= min(ids) <= max(ids) < size:
-            ids = [i for i in ids if 0 <= i < size]
-        return b"".join(map(of.__getitem__, ids)).decode("utf-8", "replace")
+    @functools.cached_property
+    def wordwise(self) -> Wordwise | None:
+        return Wordwise(self.encode) if cut_at_every_space(self.path) else None
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text start (one more for the end), and the ids of all; null counts as empty."""
+        if self.wordwise is not None:
+            starts, ids = self.wordwise.encode(texts)
+            return starts, ids.astype(np.int32)
+        found = self.encode([t or "" for t in texts.to_pylist()])
+        return np.cumsum([0, *map(len, found)]) // 4, np.frombuffer(b"".join(found), np.uint32).astype(np.int32)
+
+    @functools.cached_property
+    def _token_bytes(self) -> tuple[pa.Array, np.ndarray]:
+        return pa.array(self.bytes_of, pa.large_binary()), np.array([len(t) for t in self.bytes_of], np.int64)
+
+    def decode_column(self, starts: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """Text of each run of ids, by one gather of their bytes.
+
+        Bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary are left out.
+        """
+        tokens, sizes = self._token_bytes
+        inside = (ids >= 0) & (ids < len(sizes))
+        if not inside.all():
+            kept = np.concatenate([[0], np.cumsum(inside)])
+            starts, ids = kept[starts], ids[inside]
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[starts]
+        gathered = tokens.take(pa.array(ids))
+        held = gathered.buffers()[2] or pa.py_buffer(b"")
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(ends.astype(np.int64)), held])
+        try:
+            return runs.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([run.decode("utf-8", "replace") for run in runs.to_pylist()], pa.string())
 
 
 @functools.lru_cache(maxsize=4)
@@ -249,37 +348,40 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = codec(path).encode([t or "" for t in batch["text"].to_pylist()])
-        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["doc_id", "ids"])
+        starts, ids = codec(path).encode_column(batch["text"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], _lists(starts, ids)], ["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>")
+    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>", WORDWISE_BYTES)
+
+
+def _lists(starts: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def recode(documents: DataFrame, path: str) -> DataFrame:
-    """:func:`encode`, then :func:`decode` of its ids, in one pass: doc_id, ids, text."""
+    """:func:`encode`, then :func:`decode` of its ids, in one pass: doc_id, ids, text.
+
+    A null or empty text has no ids and an empty text; repeated rows are coded each; other columns are ignored; an empty
+    table gives an empty result.
+    """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path)
-        found = c.encode([t or "" for t in batch["text"].to_pylist()])
-        texts = [c.decode(ids.tolist()) for ids in found]
-        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
-        return pa.RecordBatch.from_arrays([batch["doc_id"], ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        starts, ids = codec(path).encode_column(batch["text"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], _lists(starts, ids), codec(path).decode_column(starts, ids)], ["doc_id", "ids", "text"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>, text string")
+    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>, text string", WORDWISE_BYTES)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Rows of doc_id, ids with ``text``, the text of the ids; null ids give an empty text."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path)
-        ids, ends = batch["ids"].values.to_numpy(), batch["ids"].offsets.to_numpy()
-        texts = [c.decode(ids[a:b].tolist()) for a, b in pairwise(ends)]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        ids = batch["ids"].flatten()
+        starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch["ids"]), 0).to_numpy())])
+        texts = codec(path).decode_column(starts, pc.fill_null(ids, -1).to_numpy())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], texts], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return map_batches(encoded.select("doc_id", "ids"), per_batch, f"doc_id {kind}, ids array<int>, text string")

@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from demandspark.llm import bpe, token_store, tokenization
+from demandspark.llm import bpe, token_store, tokenization, wordwise
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -56,12 +57,43 @@ def test_long_words_merge_alike():
     assert codec.merge(word) == ids_of(word.decode())
 
 
+def test_words_merged_side_by_side():
+    codec = bpe.codec(PATH)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinrst lhé") for _ in range(rng.randint(1, 24))).encode()[:48] for _ in range(3000)] + [b"aaaaaaa", b"x"]
+    assert codec.merge_all(words) == [np.array(codec.merge(w), np.uint32).tobytes() for w in words]
+    assert codec.merge_all([]) == []
+    flat, counts = codec.propose(words)
+    assert counts.sum() == len(flat) and [codec.bytes_of[i] for i in flat[: counts[0]].tolist()][0] == max(
+        (t for t in codec.ids if words[0].startswith(t)), key=len
+    )
+
+
 def test_ids_by_words_are_those_of_whole_texts():
     spaced = ["a  b", "a \n b", "\n x", " x y", "x ", "x\x1c y", "x\u3000 y", "x's 't y", "x <|endoftext|> y", "<|endoftext|>", "w" * 99 + " w", "a" * 70 + "\n\nb c"]
     for _ in range(2):  # the second time from what is kept
         given = texts() + spaced
-        for text, parts in zip(given, tokenization.encode_texts(PATH, given, by_words=True), strict=True):
-            assert [i for part in parts for i in part.tolist()] == ids_of(text)
+        for text, ids in zip(given, tokenization.encode_column(PATH, pa.array(given)), strict=True):
+            assert ids.tolist() == ids_of(text)
+        for text, ids in zip(given[7:], tokenization.encode_column(PATH, pa.array(given)[7:]), strict=True):
+            assert ids.tolist() == ids_of(text)
+
+
+def test_words_come_back_from_the_older_generation(monkeypatch):
+    monkeypatch.setattr(wordwise, "KNOWN_WORDS", 5)
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [np.array(ids_of(w), np.uint32).tobytes() for w in words]
+
+    words = wordwise.Wordwise(encode)
+    for text in ["the a b c", "the d e f", "the g h i", "the j k l"] * 2:
+        starts, ids = words.encode(pa.array([text, None, "", f"x\x01y {text}"]))
+        assert ids.tolist() == [*ids_of(text), *ids_of(f"x\x01y {text}")] and starts[1] == starts[2] == starts[3]
+        assert len(words.known) <= 12
+    assert asked.count("the") == 1  # met in every batch, so never forgotten
+    assert words.encode(pa.array([], pa.string()))[0].tolist() == [0]
 
 
 def test_decoding_of_broken_ids(spark):
