@@ -10,7 +10,8 @@ whose bound reaches the threshold are compared by an exact intersection of their
    make up for them, and the rare sets with more empty parts than that carry signatures of their empty parts too, so no
    link is lost.
 2. *Signatures that repeat.* Rows (signature, document) are range-partitioned by both columns: a signature that a third of
-   all documents carry is split over many tasks. Rows of signatures seen once are dropped.
+   all documents carry is split over many tasks. Rows of signatures seen once are dropped, and each row that stays is
+   told the least document of its signature in the same pass; only the two signatures at a task's ends need more.
 3. *Stars.* Each member of a tile is compared with the least member. The links found join most members.
 4. *Open tiles.* Tiles whose other members are still in different components are compared pair by pair by bit counts, in
    blocks of bounded size. Components that may link by these form clusters, and within a cluster the pairs that may link
@@ -171,30 +172,40 @@ def _describe(documents: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows (signature, doc_id), those whose signature occurs again; the first and last of a task always."""
-    held: tuple[np.ndarray, np.ndarray] | None = None
-    first = True
+    """Of sorted rows (signature, doc_id), the distinct ones whose signature occurs again, with the least document of each.
+
+    A task's first and last signature may go on in the task before or after: their rows are kept whatever their number,
+    and a row without doc_id tells the least document that this task has seen of each of the two.
+    """
+    names = ["signature", "doc_id", "least"]
+    first, held = None, None  # the task's first signature; its last row so far, with the least of its signature and whether that repeats
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
     for batch in batches:
         sig, doc = (batch[i].to_numpy(zero_copy_only=False) for i in (0, 1))
-        if held is not None:
-            sig, doc = np.concatenate([held[0], sig]), np.concatenate([held[1], doc])
-        if len(sig) < 2:
-            held = (sig, doc)
+        if not len(sig):
             continue
-        same = sig[1:] == sig[:-1]
-        keep = np.zeros(len(sig), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= first
-        # The last row is held back until the next one is seen; where it repeats, it is told by a copy before it.
-        held = (sig[-1:], doc[-1:])
-        if same[-1]:
-            held = (sig[-2:], doc[-2:])
-        keep[-len(held[0]) :] = False
-        first = False
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(doc[keep])], ["signature", "doc_id"])
+        if held is None:
+            first = sig[0]
+            yield rows([first], [None], [doc[0]])
+        else:
+            sig, doc = np.append(held[0], sig), np.append(held[1], doc)
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
+        sig, doc = sig[fresh], doc[fresh]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        counts = np.diff(np.append(starts, len(sig)))
+        least, several = doc[starts], (counts > 1) | (sig[starts] == first)
+        if held is not None:
+            least[0], several[0] = held[2], several[0] or held[3]
+        group = np.repeat(np.arange(len(starts)), counts)
+        keep = several[group]
+        keep[-1] = False  # told once the next row is seen
+        yield rows(sig[keep], doc[keep], least[group][keep])
+        held = sig[-1:], doc[-1:], least[-1], several[-1]
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["signature", "doc_id"])
+        yield rows([held[0][0]] * 2, [held[1][0], None], [held[2]] * 2)
 
 
 def _sorted_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -377,11 +388,11 @@ def _cluster_blocks() -> Column:
     return F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.col("n") * 8) / BLOCK_ARRAY_BYTES))
 
 
-def _open_links(tiles: DataFrame, star: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within the tiles that still hold several beside the member compared first."""
-    labelled = tiles.join(star, "signature").filter("doc_id <> least").select("signature", "doc_id")
-    labelled = labelled.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
+def _open_links(tiles: DataFrame, members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within the ``tiles`` that still hold several beside the member compared first."""
+    labels = members.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    labels = labels.select("doc_id", F.coalesce("component_id", "doc_id").alias("component"))
+    labelled = tiles.select("signature", "doc_id").join(labels, "doc_id")
     spread = labelled.groupBy("signature").agg(
         F.min("component").alias("a"), F.max("component").alias("b"),
         F.count("*").alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("content"),
@@ -411,22 +422,23 @@ def _join(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     )
     rows = described.filter("doc_id is not null").select(F.explode("signatures").alias("signature"), "doc_id")
     ordered = rows.repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id")
-    repeated = ordered.mapInArrow(_repeated, "signature long, doc_id long")
-    # Documents with the very same set are one member.
-    repeated = repeated.join(of_set.filter("doc_id = set_id").select("doc_id"), "doc_id", "left_semi")
-    tiles = materialize(repeated.select("signature", "doc_id").distinct(), "tiles")
-    star = tiles.groupBy("signature").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    star = materialize(star.select("signature", "least"), "stars")
-    tiles = materialize(tiles.join(star.select("signature"), "signature", "left_semi"), "tiles")
-    needed = tiles.select("doc_id").distinct()
+    tiles = materialize(ordered.mapInArrow(_repeated, "signature long, doc_id long, least long"), "tiles")
+    # Two rows a task at most, for signatures that several tasks hold.
+    split = tiles.filter("doc_id is null").groupBy("signature").agg(F.min("least").alias("over"))
+    tiles = tiles.filter("doc_id is not null").join(F.broadcast(split), "signature", "left")
+    tiles = tiles.select("signature", "doc_id", F.coalesce("over", "least").alias("least")).filter("doc_id <> least")
+    # Documents with the very same set are one member, the least of them; that of a tile is such a one.
+    members = of_set.filter("doc_id = set_id").select("doc_id")
+    pairs = tiles.select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
+    pairs = materialize(pairs.join(members.withColumnRenamed("doc_id", "u"), "u", "left_semi").select("u", "v"), "tile-pairs")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
     arrays = materialize(_sorted_sets(texts, words), "sorted-sets")
 
-    pairs = tiles.join(star, "signature").filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
     pairs = _filter_pairs(_both_sides(pairs, arrays, "bits"), "bits", percent)
     links = materialize(_filter_pairs(_both_sides(pairs, arrays, "hashes"), "hashes", percent), "links")
     joined = components(links)
-    more = materialize(_open_links(tiles, star, joined, arrays, percent), "links")
+    more = materialize(_open_links(tiles, members, joined, arrays, percent), "links")
     return of_set, components(links.unionByName(more)), arrays
 
 
