@@ -432,7 +432,8 @@ def _join(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     pairs = tiles.select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
     pairs = materialize(pairs.join(members.withColumnRenamed("doc_id", "u"), "u", "left_semi").select("u", "v"), "tile-pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
+    # Their number has no bound, so this join is a merge at every size.
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(needed.hint("merge"), "doc_id", "left_semi")
     arrays = materialize(_sorted_sets(texts, words), "sorted-sets")
 
     pairs = _filter_pairs(_both_sides(pairs, arrays, "bits"), "bits", percent)
