@@ -19,7 +19,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # What is dropped has no bound, so the join is a merge at every size.
+    return docs.join(dropped.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
