@@ -196,3 +196,57 @@ def test_contaminated_matches_containment(spark, docs):
         assert got[i] >= {k for k, item in items if item in " ".join(re.findall("[a-z0-9]+", (text or "").lower()))}
     assert decontamination.contaminated(docs("a"), benchmark.limit(0)).first()["contaminated"] is False
     assert decontamination.contaminated(docs("a").limit(0), benchmark).count() == 0
+
+
+def test_contaminated_as_every_passage_says(spark, docs):
+    """Both directions, with items kept in part, and no part of the index involved."""
+    rng = random.Random(11)
+    vocabulary = ["v" + str(i) for i in range(50)]
+    items = [rng.choices(vocabulary, k=rng.choice([1, 3, 5, 6, 12, 20, 40])) for _ in range(25)] + [["same"] * 9, ["one", "two"] * 6]
+    texts = []
+    for _ in range(150):
+        body = rng.choices(vocabulary, k=rng.randint(0, 150))
+        for _ in range(rng.randint(0, 2)):
+            item = list(rng.choice(items))
+            for _ in range(rng.randint(0, 2)):  # the longer ones are kept to 75 to 100 %
+                if len(item) > 1:
+                    item[rng.randrange(len(item))] = "other"
+            at = rng.randint(0, len(body))
+            body[at:at] = item
+        texts.append(" ".join(body))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["item_ids"], r["share"]) for r in decontamination.contaminated(docs(*texts), benchmark).collect()}
+    window = max(map(len, items))
+
+    def grams(words, n):
+        return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+    partly = 0
+    for i, text in enumerate(texts):
+        words, want = text.split(), {}
+        for k, item in enumerate(items):
+            n = min(5, len(item))
+            own, tail = grams(item, n), max(1, len(item) // 4)
+            cut = max(1, len(item) - tail - n + 1)
+            question, answer = set(own[:cut]), set(own[cut:] if len(own) > 1 else own)
+            for start in range(0, len(words), window):
+                there = set(grams(words[start : start + 2 * window], n))
+                share = len(set(own) & there) / len(set(own))
+                if 100 * len(set(own) & there) >= 80 * len(set(own)) and question & there and answer & there:
+                    want[k] = max(want.get(k, 0), share)
+        partly += any(share < 1 for share in want.values())
+        assert got[i] == (bool(want), sorted(want), max(want.values(), default=0.0))
+    assert partly > 5
+
+
+def test_items_of_one_id_or_none_all_count(spark, docs):
+    first, second, third = ("alpha beta gamma delta eps zeta", "un deux trois quatre cinq six", "eins zwei drei vier fuenf sechs")
+    benchmark = spark.createDataFrame([(7, first), (7, second), (None, third), (8, second), (8, second)], "item_id long, text string")
+    frame = docs("x " + first, "y " + second + " z", third, "none of them", (None, first), (3, "more " + third), extra="item_ids")
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["contaminated"], r["item_ids"]) for r in decontamination.contaminated(frame, benchmark).collect())
+    want = [(-1, True, [7]), (0, True, [7]), (1, True, [7, 8]), (2, True, []), (3, False, []), (3, True, [])]
+    assert got == want
+    left = decontamination.clean(frame, benchmark, index_bytes=40)
+    assert left.columns == frame.columns
+    assert [(r["doc_id"], r["text"]) for r in left.collect()] == [(3, "none of them")]
+    assert decontamination.clean(frame, benchmark.limit(0)).count() == frame.count()
