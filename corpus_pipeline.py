@@ -1,7 +1,9 @@
 """From raw documents to token ids: the stages of a training corpus, each written as Parquet and read again.
 
 A stage takes (spark, docs, sf_dir) and returns a frame with the columns of ``documents``; the last returns token ids.
-Rows without a doc_id pass every stage but the first, which only looks at their text.
+Rows are judged by their own text, also where a doc_id is null or repeats; of equal texts, rows without a doc_id go if one
+with it stays. Only the near-duplicate stage knows documents by doc_id: there, rows without one stay, and rows of one
+doc_id stay or go together.
 """
 
 from __future__ import annotations
@@ -30,7 +32,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts, the document with the largest doc_id."""
-    return _without(docs, exact_dedup.exact_groups(docs).filter(~F.col("kept")))
+    gone = exact_dedup.exact_groups(docs, digest=True).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct().hint("merge")
+    text = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text == gone["gone_text"]), "left_anti")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contaminated(docs, benchmark).filter("contaminated"))
+    return decontamination.clean(docs, benchmark)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
