@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from demandspark.session import materialize
+from demandspark.session import materialize, shared_dir
+
+
+class Scratch:
+    """Written tables of an operator's inner steps, each deleted once all that reads it is written too.
+
+    Like ``materialize`` they lie in the shared folder. Without this, the disk holds every step of an operator at once.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{label}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{label}")
+
+    def drop(self, *labels: str) -> None:
+        """Delete the named tables. Shuffle files of finished steps go when the JVM collects the plans that wrote them."""
+        jvm = self.spark.sparkContext._jvm
+        for label in labels:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{label}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

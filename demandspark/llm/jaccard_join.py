@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import components, map_batches, materialize, slices, text_bytes
+from demandspark.llm.common import Scratch, components, map_batches, materialize, slices, text_bytes
 from demandspark.llm.shingles import U64, mix, shingle_sets
 
 BAND_RATIO = 1.35
@@ -388,7 +388,7 @@ def _cluster_blocks() -> Column:
     return F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.col("n") * 8) / BLOCK_ARRAY_BYTES))
 
 
-def _open_links(tiles: DataFrame, members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_links(tiles: DataFrame, members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between different components within the ``tiles`` that still hold several beside the member compared first."""
     labels = members.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     labels = labels.select("doc_id", F.coalesce("component_id", "doc_id").alias("component"))
@@ -399,21 +399,22 @@ def _open_links(tiles: DataFrame, members: DataFrame, joined: DataFrame, sets: D
     ).filter("a <> b")
     # Of tiles with the very same members one is enough.
     one = spread.groupBy("members", "content").agg(F.min("signature").alias("signature")).select("signature")
-    opened = materialize(labelled.join(one, "signature", "left_semi"), "open-tiles")
+    opened = scratch.write(labelled.join(one, "signature", "left_semi"), "open-tiles")
     mapped = opened.join(sets.select("doc_id", "n", "bits"), "doc_id")
     tile_blocks = _in_blocks(mapped, "signature", F.ceil(F.count("*") / TILE_MEMBERS))
     near = tile_blocks.groupBy("signature", "i", "j").applyInPandas(_tile_bounds(percent), "u long, v long")
     # Components that may link form clusters; in these every set is carried once, not once a tile.
     cluster = components(near).withColumnRenamed("id", "component").withColumnRenamed("component_id", "cluster")
     members = opened.select("doc_id", "component").distinct().join(cluster, "component")
-    members = materialize(members.join(sets.select("doc_id", "n", "hashes"), "doc_id"), "open-members")
+    members = scratch.write(members.join(sets.select("doc_id", "n", "hashes"), "doc_id"), "open-members")
     dealt = _in_blocks(members, "cluster", _cluster_blocks())
     return dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 
 def _join(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The set of each document (doc_id, n_shingles, set_id), the components of linked sets (id, component_id), sorted arrays."""
-    described = materialize(_describe(documents, words, percent), "described")
+    scratch = Scratch(documents.sparkSession)
+    described = scratch.write(_describe(documents, words, percent), "described")
     sets = described.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("set_id"))
     of_set = materialize(
         described.select("doc_id", "n_shingles", "key_a", "key_b").join(sets, ["key_a", "key_b"], "left")
@@ -422,7 +423,8 @@ def _join(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     )
     rows = described.filter("doc_id is not null").select(F.explode("signatures").alias("signature"), "doc_id")
     ordered = rows.repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id")
-    tiles = materialize(ordered.mapInArrow(_repeated, "signature long, doc_id long, least long"), "tiles")
+    tiles = scratch.write(ordered.mapInArrow(_repeated, "signature long, doc_id long, least long"), "tiles")
+    scratch.drop("described")
     # Two rows a task at most, for signatures that several tasks hold.
     split = tiles.filter("doc_id is null").groupBy("signature").agg(F.min("least").alias("over"))
     tiles = tiles.filter("doc_id is not null").join(F.broadcast(split), "signature", "left")
@@ -430,16 +432,19 @@ def _join(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     # Documents with the very same set are one member, the least of them; that of a tile is such a one.
     members = of_set.filter("doc_id = set_id").select("doc_id")
     pairs = tiles.select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
-    pairs = materialize(pairs.join(members.withColumnRenamed("doc_id", "u"), "u", "left_semi").select("u", "v"), "tile-pairs")
+    pairs = scratch.write(pairs.join(members.withColumnRenamed("doc_id", "u"), "u", "left_semi").select("u", "v"), "tile-pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     # Their number has no bound, so this join is a merge at every size.
     texts = documents.select(F.col("doc_id").cast("long"), "text").join(needed.hint("merge"), "doc_id", "left_semi")
     arrays = materialize(_sorted_sets(texts, words), "sorted-sets")
+    scratch.drop()  # the shuffled texts
 
     pairs = _filter_pairs(_both_sides(pairs, arrays, "bits"), "bits", percent)
     links = materialize(_filter_pairs(_both_sides(pairs, arrays, "hashes"), "hashes", percent), "links")
     joined = components(links)
-    more = materialize(_open_links(tiles, members, joined, arrays, percent), "links")
+    scratch.drop("tile-pairs")
+    more = materialize(_open_links(tiles, members, joined, arrays, percent, scratch), "links")
+    scratch.drop("tiles", "open-tiles", "open-members")
     return of_set, components(links.unionByName(more)), arrays
 
 
