@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-PAGES = 400
+PAGES = 800
 _SYLLABLES = "an be co da el fi go hu in ka lo me na or pe qui ra so tu ve".split()
 
 
@@ -33,6 +33,14 @@ class _Writer:
     def named(self, *names: str) -> str:
         return f'{self.pick("class", "class", "id")}="{self.pick(*names)}"'
 
+    def unknown(self) -> str:
+        """Names no page has twice, or none: what bears them must be told by its place."""
+        return self.pick("", f'class="{self.words(1, 2).replace(" ", "")}"')
+
+    def sentences(self, most: int) -> str:
+        """One to ``most`` paragraphs, as long as those of an article."""
+        return "".join(f"<p>{self.words(4, 60)}</p>" for _ in range(self.random.randint(1, most)))
+
     def paragraph(self) -> str:
         text = self.words(1, 8) if self.chance(0.2) else self.words(15, 120)
         if self.chance(0.3):
@@ -42,6 +50,8 @@ class _Writer:
         return f"<p>{text}" + ("</p>" if self.chance(0.9) else "")
 
     def article(self) -> str:
+        if self.chance(0.1):
+            return f"<p>{self.words(1, 6)}</p>"
         parts = [f"<h1>{self.words(2, 10)}</h1>"] if self.chance(0.7) else []
         for _ in range(self.random.randint(0, 9)):
             kind = self.random.random()
@@ -70,6 +80,7 @@ class _Writer:
             f'<div {self.named("share", "social-links", "sharing")} data-main="0"><ul>{self.links(2, 5)}</ul></div>',
             f'<div {self.named("ad", "ads", "advert", "advertisement", "ad-slot")} data-main="0">{self.words(3, 30)}</div>',
             f'<aside {self.named("related", "related-posts", "promo")} data-main="0"><h3>{self.words(1, 3)}</h3><ul>{self.links(2, 6)}</ul></aside>',
+            f'<aside {self.unknown()} data-main="0">{self.sentences(8)}</aside>',
             f'<form action="/s" data-main="0"><label>{self.words(1, 3)}</label><input name="e"><p>{self.words(3, 12)}</p></form>',
             self.comments(),
         )
@@ -81,6 +92,10 @@ class _Writer:
             f'<{inner} class="{self.pick("comment", "comment-body", "reply", "comment depth")}"><p>{self.words(3, 60)}</p></{inner}>'
             for _ in range(self.random.randint(1, 5))
         )
+        if self.chance(0.4):  # nothing but the place tells
+            name = self.unknown()
+            each = "".join(f"<div {name}><p>{self.words(3, 60)}</p></div>" for _ in range(self.random.randint(1, 5)))
+            return f'<section {self.unknown()} data-main="0"><h3>{self.words(1, 2)}</h3>{each}</section>'
         return f'<{tag} {self.named("comments", "commentlist", "comment-list", "disqus-thread comments", "reader-comments")} data-main="0"><h3>{self.words(1, 2)}</h3>{each}</{tag}>'
 
     def other(self) -> str:
@@ -90,8 +105,9 @@ class _Writer:
             f'<nav data-main="0"><ul>{self.links(2, 9)}</ul></nav>',
             f'<header data-main="0"><div {self.named("logo", "brand", "site-title")}>{self.words(1, 4)}</div></header>',
             f'<div {self.named("header", "masthead", "site-header", "banner")} data-main="0">{self.words(1, 12)}</div>',
-            f'<aside data-main="0"><h3>{self.words(1, 3)}</h3><p>{self.words(5, 50)}</p></aside>',
-            f'<div {self.named("sidebar", "side-bar", "widget", "widget-area")} data-main="0"><h4>{self.words(1, 3)}</h4><p>{self.words(4, 40)}</p><ul>{self.links(2, 8)}</ul></div>',
+            f'<aside {self.unknown()} data-main="0"><h3>{self.words(1, 3)}</h3>{self.sentences(12)}</aside>',
+            f'<aside {self.unknown()} data-main="0">{self.pick("<div>|</div>", "|").replace("|", self.sentences(12))}</aside>',
+            f'<div {self.named("sidebar", "side-bar", "widget", "widget-area")} data-main="0"><h4>{self.words(1, 3)}</h4>{self.sentences(6)}<ul>{self.links(2, 8)}</ul></div>',
             f'<div {self.named("ad", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad")} data-main="0">{self.words(2, 40)}</div>',
             f'<div {self.named("cookie-notice", "cookie-banner", "notice", "consent", "newsletter", "popup", "gdpr", "alert")} data-main="0"><p>{self.words(4, 40)}</p></div>',
             f'<form {self.named("search", "search-form", "login", "subscribe")} data-main="0"><label>{self.words(1, 4)}</label><input name="q"><p>{self.words(2, 20)}</p></form>',
@@ -112,12 +128,13 @@ class _Writer:
             return f'<html><body data-main="1">{"".join(others[:1])}{self.article()}{"".join(others[1:])}{self.footer()}</body></html>'
         before = "".join(self.other() for _ in range(self.random.randint(1, 4)))
         after = "".join(self.other() for _ in range(self.random.randint(0, 2)))
-        comments = self.comments() if self.chance(0.35) else ""
+        comments = self.comments() if self.chance(0.5) else ""
         opening, closing = self.pick(
             "<article>|</article>", "<article>|</article>", "<main>|</main>", "<main><article>|</article></main>",
             f'<div {self.named("content", "main", "main-content", "post", "entry-content", "article-body", "story")}>|</div>',
             f'<section {self.named("content", "article", "post", "entry")}>|</section>',
             f'<div {self.named("wrapper", "container", "page")} data-main="0"><article data-main="1">|</article></div>',
+            f"<article {self.unknown()}>|</article>", f"<div {self.unknown()}>|</div>",
             '<div>|</div>', '<div role="main">|</div>',
         ).split("|")
         if "data-main" not in opening:

@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every structural element is a node with the hidden state *content* or *other*. Node potentials come from its tag, the
-words of its class, id and role, and the amount and link share of its text; parent-child potentials tie each node to the
+words of its class, id and role, the amount and link share of its text, the sectioning element around it, its place
+towards the page's articles, and how many siblings bear its names; parent-child potentials tie each node to the
 element around it. Messages pass from the leaves to the root and back (sum-product), which gives each node's exact
 marginal on the tree; the text of nodes that are content with a probability above one half is the main text. The potentials are
 smoothed counts over labelled pages (``html_pages``). Inline elements are part of the text around them, not nodes.
@@ -176,8 +177,36 @@ def parse(source: str) -> Page:
     return page
 
 
+# Elements that tell what the elements inside them are for.
+SECTIONS = frozenset("article aside footer form header main nav section".split())
+ASIDE = frozenset("aside footer form header nav".split())
+
+
 def _size(chars: int) -> int:
-    return 0 if chars == 0 else min(8, 1 + int(math.log2(chars) / 1.5))
+    """Steps of text amount; beyond about a sentence, more text says nothing: sidebars may be long and articles short."""
+    return 0 if chars == 0 else min(4, 1 + int(math.log2(chars) / 1.5))
+
+
+def _places(page: Page) -> tuple[list[str], list[str]]:
+    """For each node the nearest sectioning element around it, and whether it is in an article, holds one or stands beside."""
+    n = len(page.tag)
+    within, depth, aside = ["-"] * n, [0] * n, [False] * n
+    inside, holds = [False] * n, [False] * n
+    for k in range(1, n):
+        p = page.parent[k]
+        within[k] = page.tag[p] if page.tag[p] in SECTIONS else within[p]
+        depth[k], aside[k] = depth[p] + 1, aside[p] or page.tag[k] in ASIDE
+    # Comments and teasers may be articles too; the page's own are those that lie least deep.
+    articles = [k for k in range(n) if page.tag[k] in ("article", "main") and not aside[k]]
+    least = min((depth[k] for k in articles), default=-1)
+    own = {k for k in articles if depth[k] == least}
+    for k in range(1, n):
+        inside[k] = k in own or (inside[page.parent[k]] and page.tag[k] not in ("aside", "footer", "form", "nav"))
+    for k in range(n - 1, 0, -1):
+        holds[page.parent[k]] = holds[page.parent[k]] or holds[k] or inside[k]
+    if not any(inside):
+        return within, ["none"] * n
+    return within, ["in" if i else "holds" if h else "beside" for i, h in zip(inside, holds, strict=True)]
 
 
 def features(page: Page) -> list[list[str]]:
@@ -187,10 +216,15 @@ def features(page: Page) -> list[list[str]]:
     for k in range(n - 1, 0, -1):
         chars[page.parent[k]] += chars[k]
         links[page.parent[k]] += links[k]
+    within, place = _places(page)
+    kin = Counter((page.parent[k], page.tag[k], *page.names[k]) for k in range(n) if page.names[k])
     out = []
     for k in range(n):
         share = links[k] * 4 // chars[k] if chars[k] else -1
-        out.append([f"tag={page.tag[k]}", f"size={_size(page.chars[k])}", f"links={share}", *(f"name={w}" for w in dict.fromkeys(page.names[k]))])
+        alike = min(3, kin[page.parent[k], page.tag[k], *page.names[k]])
+        shown = [f"tag={page.tag[k]}", f"size={_size(page.chars[k])}", f"links={share}", f"within={within[k]}", f"place={place[k]}"]
+        shown += [f"alike={alike}"] if alike > 1 else []
+        out.append(shown + [f"name={w}" for w in dict.fromkeys(page.names[k])])
     return out
 
 
@@ -280,8 +314,8 @@ def main_text(source: str, model: TreeModel) -> str:
 def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text (empty if there is none), n_chars (code points).
 
-    A null or empty html has no text; any null id or url is kept; repeated rows are extracted each; other columns are
-    ignored; an empty table gives an empty result.
+    A null or empty html has no text; a page of any length is read whole; any null id or url is kept; repeated rows are
+    extracted each; other columns are ignored; an empty table gives an empty result.
     """
     model = model or trained()
 

@@ -333,3 +333,30 @@ def test_page_text(spark):
 @pytest.mark.parametrize("source", ["<", "<<<>>", "a<b c", '<div class="x', "</", "<!-- x", "<![CDATA[x]]>", "<p>" * 3000, "<script>x", "&" * 1000])
 def test_broken_pages(source):
     assert isinstance(html_text.main_text(source, html_text.trained()), str)
+
+
+def _prose(n, seed=3):
+    rng = random.Random(seed)
+    return " ".join(" ".join(rng.choices(["river", "stone", "light", "under", "walked", "quiet", "morning", "paper"], k=12)).capitalize() + "." for _ in range(n))
+
+
+# Layouts written by hand, not by the maker of the labelled pages; "@" stands for the article, "#" for long other text.
+LAYOUTS = [
+    "<body><nav><a href=/>Home</a></nav><article>@</article><aside><p>#</p></aside><footer>end</footer></body>",
+    "<body><aside>#</aside><article>@</article></body>",
+    "<body><aside><h3>More</h3><p>#</p><p>#</p></aside><article>@</article><footer><p>#</p></footer></body>",
+    "<body><header><p>#</p></header><main><article>@</article></main><aside class=zzqx><div><p>#</p></div></aside></body>",
+    "<body><div id=page><main>@</main><section class=qwrt><h2>Say</h2><div class=qq><p>#</p></div><div class=qq><p>#</p></div></section></div></body>",
+    "<body><div><div><nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav></div><article>@<aside><p>#</p></aside></article></div></body>",
+    "<body><article>@</article><section class=xk><article class=comment><p>#</p></article><article class=comment><p>#</p></article></section></body>",
+    "<body><div class=content>@</div><div class=sidebar><p>#</p></div></body>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("sentences", [1, 8, 12])
+@pytest.mark.parametrize("paragraphs", [0, 1, 3])
+def test_long_sidebars_and_short_articles(layout, sentences, paragraphs):
+    parts = [_prose(4, k) for k in range(paragraphs)] or ["Short."]
+    source = layout.replace("#", _prose(sentences, 77)).replace("@", "".join(f"<p>{p}</p>" for p in parts))
+    assert html_text.main_text(source, html_text.trained()) == " ".join(parts)
