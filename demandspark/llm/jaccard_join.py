@@ -41,8 +41,10 @@ BAND_RATIO = 1.35
 TILE_MEMBERS = 1024
 BLOCK_MEMBERS = 512
 BLOCK_ARRAY_BYTES = 8 << 20
-# Shingles of a slice of an incidence matrix.
+# Shingles of a slice of an incidence matrix, bits of a slice of bitmaps, and pairs bounded at once.
 SLICE_SHINGLES = 4096
+SLICE_BITS = 4096
+PAIRS_AT_ONCE = 1 << 18
 # A set of n shingles is mapped to the next power of two of 2n bits.
 BITS_PER_SHINGLE = 2
 
@@ -265,16 +267,25 @@ class _Joined:
         self.parent[max(a, b)] = min(a, b)
 
 
-def _may_link(flags: np.ndarray, size: np.ndarray, group: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
+def _common_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each pair of bitmaps of two lists, how many bits are set in both; bits are unpacked in slices."""
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, left.shape[1], SLICE_BITS // 8):
+        a, b = (np.unpackbits(maps[:, at : at + SLICE_BITS // 8], axis=1).astype(np.float32) for maps in (left, right))
+        both += a @ b.T
+    return both
+
+
+def _may_link(maps: np.ndarray, size: np.ndarray, group: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of a pair of blocks, in different components, whose bit counts let them reach the threshold."""
     block, component = group["block"].to_numpy(), group["component"].to_numpy()
     left, right = int(group["i"].iloc[0]), int(group["j"].iloc[0])
     rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    count = flags.sum(axis=1)
-    step = max(1, (1 << 20) // max(1, len(cols)))
+    count = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(cols)))
     for at in range(0, len(rows), step):
         r = rows[at : at + step]
-        both = flags[r] @ flags[cols].T
+        both = _common_bits(maps[r], maps[cols])
         bound = np.minimum(size[r][:, None] - (count[r][:, None] - both), size[cols] - (count[cols] - both))
         may = (100 * bound >= percent * (size[r][:, None] + size[cols] - bound)) & (component[r][:, None] != component[cols])
         if left == right:
@@ -288,10 +299,10 @@ def _tile_bounds(percent: int):
         """Components that the bit counts of a tile's pairs let link, as edges that span them."""
         maps = [np.frombuffer(b, np.uint8) for b in group["bits"]]
         width = min(map(len, maps))
-        flags = np.unpackbits(np.stack([fold(m, width) for m in maps]), axis=1).astype(np.float32)
+        maps = np.stack([fold(m, width) for m in maps])
         component = group["component"].tolist()
         joined, found = _Joined(component), []
-        for a, b in _may_link(flags, group["n"].to_numpy(), group, percent):
+        for a, b in _may_link(maps, group["n"].to_numpy(), group, percent):
             ra, rb = joined.root(component[a]), joined.root(component[b])
             if ra != rb:
                 joined.join(ra, rb)
@@ -307,12 +318,10 @@ def _block_links(percent: int):
         sets = [np.frombuffer(h, U64) for h in group["hashes"]]
         size = group["n"].to_numpy()
         bits = max(1 << 10, bitmap_bits(4 * int(np.median(size))))
-        flags = np.zeros((len(sets), bits), dtype=np.float32)
-        for k, s in enumerate(sets):
-            flags[k, (s & U64(bits - 1)).astype(np.int64)] = 1
+        maps = np.stack([bitmap(s, bits) for s in sets])
         component = group["component"].tolist()
         joined, found = _Joined(component), []
-        for a, b in _may_link(flags, size, group, percent):
+        for a, b in _may_link(maps, size, group, percent):
             ra, rb = joined.root(component[a]), joined.root(component[b])
             if ra != rb and reaches(overlap(sets[a], sets[b]), int(size[a]), int(size[b]), percent):
                 joined.join(ra, rb)

@@ -118,6 +118,13 @@ def test_bit_counts_bound_the_overlap():
         assert jaccard_join.overlap_bound(len(a), len(b), *maps) >= jaccard_join.overlap(a, b)
 
 
+def test_common_bits_of_wide_bitmaps():
+    rng = np.random.default_rng(5)
+    left, right = (rng.integers(0, 256, (k, 3 * jaccard_join.SLICE_BITS // 8 + 8), dtype=np.uint8) for k in (5, 7))
+    direct = [[int(np.bitwise_count(a & b).sum()) for b in right] for a in left]
+    assert jaccard_join._common_bits(left, right).tolist() == direct
+
+
 def test_shingle_counts_across_blocks():
     texts = ["a b c d e f", None, "", "x" * 3_000_000 + " y", "B a b A"] * 2
     assert [len(s) for s in shingle_sets([(t or "").encode() for t in texts], 4)] == [3, 0, 0, 1, 1] * 2
