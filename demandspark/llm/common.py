@@ -41,10 +41,25 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-# Arrow batches are worked on in slices of about so many bytes, which bounds what a task holds beside the batch.
+# Arrow batches of whole texts are cut by Spark at about so many bytes, which bounds what the JVM and the worker hold of one
+# task; they are worked on in slices of about so many bytes, which bounds what a task holds beside the batch.
+BATCH_BYTES = 15 << 19
 SLICE_BYTES = 4 << 20
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches from now on hold at most BATCH_BYTES, or less where less is set.
+
+    The bound on rows alone (10,000) lets a batch of texts grow to tens of megabytes, which are held as often by buffers
+    that double while they are filled. No result depends on the setting.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    if conf.arrowMaxBytesPerBatch() > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about ``limit`` bytes."""
     rows = max(1, batch.num_rows * limit // max(limit, batch.nbytes))
@@ -61,7 +76,7 @@ def map_batches(
         for batch in batches:
             yield from map(per_batch, slices(batch, limit))
 
-    return df.mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(run, schema)
 
 
 def _star(edges: DataFrame, centre: str, leaf: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import Scratch, components, map_batches, materialize, slices, text_bytes
+from demandspark.llm.common import Scratch, bound_batches, components, map_batches, materialize, slices, text_bytes
 from demandspark.llm.shingles import U64, mix, shingle_sets
 
 BAND_RATIO = 1.35
@@ -168,7 +168,7 @@ def _describe(documents: DataFrame, words: int, percent: int) -> DataFrame:
                 ["doc_id", "n_shingles", "key_a", "key_b", "signatures"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return bound_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, key_a long, key_b long, signatures array<long>"
     )
 

@@ -9,9 +9,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from demandspark.llm import bpe, token_store, tokenization, wordwise
+from demandspark.llm.common import BATCH_BYTES, map_batches
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -159,3 +161,13 @@ def test_index_is_minimal_and_perfect():
     assert (index.offsets[index.slots(keys)] == ids).all()
     absent = token_store.hashed_keys(ids + 1, np.zeros(5000, np.int64))
     assert (index.slots(absent) >= 0).sum() == 0
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    long_texts = spark.range(40, numPartitions=1).select(F.repeat(F.lit("word "), 100_000).alias("text"))
+
+    def per_batch(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    sizes = [r["n"] for r in map_batches(long_texts, per_batch, "n long", 1 << 30).collect()]
+    assert sum(sizes) >= 20_000_000 and max(sizes) <= BATCH_BYTES + 600_000
