@@ -1,8 +1,9 @@
 """Point-in-time zone-hour features: as of each date (training) and frozen at the fold start (test).
 
 Both results are dense by definition (one row per zone and hour).  The hours come from a calendar
-whose length is bounded by the study period.  Only observed rows and one row per zone are shuffled:
-the silent hours are made after the placement by zone, which also serves all windows.
+whose length is bounded by the study period.  Only observed rows are shuffled, sorted and held: a zone
+is one row with its observed hours until the end, where its silent hours are made as they are read, so
+that a task's memory follows the observed rows and not the dense ones.
 
 The two modes differ on purpose, as the published study does: training history is everything before
 the row's own date and its weekly means count silent weeks as zero; test history ends at the fold
@@ -33,7 +34,6 @@ TARGET = "target_gross_spend"
 # Latest date that each source of a row's features has seen.
 HISTORY_DATES = ("last_daily_date", "last_slot_date", "last_week_date", "last_trailing_date")
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-PANEL_KEY = ["fold", "PULocationID", "pickup_date", "pickup_hour"]
 
 
 def _weighted(column: str) -> Column:
@@ -65,99 +65,103 @@ def training_panel(
     """
     day, last_start = F.col("pickup_date"), max(f.start for f in data.folds)
     history = data.frame.filter(day < F.lit(last_start))
-    calendar = observed_hours(history).agg(
-        F.sort_array(F.collect_list(F.struct("pickup_date", "pickup_hour"))).alias("hours")
-    )
-    zones = history.groupBy("PULocationID").agg(
-        F.min(day).alias("first_date"), F.bool_or("is_airport").alias("is_airport")
-    )
-    zero = F.lit(0.0)
-    silent = zones.select(
-        "PULocationID",
-        "first_date",
-        "is_airport",
-        F.lit(None).cast("date").alias("seen_date"),
-        F.lit(None).cast("int").alias("seen_hour"),
-        F.lit(0).cast("bigint").alias("trips"),
-        zero.alias("spend"),
-        zero.alias("minutes"),
-        zero.alias("miles"),
-    )
-    active = history.select(
-        "PULocationID",
-        F.lit(None).cast("date").alias("first_date"),
-        F.lit(None).cast("boolean").alias("is_airport"),
-        F.col("pickup_date").alias("seen_date"),
-        F.col("pickup_hour").alias("seen_hour"),
-        "trips",
-        F.col("gross_passenger_spend").alias("spend"),
-        _weighted("avg_trip_duration_min").alias("minutes"),
-        _weighted("avg_trip_distance_miles").alias("miles"),
-    )
-    # Placed by zone once: the aggregation and both windows below need no further shuffle.  A zone's own row
-    # becomes its silent hours only where it lands.
-    seen = F.array(F.struct(F.col("seen_date").alias("pickup_date"), F.col("seen_hour").alias("pickup_hour")))
-    panel = (
-        silent.unionByName(active)
-        .repartition("PULocationID")
-        .select("*", F.inline(F.when(F.col("seen_date").isNull(), calendar.scalar()).otherwise(seen)))
+
+    # Placed by zone once: the aggregations and both windows below need no further shuffle.  Only observed hours are
+    # summed, sorted and kept; the hours in between are made from them at the end, one zone after the other.
+    sums = {
+        "trips": F.sum("trips"),
+        "spend": F.sum("gross_passenger_spend"),
+        "minutes": F.sum(_weighted("avg_trip_duration_min")),
+        "miles": F.sum(_weighted("avg_trip_distance_miles")),
+    }
+    active = (
+        history.repartition("PULocationID")
         .groupBy("PULocationID", "pickup_date", "pickup_hour")
         .agg(
-            F.max("first_date").alias("first_date"),
             F.bool_or("is_airport").alias("is_airport"),
-            *[F.sum(c).alias(c) for c in ("trips", "spend", "minutes", "miles")],
+            *[F.coalesce(total, F.lit(0)).alias(name) for name, total in sums.items()],
         )
         .withColumns({"dow": F.weekday(day), "epoch_day": epoch_day(day)})
     )
-
     by_zone = W.partitionBy("PULocationID").orderBy("epoch_day")
-    earlier_days = by_zone.rangeBetween(W.unboundedPreceding, -1)
     by_slot = W.partitionBy("PULocationID", "dow", "pickup_hour").orderBy("epoch_day")
-    earlier_slots = by_slot.rangeBetween(W.unboundedPreceding, -1)
-    week_ago = by_slot.rangeBetween(-7, -7)
-    trailing = by_slot.rangeBetween(-7 * WEEKS_BACK, -7)
-
-    def before(column: str, window) -> Column:
-        return F.coalesce(F.sum(column).over(window), F.lit(0))
-
-    history_columns = {f"prior_{c}": before(c, earlier_days) for c in ("trips", "spend", "minutes", "miles")}
-    if with_history_date:
-        windows = (earlier_days, earlier_slots, week_ago, trailing)
-        history_columns |= {n: F.max("pickup_date").over(w) for n, w in zip(HISTORY_DATES, windows, strict=True)}
-    panel = panel.withColumns(history_columns)
-    panel = panel.withColumns(
-        {
-            "matching_dow_hour_trips": before("trips", earlier_slots),
-            "matching_dow_hour_spend": before("spend", earlier_slots),
-            "same_hour_last_week_trips": F.sum("trips").over(week_ago),
-            "trailing_4_week_trips": F.avg("trips").over(trailing),
-            "trailing_4_week_spend": F.avg("spend").over(trailing),
-        }
+    so_far = active.withColumns({f"day_{c}": F.sum(c).over(by_zone.rangeBetween(W.unboundedPreceding, 0)) for c in sums})
+    so_far = so_far.withColumns(
+        {f"slot_{c}": F.sum(c).over(by_slot.rangeBetween(W.unboundedPreceding, 0)) for c in ("trips", "spend")}
+    )
+    date, hour = day.alias("date"), F.col("pickup_hour").alias("hour")
+    zones = so_far.groupBy("PULocationID").agg(
+        F.min(day).alias("first_date"),
+        F.bool_or("is_airport").alias("is_airport"),
+        F.collect_set(F.struct(date, *[f"day_{c}" for c in sums])).alias("past_days"),
+        F.collect_list(F.struct(date, hour, "dow", "trips", "spend", "slot_trips", "slot_spend")).alias("cells"),
     )
 
-    first_day = history.agg(F.min("pickup_date")).scalar()
-    mature = panel.filter(day >= F.date_add(first_day, min_history_days))
-    dealt = mature.select(
-        "*",
-        F.inline(
-            F.filter(training_folds(day, data.folds), lambda f: F.col("first_date") < f["fold_start"])
+    # A week counts as silent where the hour was observed at all, so their number depends on the calendar alone.
+    hours = observed_hours(history).withColumns({"dow": F.weekday(day), "epoch_day": epoch_day(day)})
+    same_slot = W.partitionBy("dow", "pickup_hour").orderBy("epoch_day")
+    weeks = F.count(F.lit(1)).over(same_slot.rangeBetween(-7 * WEEKS_BACK, -7))
+    mature = hours.withColumn("n_weeks", weeks).filter(
+        day >= F.date_add(history.agg(F.min("pickup_date")).scalar(), min_history_days)
+    )
+    by_date = mature.groupBy("pickup_date").agg(F.collect_list(F.struct("pickup_hour", "n_weeks")).alias("hours"))
+    calendar = by_date.agg(F.collect_list(F.struct("pickup_date", "hours")))
+
+    days = zones.select("*", F.inline(calendar.scalar())).select(
+        "PULocationID",
+        "pickup_date",
+        "is_airport",
+        "hours",
+        F.filter(training_folds(day, data.folds), lambda f: F.col("first_date") < f["fold_start"]).alias("folds"),
+        F.array_max(F.filter("past_days", lambda c: c["date"] < day)).alias("past"),
+        F.filter("cells", lambda c: (c["dow"] == F.weekday(day)) & (c["date"] <= day)).alias("cells"),
+    )
+    in_slot = F.transform(
+        "hours",
+        lambda h: F.struct(
+            h["pickup_hour"].alias("pickup_hour"),
+            h["n_weeks"].alias("n_weeks"),
+            F.filter("cells", lambda c: c["hour"] == h["pickup_hour"]).alias("slot"),
         ),
     )
-    named = dealt.withColumns(
+    dense = days.select("PULocationID", "pickup_date", "is_airport", "folds", "past", F.inline(in_slot)).select(
+        "*",
+        F.get(F.filter("slot", lambda c: c["date"] == day), F.lit(0))["spend"].alias("own_spend"),
+        F.array_max(F.filter("slot", lambda c: c["date"] < day)).alias("earlier"),
+        F.get(F.filter("slot", lambda c: c["date"] == F.date_sub(day, 7)), F.lit(0)).alias("week_ago"),
+        F.filter(
+            "slot", lambda c: c["date"].between(F.date_sub(day, 7 * WEEKS_BACK), F.date_sub(day, 7))
+        ).alias("recent"),
+    )
+
+    def recent_mean(column: str) -> Column:
+        total = F.aggregate("recent", F.lit(0.0), lambda total, c: total + c[column])
+        return ratio(total, F.col("n_weeks"))
+
+    dates = (F.col("past.date"), F.col("earlier.date"), F.col("week_ago.date"), F.array_max("recent")["date"])
+    extra = [d.alias(n) for n, d in zip(HISTORY_DATES, dates, strict=True)] if with_history_date else []
+    named = dense.withColumns(
         {
             "hour": F.col("pickup_hour"),
-            "day_of_week": F.col("dow"),
-            "is_weekend": (F.col("dow") >= 5).cast("int"),
+            "day_of_week": F.weekday(day),
+            "is_weekend": (F.weekday(day) >= 5).cast("int"),
             "is_airport": F.col("is_airport").cast("int"),
             **_history_columns(
-                F.col("prior_trips"), F.col("prior_spend"), F.col("prior_minutes"), F.col("prior_miles")
+                *[F.coalesce(F.col(f"past.day_{c}"), F.lit(0)) for c in ("trips", "spend", "minutes", "miles")]
             ),
+            "matching_dow_hour_trips": F.col("earlier.slot_trips"),
+            "matching_dow_hour_spend": F.col("earlier.slot_spend"),
+            "same_hour_last_week_trips": F.col("week_ago.trips"),
+            "trailing_4_week_trips": recent_mean("trips"),
+            "trailing_4_week_spend": recent_mean("spend"),
         }
     )
-    extra = HISTORY_DATES if with_history_date else []
-    return named.select(
-        *PANEL_KEY, *_model_inputs(), finite_or_zero(F.col("spend")).alias(TARGET), *extra
-    )
+    made = named.select(
+        "PULocationID", "pickup_date", "pickup_hour", "folds", *_model_inputs(),
+        finite_or_zero(F.col("own_spend")).alias(TARGET), *extra,
+    )
+    columns = [c for c in made.columns if c != "folds"]
+    return made.select(*columns, F.inline("folds")).select("fold", *columns)
 
 
 def frozen_features(data: RankingInput, with_history_date: bool = False) -> DataFrame:

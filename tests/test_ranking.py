@@ -1,5 +1,6 @@
 """Baseline rankings, their metrics and the feature tables, against direct loops."""
 
+import re
 from collections import defaultdict
 from datetime import timedelta
 
@@ -243,3 +244,12 @@ def test_learned_gain(spark):
     assert found["all"]["best_baseline"] == "a" and found["all"]["gain"] == pytest.approx(0.2)
     assert found["1"]["gain"] == pytest.approx(0.4) and found["2"]["gain"] == pytest.approx(0.0)
     assert checks.beats_baselines(learned, base).collect()[0]["passed"]
+
+
+@pytest.mark.parametrize("build", [features.training_panel])
+def test_dense_rows_are_made_last(case, build):
+    """Nothing above the generators of days and hours sorts, groups or joins, so a task holds no dense rows."""
+    text = build(case[1])._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"^ *\+- (?:\*\(\d+\) )?(\w+)", text, re.MULTILINE)
+    held = next(n for n, node in enumerate(nodes) if re.search("Aggregate|Window|Sort|Join|Exchange", node))
+    assert nodes[:held].count("Generate") >= 2
