@@ -22,7 +22,6 @@ from demandspark.config import MIN_HISTORY_DAYS, RANKER_INPUTS, WEEKS_BACK
 from demandspark.functions.columns import epoch_day, finite_or_zero, ratio, training_folds
 from demandspark.operators.medians import summary_with_quantiles
 from demandspark.operators.ranking import (
-    HOUR_KEY,
     RankingInput,
     observed_hours,
     target_hours,
@@ -166,62 +165,80 @@ def training_panel(
 
 def frozen_features(data: RankingInput, with_history_date: bool = False) -> DataFrame:
     """Features of every candidate zone at every test hour, from the fold's training rows alone."""
-    targets = target_hours(data)
-    train = train_frame(data)
-    totals = train.groupBy("fold", "PULocationID").agg(
-        F.bool_or("is_airport").alias("is_airport"),
-        F.max("pickup_date").alias("last_daily_date"),
-        F.sum("trips").alias("trips"),
-        F.sum("gross_passenger_spend").alias("spend"),
-        F.sum(_weighted("avg_trip_duration_min")).alias("minutes"),
-        F.sum(_weighted("avg_trip_distance_miles")).alias("miles"),
-    )
+    placed = ["fold", "PULocationID"]
+    # A zone's slots and weeks stay one row for the zone; they become its test hours at the end, without a shuffle.
     slots = (
-        train.groupBy("fold", "dow", "pickup_hour", "PULocationID")
+        train_frame(data)
+        .repartition(*placed)
+        .groupBy(*placed, "dow", "pickup_hour")
         .agg(
-            F.sum("trips").alias("matching_dow_hour_trips"),
-            F.sum("gross_passenger_spend").alias("matching_dow_hour_spend"),
-            F.max("pickup_date").alias("last_slot_date"),
+            F.bool_or("is_airport").alias("is_airport"),
+            F.max("pickup_date").alias("last_date"),
+            F.sum("trips").alias("trips"),
+            F.sum("gross_passenger_spend").alias("spend"),
+            F.sum(_weighted("avg_trip_duration_min")).alias("minutes"),
+            F.sum(_weighted("avg_trip_distance_miles")).alias("miles"),
         )
-        .join(targets, ["fold", "dow", "pickup_hour"])
-        .drop("dow")
     )
-    weekly = weekly_scores(data).select(
-        *HOUR_KEY,
-        "PULocationID",
-        F.col("last_week_trips").alias("same_hour_last_week_trips"),
-        F.col("trailing_trips").alias("trailing_4_week_trips"),
-        F.col("trailing_spend").alias("trailing_4_week_spend"),
-        F.col("last_week_date"),
-        F.col("trailing_date").alias("last_trailing_date"),
+    totals = slots.groupBy(*placed).agg(
+        F.bool_or("is_airport").alias("is_airport"),
+        F.max("last_date").alias("last_daily_date"),
+        *[F.sum(c).alias(c) for c in ("trips", "spend", "minutes", "miles")],
+        F.collect_list(F.struct("dow", "pickup_hour", "trips", "spend", "last_date")).alias("slots"),
     )
-    # One test window per fold: at most 24 hours for each of its days.
-    hour = F.struct("test_date", "pickup_hour")
-    by_fold = targets.groupBy("fold").agg(F.collect_list(hour).alias("hours"))
-    hours = by_fold.agg(F.map_from_entries(F.collect_list(F.struct("fold", "hours")))).scalar()
-    key = ["fold", "PULocationID", "test_date", "pickup_hour"]
-    parts = totals.unionByName(slots, allowMissingColumns=True).unionByName(weekly, allowMissingColumns=True)
-    values = [c for c in parts.columns if c not in key]
-    # Only a zone's totals travel; they become its test hours where they land.
-    spread = F.when(F.col("test_date").isNull(), F.element_at(hours, F.col("fold"))).otherwise(F.array(hour))
-    merged = (
-        parts.repartition("fold", "PULocationID")
-        .select("fold", "PULocationID", *values, F.inline(spread))
-        .groupBy(*key)
-        .agg(*[F.max(c).alias(c) for c in values])
+    weekly = weekly_scores(data).groupBy(*placed).agg(
+        F.collect_list(
+            F.struct(
+                "test_date", "pickup_hour", "last_week_trips", "trailing_trips", "trailing_spend",
+                "last_week_date", "trailing_date",
+            )
+        ).alias("weeks")
     )
+    # One test window per fold: at most 24 hours for each of its days.
+    by_date = target_hours(data).groupBy("fold", "test_date").agg(F.collect_list("pickup_hour").alias("hours"))
+    by_fold = by_date.groupBy("fold").agg(F.collect_list(F.struct("test_date", "hours")).alias("days"))
+    calendar = by_fold.agg(F.map_from_entries(F.collect_list(F.struct("fold", "days")))).scalar()
+
     day = F.col("test_date")
-    named = merged.withColumns(
+    kept = [*placed, "is_airport", "trips", "spend", "minutes", "miles", "last_daily_date"]
+    days = (
+        totals.join(weekly, placed, "left")
+        .select(*kept, "slots", "weeks", F.inline(F.element_at(calendar, F.col("fold"))))
+        .select(
+            *kept,
+            "test_date",
+            "hours",
+            F.filter("slots", lambda s: s["dow"] == F.weekday(day)).alias("slots"),
+            F.filter("weeks", lambda w: w["test_date"] == day).alias("weeks"),
+        )
+    )
+    in_hour = F.transform(
+        "hours",
+        lambda h: F.struct(
+            h.alias("pickup_hour"),
+            F.get(F.filter("slots", lambda s: s["pickup_hour"] == h), F.lit(0)).alias("slot"),
+            F.get(F.filter("weeks", lambda w: w["pickup_hour"] == h), F.lit(0)).alias("week"),
+        ),
+    )
+    named = days.select(*kept, "test_date", F.inline(in_hour)).withColumns(
         {
             "hour": F.col("pickup_hour"),
             "day_of_week": F.weekday(day),
             "is_weekend": (F.weekday(day) >= 5).cast("int"),
             "is_airport": F.col("is_airport").cast("int"),
             **_history_columns(F.col("trips"), F.col("spend"), F.col("minutes"), F.col("miles")),
+            "matching_dow_hour_trips": F.col("slot.trips"),
+            "matching_dow_hour_spend": F.col("slot.spend"),
+            "same_hour_last_week_trips": F.col("week.last_week_trips"),
+            "trailing_4_week_trips": F.col("week.trailing_trips"),
+            "trailing_4_week_spend": F.col("week.trailing_spend"),
+            "last_slot_date": F.col("slot.last_date"),
+            "last_week_date": F.col("week.last_week_date"),
+            "last_trailing_date": F.col("week.trailing_date"),
         }
     )
     extra = HISTORY_DATES if with_history_date else []
-    return named.select(*key, *_model_inputs(), *extra)
+    return named.select(*placed, "test_date", "pickup_hour", *_model_inputs(), *extra)
 
 
 def feature_null_counts(features: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def test_learned_gain(spark):
     assert checks.beats_baselines(learned, base).collect()[0]["passed"]
 
 
-@pytest.mark.parametrize("build", [features.training_panel])
+@pytest.mark.parametrize("build", [features.training_panel, features.frozen_features])
 def test_dense_rows_are_made_last(case, build):
     """Nothing above the generators of days and hours sorts, groups or joins, so a task holds no dense rows."""
     text = build(case[1])._jdf.queryExecution().executedPlan().toString()
