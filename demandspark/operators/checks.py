@@ -99,16 +99,22 @@ def history_before_target(features: DataFrame, target_date: str, label: str) ->
 
 
 def _changed(before: DataFrame, after: DataFrame, key: list[str], inputs: Sequence[str], early: Column) -> DataFrame:
-    """Rows up to the changed hour and after it, and how many of each lack an equal row in ``after``."""
-    shown = [*key, *[round_to(F.col(c).cast("double"), 6).alias(c) for c in inputs]]
-    own, other = before.select(*shown), after.select(*shown)
-    lost = own.join(other, [*key, *inputs], "left_anti")
-    marked = own.select(early.alias("early"), F.lit(False).alias("changed")).unionByName(
-        lost.select(early.alias("early"), F.lit(True).alias("changed"))
+    """Rows up to the changed hour and after it, and how many of each lack an equal row in ``after``.
+
+    ``key`` knows a row. Each side is built once: one join by the key counts the rows and compares their inputs.
+    """
+    own, other = (
+        df.select(*key, F.struct(*[round_to(F.col(c).cast("double"), 6).alias(c) for c in inputs]).alias(side))
+        for df, side in ((before, "own"), (after, "other"))
     )
-    kinds = {"n_rows": (True, False), "n_changed": (True, True), "n_later": (False, False), "n_later_changed": (False, True)}
+    equal = reduce(Column.__and__, [F.col(f"own.{c}") == F.col(f"other.{c}") for c in inputs])
+    marked = own.join(other, key, "left").select(early.alias("early"), (~F.coalesce(equal, F.lit(False))).alias("changed"))
+    early_row, changed = F.col("early"), F.col("changed")
     return marked.agg(
-        *[F.count_if((F.col("early") == e) & (F.col("changed") == c)).alias(name) for name, (e, c) in kinds.items()]
+        F.count_if(early_row).alias("n_rows"),
+        F.count_if(early_row & changed).alias("n_changed"),
+        F.count_if(~early_row).alias("n_later"),
+        F.count_if(~early_row & changed).alias("n_later_changed"),
     )
 
 
@@ -125,7 +131,7 @@ def feature_moves(
 
     For training features the hour is the last observed one a week before the fold, and rows up to that hour must not
     change while later ones do. For test features it is the fold's first test hour, and no row of the fold may change.
-    Features are built twice from the whole series and compared by anti-join, to six digits. A fold without such an hour
+    Features are built twice from the whole series and compared row by row, to six digits. A fold without such an hour
     gives no row.
     """
     found = []
@@ -145,10 +151,10 @@ def feature_moves(
             moved = ranking_input(series.withColumn("gross_passenger_spend", raised), [fold], airport_pattern)
             if label == "training":
                 late = (day > F.lit(at["pickup_date"])) | ((day == F.lit(at["pickup_date"])) & (F.col("pickup_hour") > at["pickup_hour"]))
-                key = ["fold", "PULocationID", "pickup_date", "pickup_hour"]
+                key = ["PULocationID", "pickup_date", "pickup_hour", "fold"]
                 moves = _changed(panel(plain, min_history_days), panel(moved, min_history_days), key, RANKER_INPUTS, ~late)
             else:
-                key = ["fold", "PULocationID", "test_date", "pickup_hour"]
+                key = ["PULocationID", "test_date", "pickup_hour", "fold"]
                 moves = _changed(frozen(plain), frozen(moved), key, RANKER_INPUTS, F.lit(True))
             found.append(
                 moves.select(

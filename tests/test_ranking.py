@@ -253,3 +253,13 @@ def test_dense_rows_are_made_last(case, build):
     nodes = re.findall(r"^ *\+- (?:\*\(\d+\) )?(\w+)", text, re.MULTILINE)
     held = next(n for n, node in enumerate(nodes) if re.search("Aggregate|Window|Sort|Join|Exchange", node))
     assert nodes[:held].count("Generate") >= 2
+
+
+def test_moves_build_each_side_once(spark):
+    """Counted and compared in one join: rows that differ, lack a partner or hold a missing value count as changed."""
+    rows = spark.range(6).select(F.col("id").alias("k"), F.when(F.col("id") != 5, F.col("id") * 1.0).alias("v"))
+    moved = rows.filter("k <> 3").withColumn("v", F.col("v") + F.when(F.col("k") == 1, 1.0).otherwise(0.0))
+    moves = checks._changed(rows, moved, ["k"], ["v"], F.col("k") < 3)
+    assert moves.columns == ["n_rows", "n_changed", "n_later", "n_later_changed"]
+    assert tuple(moves.first()) == (3, 1, 3, 2)
+    assert moves._jdf.queryExecution().executedPlan().toString().count("Range (") == 2
