@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from demandspark.llm.common import map_batches
+from demandspark.llm.common import kept, map_batches
 from demandspark.llm.wordwise import WORDWISE_BYTES, Wordwise, cut_at_every_space
 
 # Fixed value: the split pattern of the public byte-level vocabularies.
@@ -335,7 +335,7 @@ class Codec:
             return pa.array([run.decode("utf-8", "replace") for run in runs.to_pylist()], pa.string())
 
 
-@functools.lru_cache(maxsize=4)
+@kept
 def codec(path: str) -> Codec:
     return Codec(path)
 
@@ -352,7 +352,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["doc_id"], _lists(starts, ids)], ["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>", WORDWISE_BYTES)
+    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>", WORDWISE_BYTES, codec)
 
 
 def _lists(starts: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -371,7 +371,7 @@ def recode(documents: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["doc_id"], _lists(starts, ids), codec(path).decode_column(starts, ids)], ["doc_id", "ids", "text"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>, text string", WORDWISE_BYTES)
+    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>, text string", WORDWISE_BYTES, codec)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -384,4 +384,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], texts], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_batches(encoded.select("doc_id", "ids"), per_batch, f"doc_id {kind}, ids array<int>, text string")
+    return map_batches(encoded.select("doc_id", "ids"), per_batch, f"doc_id {kind}, ids array<int>, text string", keeps=codec)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,12 +71,46 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, rows)
 
 
+_KEPT: list[Callable] = []
+
+
+def kept(build: Callable) -> Callable:
+    """``build`` with its last results, which a worker keeps from task to task until it begins one of ``map_batches`` without them."""
+    cached = functools.lru_cache(maxsize=4)(build)
+    _KEPT.append(cached)
+    return cached
+
+
+def let_go(keeps: Callable | None = None) -> None:
+    """Empty all that is ``kept`` but ``keeps``, and give the memory back to the system.
+
+    Spark's workers live as long as their executor and serve one operator after the other: without this, the large tables of
+    one operator take memory from all later ones.
+    """
+    others = [cached for cached in _KEPT if cached is not keeps and cached.cache_info().currsize]
+    for cached in others:
+        cached.cache_clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError, TypeError):  # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(
-    df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, limit: int = SLICE_BYTES
+    df: DataFrame,
+    per_batch: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str | StructType,
+    limit: int = SLICE_BYTES,
+    keeps: Callable | None = None,
 ) -> DataFrame:
-    """``per_batch`` over the Arrow batches of every task, in slices of about ``limit`` bytes."""
+    """``per_batch`` over the Arrow batches of every task, in slices of about ``limit`` bytes.
+
+    ``keeps`` is the function marked as ``kept`` that ``per_batch`` calls, if any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         for batch in batches:
             yield from map(per_batch, slices(batch, limit))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from demandspark.llm import bpe, token_store, tokenization, wordwise
-from demandspark.llm.common import BATCH_BYTES, map_batches
+from demandspark.llm.common import BATCH_BYTES, let_go, map_batches
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -171,3 +171,20 @@ def test_batches_of_texts_are_bounded_by_bytes(spark):
 
     sizes = [r["n"] for r in map_batches(long_texts, per_batch, "n long", 1 << 30).collect()]
     assert sum(sizes) >= 20_000_000 and max(sizes) <= BATCH_BYTES + 600_000
+
+
+def test_a_worker_lets_go_of_the_tables_of_the_operator_before(docs):
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bpe.codec.cache_info().currsize] * batch.num_rows, pa.int64())], ["held"])
+
+    rows = docs(*[f"some words {i}" for i in range(40)])
+    assert len(bpe.encode(rows, PATH).collect()) == 40
+    assert {r["held"] for r in map_batches(rows, held, "held long").collect()} == {0}
+
+
+def test_an_operator_keeps_its_own_tables():
+    own = bpe.codec(PATH)
+    let_go(bpe.codec)
+    assert bpe.codec(PATH) is own
+    let_go()
+    assert bpe.codec.cache_info().currsize == 0
