@@ -1,5 +1,8 @@
 """Token ids and token counts by a tokenizer library, in Arrow batches balanced by bytes.
 
+Where the file's rules allow it, texts are cut before every plain space and the library encodes each distinct piece once;
+else long texts are cut at safe places into pieces of some size.
+
 The tokenizer file is a parameter (``.json`` for ``tokenizers``, ``.model`` for ``sentencepiece``) and is read on the
 executors; special strings inside texts are handled as the library does by default, and nothing is added or cut off.
 """
@@ -17,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import map_batches
-from demandspark.llm.wordwise import Wordwise, cut_at_every_space
+from demandspark.llm.common import kept, map_batches
+from demandspark.llm.wordwise import WORDWISE_BYTES, Wordwise, cut_at_every_space
 
 # Texts longer than this are encoded in pieces; one call of the library gets about BATCH_CHARS.
 PIECE_CHARS = 1 << 15
@@ -83,7 +86,7 @@ def _encode_joined(path: str, words: list[str]) -> list[bytes]:
     return found
 
 
-@functools.lru_cache(maxsize=4)
+@kept
 def wordwise_encoder(path: str) -> Wordwise | None:
     """The library behind a table of known words; None for files whose rules look across spaces."""
     return Wordwise(functools.partial(_encode_joined, path)) if cut_at_every_space(path) else None
@@ -154,10 +157,14 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = [sum(map(len, ids)) for ids in encode_texts(path, batch["text"].to_pylist())]
+        words = wordwise_encoder(path)
+        if words is None:
+            counts = [sum(map(len, ids)) for ids in encode_texts(path, batch["text"].to_pylist())]
+        else:
+            counts = words.count(batch["text"])
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    counted = map_batches(rows, per_batch, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = map_batches(rows, per_batch, f"doc_id {kind}, n_bytes long, n_tokens long", WORDWISE_BYTES, wordwise_encoder)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

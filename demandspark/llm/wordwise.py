@@ -62,30 +62,45 @@ class Wordwise:
             self.older, self.known = known, {}
         return found
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each text start (one more for the end), and the ids of all; null counts as empty.
+    def _split(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """The words of some texts, where each text's words start, raw ids and number of ids of every distinct word, texts to encode whole.
 
         After white space a space is no safe cut: a text with such a one, or with the mark used here, is encoded whole.
         """
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        if not len(texts):
-            return np.zeros(1, np.int64), np.empty(0, np.uint32)
         split = pc.split_pattern(pc.replace_substring(texts, " ", _CUT + " "), _CUT)
         words = split.flatten().dictionary_encode()
         firsts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-        names, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
-        raw = self._ids(names)
+        raw = self._ids(words.dictionary.to_pylist())
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ends_open = pc.match_substring_regex(words.dictionary, r"[\pZ\x09-\x0d\x1c-\x1f\x85]\z").to_numpy(zero_copy_only=False)[words.indices.to_numpy()]
+        ends_open[firsts[1:] - 1] = False  # behind the last word there is no cut
+        whole = np.logical_or.reduceat(ends_open, firsts[:-1]) | pc.match_substring(texts, _CUT).to_numpy(zero_copy_only=False)
+        return words, firsts, raw, sizes, np.flatnonzero(whole)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text start (one more for the end), and the ids of all; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.zeros(1, np.int64), np.empty(0, np.uint32)
+        words, firsts, raw, sizes, whole = self._split(texts)
         flat = np.frombuffer(b"".join(raw), np.uint32)
         lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), flat)
         ids = lists.take(words.indices).flatten().to_numpy()
-        starts = np.concatenate([[0], np.cumsum(np.add.reduceat(sizes[codes], firsts[:-1]))])
-        ends_open = pc.match_substring_regex(words.dictionary, r"[\pZ\x09-\x0d\x1c-\x1f\x85]\z").to_numpy(zero_copy_only=False)[codes]
-        ends_open[firsts[1:] - 1] = False  # behind the last word there is no cut
-        whole = np.logical_or.reduceat(ends_open, firsts[:-1]) | pc.match_substring(texts, _CUT).to_numpy(zero_copy_only=False)
-        if whole.any():
+        starts = np.concatenate([[0], np.cumsum(np.add.reduceat(sizes[words.indices.to_numpy()], firsts[:-1]))])
+        if len(whole):
             parts = np.split(ids, starts[1:-1])
-            for i in np.flatnonzero(whole).tolist():
+            for i in whole.tolist():
                 parts[i] = np.frombuffer(self._encode([texts[i].as_py()])[0], np.uint32)
             ids, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return starts.astype(np.int64), ids
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has, without putting them together."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.empty(0, np.int64)
+        words, firsts, _, sizes, whole = self._split(texts)
+        counts = np.add.reduceat(sizes[words.indices.to_numpy()], firsts[:-1])
+        for i in whole.tolist():
+            counts[i] = len(self._encode([texts[i].as_py()])[0]) // 4
+        return counts

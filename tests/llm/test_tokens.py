@@ -81,6 +81,21 @@ def test_ids_by_words_are_those_of_whole_texts():
             assert ids.tolist() == ids_of(text)
 
 
+def test_counting_asks_the_library_once_for_each_word():
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [np.array(ids_of(w), np.uint32).tobytes() for w in words]
+
+    words = wordwise.Wordwise(encode)
+    given = [*texts(), "the end", "the  end", "x\x01y the", "the end\u3000 of", None]
+    for _ in range(2):
+        assert words.count(pa.array(given)).tolist() == [len(ids_of(t)) for t in given]
+    assert asked.count("the") == asked.count(" end") == 1
+    assert words.count(pa.array([], pa.string())).tolist() == []
+
+
 def test_words_come_back_from_the_older_generation(monkeypatch):
     monkeypatch.setattr(wordwise, "KNOWN_WORDS", 5)
     asked = []
