@@ -28,13 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 
 from demandspark.llm.common import kept, map_batches
-from demandspark.llm.wordwise import WORDWISE_BYTES, Wordwise, cut_at_every_space
+from demandspark.llm.wordwise import Wordwise, cut_at_every_space
 
 # Fixed value: the split pattern of the public byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Words kept with their ids by a task; longer words aren't kept.
-KNOWN_WORDS = 100_000
+# Words of the split pattern kept with their ids by a task; longer words aren't kept. Most are met behind the words that
+# SPACED_WORDS bounds: a generation of those that texts are cut into at spaces.
+KNOWN_WORDS = 20_000
 KNOWN_LENGTH = 40
+SPACED_WORDS = 50_000
 SHORT_WORD = 48
 BLOCK_CHARS = 1 << 19
 BETWEEN = 0xFF
@@ -285,8 +287,8 @@ class Codec:
         return out
 
     def _encode_block(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_WORDS:  # the older half goes
-            for word in list(islice(self.known, KNOWN_WORDS // 2)):
+        if len(self.known) > KNOWN_WORDS:  # all but the younger half go; a block may have added more than that
+            for word in list(islice(self.known, len(self.known) - KNOWN_WORDS // 2)):
                 del self.known[word]
         known: dict[str | int, bytes] = self.known
         words = [self.words(text) for text in texts]
@@ -301,7 +303,7 @@ class Codec:
 
     @functools.cached_property
     def wordwise(self) -> Wordwise | None:
-        return Wordwise(self.encode) if cut_at_every_space(self.path) else None
+        return Wordwise(self.encode, SPACED_WORDS) if cut_at_every_space(self.path) else None
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each text start (one more for the end), and the ids of all; null counts as empty."""
@@ -352,7 +354,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["doc_id"], _lists(starts, ids)], ["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>", WORDWISE_BYTES, codec)
+    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>", keeps=codec)
 
 
 def _lists(starts: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -371,7 +373,7 @@ def recode(documents: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["doc_id"], _lists(starts, ids), codec(path).decode_column(starts, ids)], ["doc_id", "ids", "text"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>, text string", WORDWISE_BYTES, codec)
+    return map_batches(documents.select("doc_id", "text"), per_batch, f"doc_id {kind}, ids array<int>, text string", keeps=codec)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words that a generation holds, and the longest ones that are kept.
+# Words that a generation holds unless less is asked for, and the longest ones that are kept.
 KNOWN_WORDS = 400_000
 KNOWN_CHARS = 64
 # Bytes of a slice: the larger, the fewer distinct words for each of its words.
@@ -37,8 +37,9 @@ def cut_at_every_space(path: str) -> bool:
 class Wordwise:
     """``encode`` gives the ids of each of a list of texts, 32 bits each; here it is called for new words, and for texts without safe cuts."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int | None = None):
         self._encode = encode
+        self._most = KNOWN_WORDS if most is None else most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -58,7 +59,7 @@ class Wordwise:
             found[i] = raw
             if len(words[i]) <= KNOWN_CHARS:
                 known[words[i]] = raw
-        if len(known) > KNOWN_WORDS:
+        if len(known) > self._most:
             self.older, self.known = known, {}
         return found
 

@@ -113,6 +113,19 @@ def test_words_come_back_from_the_older_generation(monkeypatch):
     assert words.encode(pa.array([], pa.string()))[0].tolist() == [0]
 
 
+def test_known_words_stay_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(bpe, "SPACED_WORDS", 60, raising=False)
+    codec = bpe.Codec(PATH)
+    for k in range(40):  # every block brings about 100 words, more than half of what may stay
+        given = [" ".join(f"{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}xq{'y' * (k // 26)}" for j in range(110))] * 2
+        starts, ids = codec.encode_column(pa.array(given))
+        assert ids[starts[1] :].tolist() == ids_of(given[1])
+        assert len(codec.known) <= 50 + 2 * 110
+        assert len(codec.wordwise.known) + len(codec.wordwise.older) <= 2 * (60 + 110)
+
+
 def test_decoding_of_broken_ids(spark):
     rows = spark.createDataFrame([(1, [0, 999999, 1]), (2, None), (3, [bpe.codec(PATH).single[0xC3]])], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in bpe.decode(rows, PATH).collect()} == {1: '!"', 2: "", 3: "�"}
