@@ -1,9 +1,10 @@
-"""Boosted-tree forecasts and the learned zone ranker (Spark ML).
+"""Boosted-tree forecasts (Spark ML) and the learned zone ranker (:mod:`boosting`).
 
 The driver loops only over folds and input sets, because each is a separate model; fitting and
 scoring run on the cluster.  A few fits run at the same time: each boosting round is a row of short
-jobs, and one fit alone leaves most of the cluster waiting for the next of them.  Spark ML's boosted trees bound depth rather than leaves and have no
-L2 penalty, so models are compared with the published ones by error, not by value.
+jobs, and one fit alone leaves most of the cluster waiting for the next of them.  Both kinds of boosted trees bound depth rather than leaves
+and have no L2 penalty, so models are compared with the published ones by error, not by value.  A forecast has a row an hour; the
+ranker has one for each zone and hour, for which Spark ML takes too long.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.config import DAY_AHEAD_INPUTS, LEARNED, NEXT_HOUR_INPUTS, RANKER_INPUTS, TOP_K, Fold
+from demandspark.operators import boosting
 from demandspark.operators.features import TARGET
 from demandspark.operators.ranking import EVERY_ZONE, HOUR_KEY, top_ranked
 from demandspark.operators.timeseries import as_predictions, complete_rows, test_rows
@@ -49,8 +51,8 @@ def forecaster(inputs: Sequence[str], iterations: int = 300) -> Pipeline:
     return boosted_trees(inputs, "trips", iterations, step=0.06, depth=5)
 
 
-def ranker(iterations: int = 200) -> Pipeline:
-    return boosted_trees(RANKER_INPUTS, TARGET, iterations, step=0.05, depth=4)
+def ranker(panel: DataFrame, iterations: int = 200) -> boosting.BoostedTrees:
+    return boosting.fit(panel, RANKER_INPUTS, TARGET, iterations, step=0.05, depth=4)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -98,11 +100,11 @@ def learned_scores(
     ready, targets = materialize(panel, "training-panel"), materialize(targets, "frozen-features")
     trained = {row.fold for row in ready.select("fold").distinct().toLocalIterator()}
     numbers = [fold.number for fold in folds if fold.number in trained]
-    models = _fit_all([(ranker(iterations), ready.filter(F.col("fold") == n)) for n in numbers])
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = list(pool.map(lambda n: ranker(ready.filter(F.col("fold") == n), iterations), numbers))
+    kept = [*HOUR_KEY, "PULocationID"]
     frames = [
-        model.transform(targets.filter(F.col("fold") == n)).select(
-            *HOUR_KEY, "PULocationID", F.col("predicted").alias("predicted_gross_passenger_spend")
-        )
+        model.predict(targets.filter(F.col("fold") == n), kept, "predicted_gross_passenger_spend")
         for n, model in zip(numbers, models, strict=True)
     ]
     if not frames:
