@@ -102,13 +102,14 @@ def _changed(before: DataFrame, after: DataFrame, key: list[str], inputs: Sequen
     """Rows up to the changed hour and after it, and how many of each lack an equal row in ``after``.
 
     ``key`` knows a row. Each side is built once: one join by the key counts the rows and compares their inputs.
+    Dense rows are mostly zeros, so their shuffle files look small enough to broadcast; the hint keeps them off the driver.
     """
     own, other = (
         df.select(*key, F.struct(*[round_to(F.col(c).cast("double"), 6).alias(c) for c in inputs]).alias(side))
         for df, side in ((before, "own"), (after, "other"))
     )
     equal = reduce(Column.__and__, [F.col(f"own.{c}") == F.col(f"other.{c}") for c in inputs])
-    marked = own.join(other, key, "left").select(early.alias("early"), (~F.coalesce(equal, F.lit(False))).alias("changed"))
+    marked = own.join(other.hint("merge"), key, "left").select(early.alias("early"), (~F.coalesce(equal, F.lit(False))).alias("changed"))
     early_row, changed = F.col("early"), F.col("changed")
     return marked.agg(
         F.count_if(early_row).alias("n_rows"),

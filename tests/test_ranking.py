@@ -263,3 +263,13 @@ def test_moves_build_each_side_once(spark):
     assert moves.columns == ["n_rows", "n_changed", "n_later", "n_later_changed"]
     assert tuple(moves.first()) == (3, 1, 3, 2)
     assert moves._jdf.queryExecution().executedPlan().toString().count("Range (") == 2
+
+
+def test_moves_keep_dense_rows_off_the_driver(spark):
+    """Rows of zeros shrink in shuffle files to less than a broadcast may have; neither side is sent through the driver."""
+    rows = spark.range(200_000).select((F.col("id") % 2000).alias("zone"), F.col("id").alias("hour"), F.lit(0.0).alias("v"))
+    moves = checks._changed(rows.repartition("zone"), rows.repartition("zone"), ["zone", "hour"], ["v"], F.col("hour") < 100)
+    assert tuple(moves.first()) == (100, 0, 199_900, 0)
+    moves.collect()
+    text = moves._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in text and "SortMergeJoin" in text
