@@ -1,5 +1,7 @@
 """The ranker's boosted trees against Spark ML's, and against sums made row by row."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,67 @@ def test_rows_without_anything_to_split(spark):
     frame = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)], "x double, y double")
     fitted = boosting.fit(frame, ["x"], "y", 3, step=0.05, depth=4)
     assert [r["predicted"] for r in fitted.predict(frame, ["y"]).collect()] == [3.0, 3.0]
+
+
+def panel_like(seed, lines=400):
+    """Bins of zones and days by hour: two inputs stay for a line's 24 hours, two are mostly bin 0; one line repeats an hour."""
+    rng = np.random.default_rng(seed)
+    n = lines * 24
+    active = rng.random(n) < 0.15
+    hour = np.tile(np.arange(24), lines)
+    hour[5:7] = 5
+    bins = np.array([hour, *(np.repeat(rng.integers(0, top, lines), 24) for top in (7, 255)), *(active * rng.integers(0, top, n) for top in (9, 200))], np.uint8)
+    return bins, rng.normal(size=n) + active
+
+
+def test_silent_hours_are_held_and_summed_by_line():
+    layout = boosting.Layout([-1, -1, -1, 0, 0], [1, 2], *boosting._across(*_counted(panel_like(8)[0])))
+    assert layout.across == 0 and layout.columns == tuple(range(24))
+    bins, residuals = panel_like(8)
+    block = boosting.packed(layout, (bins, residuals))
+    assert block.grid.counts.sum() + len(block.rows[1]) == bins.shape[1] and len(block.rows[1]) < 0.2 * bins.shape[1]
+    assert block.grid.counts.max() == 2
+    tree = boosting.unsplit(4)
+    tree.feature[:9], tree.bin[:9] = [3, 0, 2, 1, 4, 2, 0, 0, 0], [0, 11, 100, 3, 0, 50, 6, 255, 20]
+    tree.value[:] = np.random.default_rng(9).normal(size=16)
+    plain = boosting.Layout(layout.frequent, layout.steady)
+    for level, slots in ((0, [0]), (1, [0, -1]), (1, [-1, 0]), (2, [0, 1, -1, 2]), (3, [0, -1, 1, -1, 2, -1, 3, -1]), (3, [-1, 0, -1, 1, -1, 2, -1, 3])):
+        slots = np.array(slots)
+        expected = boosting.block_sums(*boosting._less([tree], (bins, residuals)), tree, level, slots, plain)
+        got = boosting.grid_sums(boosting._advance([tree], layout, block), tree, level, slots, layout)
+        assert (got[0] == expected[0]).all()
+        assert np.abs(got[1] - expected[1]).max() < 1e-9
+    strange = bins.copy()
+    strange[0, 30] = 77  # an hour that the fit has not seen
+    assert np.abs(boosting.predictions(strange, [tree] * 3, layout) - 3 * tree.predict(strange)).max() < 1e-12
+
+
+def _counted(bins):
+    return np.array([np.bincount(values, minlength=256) for values in bins]), [-1, -1, -1, 0, 0], [1, 2]
+
+
+def test_lines_are_cut_before_a_count_overflows():
+    bins = np.zeros((3, 1000), np.uint8)
+    block = boosting.packed(boosting.Layout([-1, -1, 0], [1], 0, (0,)), (bins, np.ones(1000)))
+    assert block.grid.counts.sum() == 1000 and block.grid.sums.sum() == 1000
+
+
+@pytest.mark.parametrize("files", [True, False])
+def test_fits_of_silent_hours_are_those_of_spark_ml(spark, monkeypatch, files):
+    """With residuals in files and cached by Spark; nothing is left in the shared folder."""
+    bins, spend = panel_like(10, 200)
+    names = ["hour", "dow", "past", "lag", "recent"]
+    made = [(n, *map(float, column), float(y)) for n, (column, y) in enumerate(zip(bins.T, spend + 2 * (bins[3] > 2) + (bins[0] == 8) * bins[1], strict=True))]
+    frame = spark.createDataFrame(made, ", ".join(["id long", *(f"{n} double" for n in names), "spend double"])).coalesce(2).cache()
+    shared, kinds = boosting.shared_files(spark), []
+    if not files:
+        monkeypatch.setattr(boosting, "shared_files", lambda spark: None)
+    layout_of = boosting._layout
+    monkeypatch.setattr(boosting, "_layout", lambda rows: kinds.append(layout_of(rows)) or kinds[-1])
+    own = boosting.fit(frame, names, "spend", 45, step=0.05, depth=4).predict(frame, ["id"], "own")
+    theirs = models.boosted_trees(names, "spend", 45, step=0.05, depth=4).fit(frame).transform(frame)
+    both = theirs.join(own, "id")
+    assert both.count() == 4800
+    assert both.filter(F.abs(F.col("own") - F.col("predicted")) > 1e-9).limit(5).collect() == []
+    assert kinds[0].across == 0 and set(kinds[0].steady) == {1, 2}
+    assert shared and not [name for name in os.listdir(shared) if name.startswith("residuals-")]
